@@ -1,5 +1,239 @@
-"""Near copies by word shingles."""
+"""Join of texts by Jaccard similarity of word n-grams along chosen paths.
 
+Texts of equal words form a class with one representative. A class's set of
+five-word shingles is embedded as 64 minhash values, whose agreement estimates the
+Jaccard similarity. A run chooses minhash places at random and puts each set into
+the bucket of its values there; a bucket too large is split again on newly sampled
+places, which sets choose alike, and small ones are compared pair by pair. Runs
+repeat until a pair at the threshold is missed with less than the allowed chance.
+Linked sets form groups, and in each group all sets are compared exactly.
+"""
 
-def without_near_copies(docs, id_col, text_col):
-    raise NotImplementedError
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .buckets import bucket_links, compare_groups
+from .common import map_arrow, pick, text_blocks, written
+from .components import connected_components
+from .subwords import mixed, powers
+
+WORDS, SIMILARITY, PLACES = 5, 0.8, 64
+_R, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+#: Bits of the filter of members of groups, sent to the scan of the texts.
+FILTER_BITS = 1 << 23
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, texts' ends as word numbers); words are lower case, parted by ASCII white space."""
+    joined = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(b) + 1 for b in joined])
+    byte = np.frombuffer(b"\n".join(joined) + b"\n", np.uint8)
+    space = (byte == 32) | ((byte >= 9) & (byte <= 13))
+    before = np.concatenate([[True], space[:-1]])
+    start = np.flatnonzero(~space & before)
+    stop = np.flatnonzero(space & ~before)
+    base = 1_000_003
+    total = np.concatenate([[np.uint64(0)], np.cumsum((byte.astype(np.uint64) + np.uint64(1)) * powers(base, len(byte)), dtype=np.uint64)])
+    words = (total[stop] - total[start]) * powers(pow(base, -1, 2**64), len(byte) + 1)[start]
+    return mixed(words), np.searchsorted(start, ends)
+
+
+def shingle_hashes(words: np.ndarray, ends: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of n words of one text, texts' ends); a text of fewer words is one shingle, none has none."""
+    begins = np.concatenate([[0], ends[:-1]])
+    count = ends - begins
+    number = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    out = np.zeros(int(number.sum()), np.uint64)
+    bounds = np.cumsum(number)
+    owner = np.repeat(np.arange(len(ends)), number)
+    first = begins[owner] + np.arange(len(out)) - (bounds - number)[owner]
+    for k in range(n):
+        inside = first + k < ends[owner]
+        out[inside] += mixed(words[first[inside] + k] + np.uint64(k + 1)) * np.uint64(2 * k + 3)
+    return mixed(out), bounds
+
+
+def class_hashes(words: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """128 bits of each text's sequence of words."""
+    begins = np.concatenate([[0], ends[:-1]])
+    halves = []
+    for base in (_R, _Q):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words ^ np.uint64(base)) * powers(base, len(words)), dtype=np.uint64)])
+        back = powers(pow(base, -1, 2**64), len(words) + 1)
+        halves.append(mixed((total[ends] - total[begins]) * back[begins] + (ends - begins).astype(np.uint64)))
+    return [h.tobytes() for h in np.stack(halves, 1)]
+
+
+def minhashes(shingles: np.ndarray, bounds: np.ndarray, places: int = PLACES) -> list[bytes | None]:
+    """The least 32-bit value of each text's shingles under each of ``places`` hash functions; none without shingles."""
+    begins = np.concatenate([[0], bounds[:-1]])
+    full = np.flatnonzero(bounds > begins)
+    rng = np.random.default_rng(11)
+    factors = rng.integers(0, 2**63, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    terms = rng.integers(0, 2**63, places, dtype=np.uint64)
+    least = np.empty((len(full), places), "<u4")
+    for p in range(places):
+        if len(full):
+            least[:, p] = np.minimum.reduceat((shingles * factors[p] + terms[p]) >> np.uint64(32), begins[full])
+    out: list[bytes | None] = [None] * len(bounds)
+    for row, at in enumerate(full.tolist()):
+        out[at] = least[row].tobytes()
+    return out
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, class (128 bits of the words) and values (minhashes, null without words) of every row."""
+    rows = pick(df, id=id_col, text=text_col)
+    rows = rows.select(F.col("id").cast("bigint").alias("id"), "text")
+    schema = rows.select("id").schema.add("class", "binary").add("values", "binary")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        classes, values = [], []
+        for _, block in text_blocks(batch.column(1).to_pylist()):
+            words, ends = word_hashes(block)
+            classes += class_hashes(words, ends)
+            values += minhashes(*shingle_hashes(words, ends))
+        return {"id": batch.column(0), "class": classes, "values": values}
+
+    return map_arrow(rows, run, schema)
+
+
+def runs_for(recall: float, places: int = PLACES, similarity: float = SIMILARITY) -> int:
+    """Runs after which a pair at the threshold is missed with a chance of at most 1 - recall.
+
+    A run samples each place with probability 1/(similarity * places), so a pair
+    shares a bucket of one level with probability 1 - (1 - 1/places)**places, and
+    one of two levels with about that of two such steps; the latter is taken.
+    """
+    one = 1 - (1 - 1 / places) ** places
+    two = 1 - math.exp(-one)
+    return math.ceil(math.log(1 - recall) / math.log(1 - two))
+
+
+def chosen_places(runs: int, places: int = PLACES, similarity: float = SIMILARITY, seed: int = 5) -> list[tuple[int, int]]:
+    rng = np.random.default_rng(seed)
+    return [(r, int(p)) for r in range(runs) for p in np.flatnonzero(rng.random(places) < 1 / (similarity * places))]
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(1)
+
+
+def first_buckets(payload: DataFrame, chosen: list[tuple[int, int]]) -> DataFrame:
+    """bucket and key of each set and chosen place."""
+    names = np.array([r * PLACES + p for r, p in chosen], np.uint64)
+    at = np.array([p for _, p in chosen])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                v = np.frombuffer(b"".join(frame["values"]), "<u4").reshape(len(frame), -1)
+                bucket = mixed(v[:, at].astype(np.uint64) ^ mixed(names + np.uint64(1))).view(np.int64)
+                yield pd.DataFrame({"bucket": bucket.ravel(), "key": np.repeat(frame["key"].to_numpy(), len(at))})
+
+    return payload.select("key", "values").mapInPandas(run, "bucket bigint, key bigint")
+
+
+def split_bucket(buckets: np.ndarray, values: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row goes to the buckets of the places that its bucket samples."""
+    places = np.arange(1, values.shape[1] + 1, dtype=np.uint64)
+    names = mixed(buckets.view(np.uint64)[:, None] ^ (places * np.uint64(_R))[None, :])
+    at, place = np.nonzero((names >> np.uint64(11)) < np.uint64(int(2**53 / (SIMILARITY * values.shape[1]))))
+    return at, mixed(names[at, place] ^ (values[at, place].astype(np.uint64) + np.uint64(1))).view(np.int64)
+
+
+def similar_sets(full: list[bytes]) -> np.ndarray:
+    """Which pairs of sets (sorted distinct 64-bit values) have a Jaccard similarity of SIMILARITY or more."""
+    sets = [np.frombuffer(b, "<u8") for b in full]
+    size = np.array([len(s) for s in sets])
+    value, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = np.cumsum(times > 1) - 1
+    some = times[code] > 1
+    owner, code = owner[some], shared[code[some]]
+    number = int(shared[-1]) + 1 if len(shared) else 0
+    common = np.zeros((len(sets), len(sets)))
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    width = 20_000  # shingles at a time, which bounds the dense part
+    for low in range(0, number, width):
+        part = slice(*np.searchsorted(code, [low, low + width]))
+        dense = np.zeros((len(sets), min(width, number - low)), np.float32)
+        dense[owner[part], code[part] - low] = 1
+        common += dense @ dense.T
+    # |a and b| / |a or b| >= 4/5, in whole numbers
+    return 9 * common >= 4 * (size[:, None] + size[None, :])
+
+
+def shingled(rows: DataFrame) -> DataFrame:
+    """key, full (sorted distinct shingle hashes) and size of each row (key, text)."""
+    schema = rows.select("key").schema.add("full", "binary").add("size", "long")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        full = []
+        for _, block in text_blocks(batch.column(1).to_pylist()):
+            hashes, bounds = shingle_hashes(*word_hashes(block))
+            full += [np.unique(s).tobytes() for s in np.split(hashes, bounds[:-1])]
+        return {"key": batch.column(0), "full": full, "size": [len(b) // 8 for b in full]}
+
+    return map_arrow(rows.select("key", "text"), run, schema)
+
+
+def texts_of(df: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
+    """key, text and the other columns of ``keys`` for the rows whose id is a key, one row a key.
+
+    A filter of fixed size (one hash, FILTER_BITS bits, broadcast as words of 64
+    bits) keeps most other texts out of the shuffle; the join behind it is exact.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = keys.select(slot("key").alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    rows = pick(df, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("key"), "text").withColumn("slot", slot("key"))
+    rows = rows.withColumn("word", F.expr("slot div 64")).join(F.broadcast(bits), "word").where("(bits & shiftleft(1L, cast(slot % 64 as int))) <> 0")
+    return rows.select("key", "text").join(keys, "key")
+
+
+def near_copies(df: DataFrame, id_col: str, text_col: str, recall: float = 0.9999) -> DataFrame:
+    """id, class, n_links, component_id and kept of every row.
+
+    Two documents are linked if their sets of five-word shingles (lower-case words
+    between ASCII white space) have a Jaccard similarity of 0.8 or more; documents
+    of equal words are, too. n_links: other documents linked directly. component_id:
+    the least id reached by links, the own one included. kept: id = component_id.
+    A text of one to four words is one shingle; a null or blank text is linked with
+    nothing. A null id is linked with nothing and kept; rows of one id count as one
+    another's links but share one component. Each link is found with a chance of
+    ``recall`` or more at the threshold, far more above it; none is false.
+    """
+    rows = written(sketches(df, id_col, text_col), "sketches")
+    able = rows.where("id IS NOT NULL AND values IS NOT NULL")
+    classes = able.groupBy("class").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("weight"), F.min("values").alias("values"))
+    classes = written(classes, "classes")
+    payload = classes.groupBy("key").agg(F.min("values").alias("values"))
+    members = first_buckets(payload, chosen_places(runs_for(recall)))
+    edges = bucket_links(members, payload, "<u4", agreement, 0.5, 0.85, split_bucket)
+    groups = connected_components(edges).withColumnRenamed("node", "key")
+    weights = classes.groupBy("key").agg(F.sum("weight").alias("weight"))
+    keyed = groups.join(weights, "key")
+    full = shingled(texts_of(df, id_col, text_col, groups.select("key"))).groupBy("key").agg(F.min("full").alias("full"), F.min("size").alias("size"))
+    compared = written(compare_groups(keyed.join(full, "key"), similar_sets), "compared")
+    linked = compared.groupBy("node").agg(F.sum("links").alias("links"))
+    exact = connected_components(compared.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    verdict = classes.select("class", "key", "weight").join(linked.withColumnRenamed("node", "key"), "key", "left").join(exact.withColumnRenamed("node", "key"), "key", "left")
+    verdict = verdict.select("class", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "key").alias("component_id"))
+    able = able.select("id", "class").join(verdict, "class")
+    alone = rows.where("id IS NULL OR values IS NULL").select("id", "class", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    return able.select("id", "class", "n_links", "component_id").union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` without the rows that near_copies does not keep; ids that repeat share their verdict."""
+    gone = near_copies(df, id_col, text_col).where("NOT kept").select(F.col("id").alias("__gone")).distinct()
+    return df.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")

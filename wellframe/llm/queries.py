@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, packing, rules, sharding, tokenfile
+from . import bpe, classify, jaccard, lattice, licences, packing, rules, sharding, tokenfile
 from .common import scratch_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -46,6 +46,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (classify.fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_copies(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_links", "component_id", "kept")
+
+
+def op4_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").withColumnRenamed("id", "vec_id")
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
 
@@ -82,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_language_id": op2_language_id,
+        "op3_jaccard_join": op3_jaccard_join,
+        "op4_lattice_dedup": op4_lattice_dedup,
+        "op5_licence_scan": op5_licence_scan,
         "op6_quality_rules": op6_quality_rules,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_packing": op8_packing,
