@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, pick, text_blocks
-from .tokens import PieceEncoder
+from .tokens import PieceEncoder, packed
 
 NONE = np.iinfo(np.int64).max
 #: Leaves up to which pieces are merged many at a time.
@@ -171,7 +171,7 @@ class ByteMerges:
                 by_size.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(piece)
         for leaves, group in by_size.items():
             if leaves > SHORT:
-                out.update((p, np.array(self.merge_long(p), "<u4").tobytes()) for p in group)
+                out.update((p, packed(self.merge_long(p))) for p in group)
                 continue
             for k in range(0, len(group), TOGETHER):
                 part = group[k : k + TOGETHER]

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
 _GAP = re.compile(r"\s ")
 _ENDS_IN_SPACE = re.compile(r"\s\Z")
 
@@ -35,6 +35,14 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -83,6 +91,75 @@ class PieceEncoder:
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
+#: A space, Latin letters that are normal as they stand, then ASCII signs other than the apostrophe.
+_PARTS = re.compile(r"( ?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
+def _whole_pieces(tokenizer) -> Callable[[list[str]], Iterable[bytes]]:
+    def encode(batch: list[str]) -> Iterable[bytes]:
+        for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False):
+            yield packed(e.ids)
+
+    return encode
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it is visible, else one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+def _parts_apply(tokenizer) -> bool:
+    """Whether the parts of a piece can go to the model one by one: for byte-level BPE without other steps."""
+    probe = [" thusly", "Fa\u00e7ade", " \u00c0 bient\u00f4t", "x...", " y!?", " Stra\u00dfe"]
+    try:
+        parted = list(_parted_pieces(tokenizer, _whole_pieces(tokenizer))(probe))
+    except Exception:  # another kind of model
+        return False
+    return parted == list(_whole_pieces(tokenizer)(probe))
+
+
+def _parted_pieces(tokenizer, whole: Callable[[list[str]], Iterable[bytes]], most: int = 200_000) -> Callable[[list[str]], Iterable[bytes]]:
+    """Encodes a word and the signs behind it apart, each once; other pieces as a whole.
+
+    A word of letters is one match of the vocabulary's pattern whatever follows it,
+    and so are the signs, so the library's model takes the word directly.
+    """
+    letters, model = _byte_letters(), tokenizer.model
+    folded, spaced = tokenizer.normalizer is not None, tokenizer.normalizer is None
+    words: dict[str, bytes] = {}
+    signs: dict[str, bytes] = {"": b""}
+
+    def word(text: str) -> bytes:
+        if folded:
+            text = text.lower().lstrip(" ")
+        if not (text.isascii() and not spaced):
+            text = text.encode().decode("latin-1").translate(letters)
+        return packed([t.id for t in model.tokenize(text)])
+
+    def encode(batch: list[str]) -> Iterable[bytes]:
+        cut = [_PARTS.match(p) for p in batch]
+        others = iter(list(whole([p for p, m in zip(batch, cut) if m is None])))
+        new = list({m[3] for m in cut if m is not None} - signs.keys())
+        if len(words) > most:
+            words.clear()
+        if len(signs) > most:
+            signs.clear()
+            new = list({m[3] for m in cut if m is not None})
+        signs.update(zip(new, whole(new)))
+        for m in cut:
+            if m is None:
+                yield next(others)
+                continue
+            head = m[1] + m[2]
+            ids = words.get(head)
+            if ids is None:
+                ids = words[head] = word(head)
+            yield ids + signs[m[3]]
+
+    return encode
+
 
 def library_encoder(definition: str, spaced: bool) -> PieceEncoder:
     """An encoder by the tokenizers library; one for each Python worker and vocabulary.
@@ -101,10 +178,8 @@ def library_encoder(definition: str, spaced: bool) -> PieceEncoder:
         tokenizer.no_padding()
         tokenizer.no_truncation()
 
-        def encode_pieces(batch: list[str]) -> Iterable[bytes]:
-            for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-
+        whole = _whole_pieces(tokenizer)
+        encode_pieces = _parted_pieces(tokenizer, whole) if _parts_apply(tokenizer) else whole
         _ENCODERS[key] = PieceEncoder(encode_pieces, spaced)
     return _ENCODERS[key]
 
