@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def connection(folder: str = DATA):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"threads": 2})
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
         path = f"{folder}/{t}.parquet"

@@ -89,4 +89,4 @@ def family_of(feature: Column, families: dict[str, tuple[str, ...]]) -> Column:
         for token in tokens:
             hit = hit | low.contains(token.lower())
         out = F.when(hit, family) if out is None else out.when(hit, family)
-    return (out or F.when(F.lit(False), "")).otherwise("other")
+    return F.lit("other") if out is None else out.otherwise("other")
