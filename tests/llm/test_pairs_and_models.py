@@ -10,6 +10,8 @@ import pytest
 import corpus_pipeline
 from wellframe.llm import classify, components, jaccard, lattice, queries, subwords
 
+from ..compare import both
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -202,3 +204,10 @@ def test_pipeline_stages(spark):
         now = out
     packed = corpus_pipeline.pack_sequences(spark, now, SF).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in now.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    columns, names, got, want = both(spark, name, queries.queries()[name], queries.oracle_sql()[name], SF)
+    assert columns == names
+    assert got == want

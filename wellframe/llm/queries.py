@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, jaccard, lattice, licences, packing, rules, sharding, tokenfile
+from . import bpe, classify, jaccard, lattice, licences, oracle, packing, rules, sharding, tokenfile
 from .common import scratch_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -56,11 +56,13 @@ def op4_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan_licences(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    found = licences.scan_licences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("id", "doc_id").withColumn("score", F.round("score", 6))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.apply_rules(table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+    found = rules.apply_rules(table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c.startswith("rate_")})
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +109,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    slots = ",".join(map(str, sharding.fill_table(SHARDS, SLOTS)))
     return {
-        "op1_sharding": f"""
-WITH t AS (SELECT [{slots}] AS shards),
-p AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents)
-SELECT doc_id, slot::INTEGER AS slot, shards[slot + 1]::INTEGER AS shard, 'shard-' || lpad(shards[slot + 1]::VARCHAR, 3, '0') AS shard_name FROM p, t
-"""
+        "op1_sharding": oracle.sharding_sql(SHARDS, SLOTS),
+        "op3_jaccard_join": oracle.jaccard_sql(),
+        "op4_lattice_dedup": oracle.lattice_sql(),
+        "op5_licence_scan": oracle.licences_sql(),
+        "op6_quality_rules": oracle.rules_sql(),
     }
