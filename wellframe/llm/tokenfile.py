@@ -5,7 +5,7 @@ A folder holds three Parquet tables, so any store that Spark writes will do:
 dictionary  one row: dict_hash, the zstandard dictionary, bytes an id
 blocks      a row for each block of documents in ascending id order: part, block,
             dict_hash, low and high id, payload (the documents' frames one after
-            another), and the index: ids, n_tokens, offsets of the frames
+            another), start_in_part, and the index: ids, n_tokens, offsets of the frames
 parts       ids before the first of each part
 
 A document is read by its block (found by low and high, which Parquet prunes) and
@@ -77,7 +77,7 @@ def write_token_files(
             T.StructField("block", T.LongType()), T.StructField("dict_hash", T.StringType()),
             T.StructField("low", id_type), T.StructField("high", id_type), T.StructField("payload", T.BinaryType()),
             T.StructField("ids", T.ArrayType(id_type)), T.StructField("n_tokens", T.ArrayType(T.LongType())),
-            T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType()),
+            T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("start_in_part", T.LongType()), T.StructField("tokens", T.LongType()),
         ]
     )
 
@@ -85,7 +85,7 @@ def write_token_files(
         coder = library_encoder(tokenizer, spaced)
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         held: list[tuple] = []
-        size = number = 0
+        size = number = before = 0
 
         def flush() -> pa.RecordBatch:
             offsets = np.cumsum([0, *(len(f) for _, _, f in held)]).tolist()
@@ -93,7 +93,7 @@ def write_token_files(
             row = {
                 "block": number, "dict_hash": digest, "low": min(known, default=None), "high": max(known, default=None),
                 "payload": b"".join(f for _, _, f in held), "ids": [i for i, _, _ in held], "n_tokens": [n for _, n, _ in held],
-                "offsets": offsets, "tokens": sum(n for _, n, _ in held),
+                "offsets": offsets, "start_in_part": before, "tokens": sum(n for _, n, _ in held),
             }
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -106,6 +106,7 @@ def write_token_files(
                     size += len(frame)
                     if size >= BLOCK_BYTES:
                         yield flush()
+                        before += sum(n for _, n, _ in held)
                         held, size, number = [], 0, number + 1
         if held:
             yield flush()
@@ -121,12 +122,9 @@ def write_token_files(
 
 
 def located(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks with ``start``, the number of ids before each block."""
-    blocks, parts = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/parts").select("part", "start")
-    before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = blocks.select("part", "block", "tokens").withColumn("__before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    places = places.join(F.broadcast(parts), "part").select("part", "block", (F.col("start") + F.col("__before")).alias("start"))
-    return blocks.join(places, ["part", "block"])
+    """The blocks with ``start``, the number of ids before each; ``parts`` has a row for each task of the write."""
+    parts = spark.read.parquet(f"{path}/parts").select("part", "start")
+    return spark.read.parquet(f"{path}/blocks").join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("start_in_part"))
 
 
 def shared_dictionary(spark: SparkSession, path: str) -> tuple[str, bytes, int]:

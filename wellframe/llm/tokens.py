@@ -53,7 +53,7 @@ class PieceEncoder:
 
     LONGEST = 64  # characters of a piece that is worth keeping
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], spaced: bool, most: int = 400_000):
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], spaced: bool, most: int = 600_000):
         self.encode_pieces, self.spaced, self.most = encode_pieces, spaced, most
         self.kept: dict[str, bytes] = {}
 
@@ -91,8 +91,10 @@ class PieceEncoder:
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
-#: A space, Latin letters that are normal as they stand, then ASCII signs other than the apostrophe.
-_PARTS = re.compile(r"( ?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]+)([!-&(-/:-@\[-`{-~]*)\Z")
+_LETTERS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E]+"
+_SIGNS = r"[!-&(-/:-@\[-`{-~]*"
+#: A space, Latin letters that are normal as they stand, and ASCII signs other than the apostrophe; perhaps a line's end and the same again.
+_PARTS = re.compile(rf"( ?{_LETTERS})({_SIGNS})(?:\n({_LETTERS})({_SIGNS}))?\Z")
 
 
 def _whole_pieces(tokenizer) -> Callable[[list[str]], Iterable[bytes]]:
@@ -112,7 +114,7 @@ def _byte_letters() -> dict[int, int]:
 
 def _parts_apply(tokenizer) -> bool:
     """Whether the parts of a piece can go to the model one by one: for byte-level BPE without other steps."""
-    probe = [" thusly", "Fa\u00e7ade", " \u00c0 bient\u00f4t", "x...", " y!?", " Stra\u00dfe"]
+    probe = [" thusly", "Fa\u00e7ade", " \u00c0 bient\u00f4t", "x...", " y!?", " Stra\u00dfe", " end.\nNext,"]
     try:
         parted = list(_parted_pieces(tokenizer, _whole_pieces(tokenizer))(probe))
     except Exception:  # another kind of model
@@ -120,43 +122,45 @@ def _parts_apply(tokenizer) -> bool:
     return parted == list(_whole_pieces(tokenizer)(probe))
 
 
-def _parted_pieces(tokenizer, whole: Callable[[list[str]], Iterable[bytes]], most: int = 200_000) -> Callable[[list[str]], Iterable[bytes]]:
+def _parted_pieces(tokenizer, whole: Callable[[list[str]], Iterable[bytes]], most: int = 300_000) -> Callable[[list[str]], Iterable[bytes]]:
     """Encodes a word and the signs behind it apart, each once; other pieces as a whole.
 
     A word of letters is one match of the vocabulary's pattern whatever follows it,
     and so are the signs, so the library's model takes the word directly.
     """
     letters, model = _byte_letters(), tokenizer.model
-    folded, spaced = tokenizer.normalizer is not None, tokenizer.normalizer is None
+    folded, space = tokenizer.normalizer is not None, chr(letters[32])
     words: dict[str, bytes] = {}
     signs: dict[str, bytes] = {"": b""}
 
     def word(text: str) -> bytes:
-        if folded:
-            text = text.lower().lstrip(" ")
-        if not (text.isascii() and not spaced):
-            text = text.encode().decode("latin-1").translate(letters)
-        return packed([t.id for t in model.tokenize(text)])
+        found = words.get(text)
+        if found is None:
+            plain = text.lower().lstrip(" ") if folded else text
+            if not plain.isascii():
+                plain = plain.encode().decode("latin-1").translate(letters)
+            elif plain[0] == " ":
+                plain = space + plain[1:]
+            found = words[text] = packed([t.id for t in model.tokenize(plain)])
+        return found
 
     def encode(batch: list[str]) -> Iterable[bytes]:
         cut = [_PARTS.match(p) for p in batch]
         others = iter(list(whole([p for p, m in zip(batch, cut) if m is None])))
-        new = list({m[3] for m in cut if m is not None} - signs.keys())
         if len(words) > most:
             words.clear()
         if len(signs) > most:
             signs.clear()
-            new = list({m[3] for m in cut if m is not None})
+        new = list({x for m in cut if m is not None for x in (m[2], m[4] or "", "\n")} - signs.keys())
         signs.update(zip(new, whole(new)))
+        line = b"" if folded else signs["\n"]
         for m in cut:
             if m is None:
                 yield next(others)
-                continue
-            head = m[1] + m[2]
-            ids = words.get(head)
-            if ids is None:
-                ids = words[head] = word(head)
-            yield ids + signs[m[3]]
+            elif m[3] is None:
+                yield word(m[1]) + signs[m[2]]
+            else:
+                yield word(m[1]) + signs[m[2]] + line + word(m[3]) + signs[m[4]]
 
     return encode
 
