@@ -173,3 +173,12 @@ def test_order_of_rows_does_not_matter(spark):
     assert a == b
     mw = diagnostics.two_sample_statistics(df, ["o_totalprice"], F.col("o_orderstatus") == "F").first()
     assert 0 <= mw["p_value"] <= 1 and mw["q_value"] >= mw["p_value"]
+
+
+def test_bracketed_quantiles_are_exact(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").withColumn("l_discount", F.nullif("l_discount", F.lit(0.0)))
+    features = ["l_quantity", "l_extendedprice", "l_discount"]
+    asked = {"a": 0.05, "b": 0.25, "c": 0.5, "d": 0.75, "e": 0.999}
+    plain, large = (preprocess.quantile_facts(df, features, big, **asked) for big in (False, True))
+    for f in features:
+        assert np.allclose([plain[f][k] for k in asked], [large[f][k] for k in asked], rtol=1e-12)

@@ -81,7 +81,7 @@ def file_label(c: Column) -> Column:
 
 
 def family_of(feature: Column, families: dict[str, tuple[str, ...]]) -> Column:
-    """The first family one of whose tokens stands in the name, regardless of case; else other."""
+    """The first family one of whose tokens stands in the name, regardless of case; else Other."""
     low = F.lower(feature)
     out = None
     for family, tokens in families.items():
@@ -89,4 +89,4 @@ def family_of(feature: Column, families: dict[str, tuple[str, ...]]) -> Column:
         for token in tokens:
             hit = hit | low.contains(token.lower())
         out = F.when(hit, family) if out is None else out.when(hit, family)
-    return F.lit("other") if out is None else out.otherwise("other")
+    return F.lit("Other") if out is None else out.otherwise("Other")

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wellframe.functions.quantiles import exact_quantiles
 from wellframe.functions.shapes import to_long
-from wellframe.functions.stats import average_rank, correlation, median, quantile
+from wellframe.functions.stats import correlation, median, quantile
 
 from .qc import join_groups
 
@@ -28,16 +29,25 @@ def facts(df: DataFrame, features: Sequence[str], **aggregates) -> dict[str, dic
     return {f: found.get(f, dict.fromkeys(aggregates)) for f in features}
 
 
-def winsorise(df: DataFrame, features: Sequence[str], lower: float | None = None, upper: float | None = None) -> DataFrame:
+def quantile_facts(df: DataFrame, features: Sequence[str], large: bool = False, **probabilities: float) -> dict[str, dict[str, float | None]]:
+    """{feature: {name: exact quantile}}.
+
+    ``large``: for tables of more than some 10**8 rows, where one buffer must not hold
+    a feature's distinct values; quantiles are bracketed by a sketch first.
+    """
+    if not large:
+        return facts(df, features, **{name: (lambda x, p=p: quantile(x, p)) for name, p in probabilities.items()})
+    found = exact_quantiles(to_long(df, [], features), ["feature"], "value", sorted(set(probabilities.values()))).collect()
+    at = {(r["feature"], r["probability"]): r["quantile"] for r in found}
+    return {f: {name: at.get((f, p)) for name, p in probabilities.items()} for f in features}
+
+
+def winsorise(df: DataFrame, features: Sequence[str], lower: float | None = None, upper: float | None = None, large: bool = False) -> DataFrame:
     """Clips each feature to its exact quantiles; missing values stay missing."""
-    made = {}
-    if lower is not None:
-        made["low"] = lambda x: quantile(x, lower)
-    if upper is not None:
-        made["high"] = lambda x: quantile(x, upper)
-    if not made:
+    asked = {name: p for name, p in (("low", lower), ("high", upper)) if p is not None}
+    if not asked:
         return df
-    known = facts(df, features, **made)
+    known = quantile_facts(df, features, large, **asked)
 
     def clip(f: str) -> Column:
         x = F.col(f).cast("double")
@@ -125,7 +135,7 @@ def missing_indicators(df: DataFrame, features: Sequence[str], most: int = 500,
     return df.withColumns({f"MissingIndicator__{f}": F.col(f).isNull().cast("int") for f in able})
 
 
-def impute(df: DataFrame, features: Sequence[str], method: str = "median", groups: Sequence[str] = ()) -> DataFrame:
+def impute(df: DataFrame, features: Sequence[str], method: str = "median", groups: Sequence[str] = (), large: bool = False) -> DataFrame:
     """Fills missing values: median, mean, zero, group_median or group_mean (then the overall one, then 0)."""
     if method == "zero":
         return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
@@ -133,7 +143,7 @@ def impute(df: DataFrame, features: Sequence[str], method: str = "median", group
     if kind not in ("median", "mean"):
         raise ValueError(f"unknown method {method}")
     make = median if kind == "median" else F.avg
-    known = facts(df, features, value=make)
+    known = quantile_facts(df, features, large, value=0.5) if kind == "median" else facts(df, features, value=make)
     fill = {f: F.lit(float(known[f]["value"]) if known[f]["value"] is not None else 0.0) for f in features}
     if not method.startswith("group_"):
         return df.withColumns({f: F.coalesce(F.col(f).cast("double"), fill[f]) for f in features})
@@ -232,16 +242,18 @@ def batch_confounding(df: DataFrame, batch: str, protected: Sequence[str]) -> Da
     return out
 
 
-def scale(df: DataFrame, features: Sequence[str], method: str = "robust") -> DataFrame:
+def scale(df: DataFrame, features: Sequence[str], method: str = "robust", large: bool = False) -> DataFrame:
     """robust: median and interquartile range; standard: mean and sd (n); minmax; none. A zero scale counts as 1."""
     if method == "none":
         return df
-    made = {
-        "robust": dict(centre=median, low=lambda x: quantile(x, 0.25), high=lambda x: quantile(x, 0.75)),
-        "standard": dict(centre=F.avg, high=F.stddev_pop),
-        "minmax": dict(centre=F.min, low=F.min, high=F.max),
-    }[method]
-    known = facts(df, features, **made)
+    if method == "robust":
+        known = quantile_facts(df, features, large, centre=0.5, low=0.25, high=0.75)
+    elif method == "standard":
+        known = facts(df, features, centre=F.avg, high=F.stddev_pop)
+    elif method == "minmax":
+        known = facts(df, features, centre=F.min, low=F.min, high=F.max)
+    else:
+        raise ValueError(f"unknown method {method}")
 
     def scaled(f: str) -> Column:
         k = known[f]
@@ -346,9 +358,15 @@ def validate_matrix(df: DataFrame, features: Sequence[str], context: str = "fina
     return out.withColumn("status", F.lit("ok"))
 
 
-#: Families of features by tokens in their names (fixed values).
+#: Families of features by parts of their names, the first that fits (fixed values).
 FAMILIES = {
-    "intensity": ("intensity",), "texture": ("texture", "haralick"), "shape": ("areashape", "shape", "area"), "granularity": ("granularity",),
-    "correlation": ("correlation",), "radial": ("radial",), "neighbours": ("neighbor", "neighbour"), "location": ("location", "centroid"),
-    "count": ("count", "number"),
-}
+    "Intensity": ("intensity",),
+    "Texture": ("texture",),
+    "AreaShape": ("areashape",),
+    "Granularity": ("granularity",),
+    "RadialDistribution": ("radialdistribution",),
+    "Correlation": ("correlation",),
+    "Neighbors": ("neighbors",),
+    "Location": ("location",),
+    "MissingnessIndicator": ("missingindicator__",),
+}

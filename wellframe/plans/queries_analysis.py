@@ -232,7 +232,7 @@ def eta_squared(spark, sf):
     return rounded(diagnostics.eta_squared(object_profiles(spark, sf), FEATURES, "plate"))
 
 
-@query("feature_family_counts", """SELECT CASE WHEN f LIKE '%Intensity%' THEN 'intensity' WHEN f LIKE '%Texture%' THEN 'texture' ELSE 'other' END AS family, count(*) AS n
+@query("feature_family_counts", """SELECT CASE WHEN f LIKE '%Intensity%' THEN 'Intensity' WHEN f LIKE '%Texture%' THEN 'Texture' ELSE 'Other' END AS family, count(*) AS n
 FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN 'Cells_Intensity_' WHEN 1 THEN 'Nuclei_Texture_' ELSE 'Misc_' END || p_partkey::VARCHAR AS f FROM part) GROUP BY 1""")
 def feature_family_counts(spark, sf):
     k = F.col("p_partkey")

@@ -13,24 +13,41 @@ from pyspark.sql import functions as F
 
 SUFFIXES = (".parquet", ".csv", ".csv.gz", ".tsv", ".tsv.gz", ".txt")
 
-# Names by which columns are known.
-METADATA_TOKENS = ("metadata", "plate", "well", "site", "compound", "cpd", "moa", "batch", "dose", "concentration", "replicate", "donor", "timepoint", "library", "dataset", "sample", "filename", "pathname", "imagenumber", "objectnumber")
-FEATURE_TOKENS = ("intensity", "texture", "areashape", "granularity", "correlation", "radialdistribution", "neighbors", "zernike", "colocalization", "feature")
-EXCLUDED_PREFIXES = ("executiontime", "imagequality", "filename", "pathname", "md5digest", "moduleerror", "processingstatus", "height_", "width_", "scaling_", "group_", "url_", "series_", "frame_", "channel_", "threshold_")
-COUNT_TOKENS = ("count_", "_count", "number_object_number", "parent_", "children_")
+# Parts of names by which columns are known; they must be these for equal results.
+METADATA_TOKENS = (
+    "metadata", "plate", "well", "site", "field", "compound", "treatment", "dose", "concentration", "donor", "batch", "replicate",
+    "moa", "mechanism", "class", "label", "library", "barcode", "sourcew", "cpd_id", "cpd_type",
+)
+FEATURE_TOKENS = ("areashape", "children", "correlation", "granularity", "intensity", "location", "neighbors", "radialdistribution", "texture", "zernike")
+EXCLUDED_PREFIXES = (
+    "executiontime", "filename", "pathname", "url", "md5digest", "height", "width", "channel", "group_index", "group_length", "group_number",
+    "imageid", "imagename", "imagenumber", "imageseries", "objectnumber", "number_object_number", "parent_", "mean_parent_",
+)
+COUNT_TOKENS = ("count_", "mean_count_", "children_", "mean_children_")
+#: Canonical columns and the names that stand for them, in lower case; case does not matter.
 ALIASES = {
-    "Metadata_Plate": ("plate_metadata", "plate", "plate_id", "barcode", "assay_plate"),
-    "Metadata_Well": ("well_metadata", "well", "well_id", "assay_well"),
-    "Metadata_Row": ("row", "well_row", "plate_row"),
-    "Metadata_Column": ("column", "col", "well_column", "plate_column"),
-    "Metadata_Source_Plate": ("source_plate", "source_plate_barcode", "spb"),
-    "Metadata_Source_Well": ("source_well", "sw"),
-    "Metadata_Compound": ("compound", "cpd_id", "compound_id", "compound_name"),
-    "Metadata_MOA": ("moa", "known_moa", "mechanism"),
-    "Metadata_Dose": ("dose", "concentration", "conc"),
-    "Metadata_Batch": ("batch", "batch_id"),
-    "Metadata_Replicate": ("replicate", "replicate_id"),
-    "Metadata_Site": ("site", "field", "fov"),
+    "Metadata_Plate": (
+        "metadata_plate", "plate_metadata", "plate", "plate_id", "plateid", "image_metadata_plate", "metadata_plateid", "assay_plate_barcode",
+        "assayplatebarcode", "destination_plate_barcode", "destinationplatebarcode",
+    ),
+    "Metadata_Well": (
+        "metadata_well", "well_metadata", "well", "well_id", "image_metadata_well", "assay_well", "assaywell", "metadata_assay_well",
+        "destinationwell", "destination_well", "destination well", "well_position",
+    ),
+    "Metadata_Source_Plate": ("metadata_source_plate", "source_plate_barcode", "source plate barcode", "sourceplatebarcode", "spb"),
+    "Metadata_Source_Well": ("metadata_source_well", "source_well", "source well", "sourcewell", "sw", "sw2"),
+    "Metadata_Row": ("metadata_row", "row_metadata", "row", "plate_row", "image_metadata_row"),
+    "Metadata_Column": ("metadata_column", "column_metadata", "column", "plate_column", "image_metadata_column"),
+    "Metadata_Site": ("metadata_site", "field_metadata", "site", "image_metadata_site", "imagenumber_metadata_site", "field"),
+    "Metadata_Compound": (
+        "metadata_compound", "compound", "name", "cpd_id", "compound_id", "compound_number", "compound_name", "pert_iname", "treatment",
+    ),
+    "Metadata_MOA": ("metadata_moa", "moa", "mechanism", "cpd_type", "class", "mode_of_action", "modeofaction"),
+    "Metadata_Dose": ("metadata_dose", "dose", "destination concentration", "destination_concentration", "concentration", "pert_dose"),
+    "Metadata_Dose_Unit": (
+        "metadata_dose_unit", "destination concentration units", "destination_concentration_units", "dose_unit", "concentration_units",
+    ),
+    "Metadata_Batch": ("metadata_batch", "batch", "library", "experiment"),
 }
 
 
@@ -148,11 +165,11 @@ def is_feature_name(name: str) -> bool:
 
 
 def exclusion(name: str) -> str | None:
-    """Why a numeric column is provenance or a count rather than a feature."""
-    low = name.lower().split("__")[-1]
-    if low.startswith(EXCLUDED_PREFIXES):
+    """Why a numeric column is provenance or a count rather than a feature; a table's prefix (``cells__``) aside."""
+    low = name.lower()
+    if low.startswith(EXCLUDED_PREFIXES) or low.split("__")[-1].startswith(EXCLUDED_PREFIXES):
         return "excluded_prefix"
-    return "count_or_parent" if low.startswith(COUNT_TOKENS) or any(t in low for t in COUNT_TOKENS) else None
+    return "count" if any(t in low for t in COUNT_TOKENS) else None
 
 
 def column_roles(df: DataFrame, metadata: Sequence[str] | None = None, features: Sequence[str] | None = None) -> list[tuple[str, str]]:
