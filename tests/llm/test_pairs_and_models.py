@@ -86,7 +86,9 @@ def test_similar_sets_is_exact():
     base = np.unique(rng.integers(0, 2**62, 400, dtype=np.uint64))
     sets = [np.unique(np.concatenate([base[: len(base) - k], rng.integers(0, 2**62, k, dtype=np.uint64)])) for k in (0, 5, 30, 44, 45, 60, 200)]
     want = [[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets]
-    assert jaccard.similar_sets([s.tobytes() for s in sets]).tolist() == want
+    got = jaccard.similar_sets([s.tobytes() for s in sets])
+    np.fill_diagonal(got, True)
+    assert got.tolist() == want
 
 
 def test_components(spark):
@@ -180,6 +182,15 @@ def test_mean_of_table_rows_is_the_embedding_score():
     bags = subwords.bags(f, texts)
     want = [b[1] @ model.table[b[0]] + model.bias for b in bags]
     assert np.allclose(model.scores(texts), want, atol=1e-5)
+    assert np.allclose(model.scores(texts[::-1])[::-1], want, atol=1e-5)
+
+
+def test_features_are_words_and_their_ngrams():
+    f = subwords.Features(bits=20, longest=4)
+    n = lambda text: sum(map(len, f.hashed([text])[0]))
+    # " ab ": a, b / _a, ab, b_ / _ab, ab_ / _ab_ / the word
+    assert n("ab") == 2 + 3 + 2 + 1 + 1 and n("ab cd") == 2 * n("ab") and n("") == 0
+    assert {x for k in f.hashed(["ab  cd"])[0] for x in k} == {x for t in ("ab", "cd") for k in f.hashed([t])[0] for x in k}
 
 
 # ---- pipeline

@@ -56,7 +56,7 @@ class Features:
         shift = np.uint64(64 - self.bits)
         buckets, places = [], []
         rolling = code.copy()
-        clear = ~space  # whether places i+1 .. i+n-2 hold no space
+        inner = space
         for n in range(1, self.longest + 1):
             if n > 1:
                 rolling = rolling[:-1] + code[n - 1 :] * np.uint64(pow(_BASE, n - 1, 2**64))
@@ -64,14 +64,12 @@ class Features:
                 valid = ~space
             elif n == 2:
                 valid = ~(space[:-1] & space[1:])
-            else:
-                inner = inner[:-1] & ~space[n - 2 : -1] if n > 3 else ~space[1:-1]
+            else:  # no space but at the ends
+                inner = ~space[1:-1] if n == 3 else inner[:-1] & ~space[n - 2 : -1]
                 valid = inner
-            if n == 3:
-                inner = ~space[1:-1]
             at = np.flatnonzero(valid)
             buckets.append((mixed(rolling[at] + np.uint64(n)) * _MIX >> shift).astype(np.int64))
-            places.append(np.maximum(at - 1, 0))
+            places.append(at - 1 + space[at])  # a leading space may be the text's before
         start = np.flatnonzero(~space[1:] & space[:-1]) + 1
         stop = np.flatnonzero(~space[:-1] & space[1:]) + 1
         if len(start):
