@@ -10,20 +10,22 @@ from wellframe.llm import queries as q
 from wellframe.llm.common import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What goes past a model beside the text that it reads, and comes back as the documents' columns.
+CARRIED = {("whole" if c == "text" else c): c for c in COLUMNS}
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier predicts to be of label 0."""
     model = classify.quality_model(q.labelled_quality(docs, q.table(spark, sf_dir, "labels")))
-    scored = classify.score_quality(docs, model, "text", **{c: c for c in COLUMNS}, whole="text")
-    return scored.where("predicted = 1").select(*[F.col("whole" if c == "text" else c).alias(c) for c in COLUMNS])
+    scored = classify.score_quality(docs, model, "text", **CARRIED)
+    return scored.where("predicted = 1").select(*[F.col(name).alias(c) for name, c in CARRIED.items()])
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language the model rejects."""
     model = classify.language_model(q.labelled_language(docs))
-    found = classify.identify_language(docs, model, "text", **{c: c for c in COLUMNS}, whole="text")
-    return found.where("NOT rejected").select(*[F.col("whole" if c == "text" else c).alias(c) for c in COLUMNS])
+    found = classify.identify_language(docs, model, "text", **CARRIED)
+    return found.where("NOT rejected").select(*[F.col(name).alias(c) for name, c in CARRIED.items()])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
