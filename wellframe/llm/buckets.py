@@ -90,8 +90,9 @@ def bucket_links(members: DataFrame, payload: DataFrame, kind: str, score: Score
             small, last = small.union(blocks), True
         links = compare_small(small, kind, score, link)
         if not last:
-            pivots = payload.select(F.col("key").alias("pivot"), F.col("values").alias("pivot_values"))
-            held = written(against_pivots(large.join(pivots, "pivot"), kind, score), "pivots")
+            chosen = large.select("bucket", F.col("pivot").alias("key")).distinct()
+            pivots = chosen.join(payload, "key").select("bucket", F.col("values").alias("pivot_values"))
+            held = written(against_pivots(large.join(pivots, "bucket"), kind, score), "pivots")
             links = links.union(held.where((F.col("score") >= link) & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
             rest = held.where((F.col("score") < core) & (F.col("key") != F.col("pivot"))).select("bucket", "key").join(payload, "key")
             members = written(children(rest, kind, split, level), "members")

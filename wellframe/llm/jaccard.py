@@ -26,6 +26,10 @@ from .components import connected_components
 from .subwords import mixed, powers
 
 WORDS, SIMILARITY, PLACES = 5, 0.8, 64
+#: Share of equal minhashes from which sets are tied into a group, and from which a set tied to a pivot is done with:
+#: shares of unequal places obey the triangle inequality, so a set that agrees in 1 - (CORE - TIED) = 0.65 or more with
+#: one that is done is tied to the pivot itself, and a pair at 0.8 falls below 0.65 with a chance of about 1 in 1,000.
+TIED, CORE = 0.4, 0.75
 _R, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 #: Bits of the filter of members of groups, sent to the scan of the texts.
 FILTER_BITS = 1 << 23
@@ -218,7 +222,7 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, recall: float = 0.999
     classes = written(classes, "classes")
     payload = classes.groupBy("key").agg(F.min("values").alias("values"))
     members = first_buckets(payload, chosen_places(runs_for(recall)))
-    edges = bucket_links(members, payload, "<u4", agreement, 0.5, 0.85, split_bucket)
+    edges = bucket_links(members, payload, "<u4", agreement, TIED, CORE, split_bucket)
     groups = connected_components(edges).withColumnRenamed("node", "key")
     weights = classes.groupBy("key").agg(F.sum("weight").alias("weight"))
     keyed = groups.join(weights, "key")
