@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, pick, text_blocks, written
-from .tokens import library_encoder
+from .tokens import TEXT_BLOCK, library_encoder
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -112,7 +112,7 @@ def cut_documents(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end
         encoder = library_encoder(tokenizer, spaced)
         took: list[int] = []
         out: dict[str, list[int]] = {"start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
-        for first, block in text_blocks(batch.column(1).to_pylist()):
+        for first, block in text_blocks(batch.column(1).to_pylist(), TEXT_BLOCK):
             for i, ids in enumerate(encoder.encode(block), first):
                 ids += end
                 total = len(ids) // 4

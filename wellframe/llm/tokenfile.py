@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import pick, text_blocks
-from .tokens import library_encoder
+from .tokens import TEXT_BLOCK, library_encoder
 
 BLOCK_BYTES = 1 << 20
 
@@ -67,7 +67,7 @@ def write_token_files(
     encoder = library_encoder(tokenizer, spaced)
     end = np.array([end_id], "<u4").tobytes()
     texts = sampled_texts(rows, sample)
-    samples = [serialized(ids + end, width) for _, block in text_blocks(texts) for ids in encoder.encode(block)]
+    samples = [serialized(ids + end, width) for _, block in text_blocks(texts, TEXT_BLOCK) for ids in encoder.encode(block)]
     dictionary = train_dictionary(samples, dictionary_bytes)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary), width)], "dict_hash string, dictionary binary, width int").write.parquet(f"{path}/dictionary")
@@ -99,7 +99,7 @@ def write_token_files(
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, block in text_blocks(batch.column(1).to_pylist()):
+            for first, block in text_blocks(batch.column(1).to_pylist(), TEXT_BLOCK):
                 for i, ids in enumerate(coder.encode(block), first):
                     frame = packer.compress(serialized(ids + end, width))
                     held.append((keys[i], len(ids) // 4 + 1, frame))

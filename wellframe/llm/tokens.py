@@ -14,6 +14,9 @@ import sys
 from array import array
 from collections.abc import Callable, Iterable
 
+#: Characters that are encoded together.
+TEXT_BLOCK = 1_000_000
+
 _GAP = re.compile(r"\s ")
 _ENDS_IN_SPACE = re.compile(r"\s\Z")
 
