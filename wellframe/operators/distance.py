@@ -41,6 +41,24 @@ def pairwise(df: DataFrame, id_col: str, vector: str, metric: str = "cosine") ->
     return a.join(b, F.col("id_a") < F.col("id_b")).select("id_a", "id_b", distance(F.col("va"), F.col("vb"), metric).alias("distance"))
 
 
+def blocks(df: DataFrame, id_col: str, vector: str, metric: str, name: str, block: int = 512) -> DataFrame:
+    """name_ids and name (prepared vectors): rows dealt into lists of about ``block`` by a hash; those without id or vector are left out."""
+    v = df.select(F.col(id_col).alias("id"), prepared(F.col(vector), metric).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    n = max(1, -(-v.count() // block))
+    dealt = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
+    # a product of p by q partitions has p q tasks: about eight blocks go to each partition
+    return dealt.agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(name)).drop("block").coalesce(-(-n // 8))
+
+
+def block_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Of all rows of x to all of y, prepared."""
+    if metric == "euclidean":
+        return np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if x.shape[1] * len(x) * len(y) < 2**26 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+    if metric == "cityblock":
+        return np.stack([np.abs(y - r).sum(1) for r in x])
+    return 1 - x @ y.T
+
+
 def _block_top(metric: str, k: int, same_id: bool):
     """Nearest k of one block for each query of another, in numpy."""
 
@@ -48,12 +66,7 @@ def _block_top(metric: str, k: int, same_id: bool):
         for f in frames:
             for q_ids, q, b_ids, b in zip(f["q_ids"], f["q"], f["b_ids"], f["b"]):
                 x, y = np.stack(q).astype(float), np.stack(b).astype(float)
-                if metric == "euclidean":
-                    d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if x.shape[1] * len(x) * len(y) < 2**26 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-                elif metric == "cityblock":
-                    d = np.stack([np.abs(y - r).sum(1) for r in x])
-                else:
-                    d = 1 - x @ y.T
+                d = block_distances(x, y, metric)
                 qi, bi = np.asarray(q_ids), np.asarray(b_ids)
                 if same_id:
                     d[qi[:, None] == bi[None, :]] = np.inf
@@ -78,14 +91,8 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 10, metric: str =
         raise ValueError("k must be at least 1")
     id_type = df.schema[id_col].dataType
 
-    def blocks(part: DataFrame, name: str) -> DataFrame:
-        v = part.select(F.col(id_col).alias("id"), prepared(F.col(vector), metric).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-        n = max(1, -(-v.count() // block))
-        dealt = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
-        return dealt.agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(name)).drop("block")
-
     # the blocks' product is the exact search itself: n/block rows on each side
-    pairs = blocks(df, "q").crossJoin(blocks(df if base is None else base, "b"))
+    pairs = blocks(df, id_col, vector, metric, "q", block).crossJoin(blocks(df if base is None else base, id_col, vector, metric, "b", block))
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("neighbour_id", id_type), T.StructField("distance", T.DoubleType())])
     best = pairs.mapInPandas(_block_top(metric, k, True), schema)
     w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")

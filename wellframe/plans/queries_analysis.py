@@ -50,6 +50,29 @@ def pairwise_cityblock(spark, sf):
     return rounded(distance.pairwise(vectors(spark, sf).where("label = 3"), "vec_id", "embedding", "cityblock"))
 
 
+# the four above keep to one label, as their SQL does; these take all pairs of the table
+
+
+@query("pairwise_cosine_all")
+def pairwise_cosine_all(spark, sf):
+    return rounded(distance.pairwise(vectors(spark, sf), "vec_id", "embedding"))
+
+
+@query("pairwise_euclidean_all")
+def pairwise_euclidean_all(spark, sf):
+    return rounded(distance.pairwise(vectors(spark, sf), "vec_id", "embedding", "euclidean"))
+
+
+@query("pairwise_correlation_all")
+def pairwise_correlation_all(spark, sf):
+    return rounded(distance.pairwise(vectors(spark, sf), "vec_id", "embedding", "correlation"))
+
+
+@query("pairwise_cityblock_all")
+def pairwise_cityblock_all(spark, sf):
+    return rounded(distance.pairwise(vectors(spark, sf), "vec_id", "embedding", "cityblock"))
+
+
 @query("knn_topk", f"WITH {NEAR} SELECT query_id, neighbour_id, rank::INTEGER AS rank, {r('distance')} AS distance FROM nn")
 def knn_topk(spark, sf):
     return rounded(five_nearest(spark, sf))
@@ -322,6 +345,11 @@ def loo_centroid(spark, sf):
     return moa.leave_one_out(vectors(spark, sf).where("vec_id < 300"), "vec_id", "embedding", "label")
 
 
+@query("loo_centroid_all")
+def loo_centroid_all(spark, sf):
+    return moa.leave_one_out(vectors(spark, sf), "vec_id", "embedding", "label")
+
+
 @query("moa_separability", f"""WITH {UNIT}, d AS (SELECT a.label = b.label AS same, {COSINE} AS d FROM u a JOIN u b ON a.vec_id < b.vec_id)
 SELECT {r('median(d) FILTER (same)')} AS median_within, {r('median(d) FILTER (NOT same)')} AS median_between, {r('median(d) FILTER (NOT same) - median(d) FILTER (same)')} AS separability FROM d""")
 def moa_separability(spark, sf):
@@ -423,13 +451,13 @@ def kmeans(spark, sf):
 
 @query("dbscan")
 def dbscan(spark, sf):
-    return models.dbscan(vectors(spark, sf).where("label < 3"), "vec_id", "embedding", 0.75, 4, "cosine")
+    return models.dbscan(vectors(spark, sf), "vec_id", "embedding", 0.75, 4, "cosine")
 
 
 @query("rf_cv")
 def rf_cv(spark, sf):
     df, names = _flat(spark, sf, 4)
-    return models.cross_validate(df.where("vec_id < 200"), "vec_id", names, "label", "logistic_regression", 2)[1]
+    return models.cross_validate(df, "vec_id", names, "label", "logistic_regression", 2)[1]
 
 
 @query("bootstrap_neighbour_stability")
@@ -441,7 +469,7 @@ def bootstrap_neighbour_stability(spark, sf):
 @query("consensus_pairs")
 def consensus_pairs(spark, sf):
     df, names = _flat(spark, sf)
-    return models.consensus_pairs(df.where("vec_id < 100"), "vec_id", names, 3, 2)
+    return models.consensus_pairs(df, "vec_id", names, 3, 2)
 
 
 @query("validation_split", """SELECT label, count(*) AS n, CASE WHEN count(*) < 4 THEN 0 ELSE least(greatest(2, round_even(count(*) * 0.15, 0)), count(*) - 2) END::BIGINT AS n_validation FROM embeddings GROUP BY 1""")
