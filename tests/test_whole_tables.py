@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellframe.operators import models, moa
-from wellframe.plans import queries
+from wellframe.plans import queries, queries_analysis
 
 RUN = queries.queries()
 SMALL = "/root/testdata/sf0.001"
@@ -106,3 +106,45 @@ def test_consensus_of_many_rounds(spark):
 def test_pairwise_of_the_whole_table(spark, rows, metric):
     n = len(rows[0])
     assert RUN[f"pairwise_{metric}_all"](spark, SMALL).count() == n * (n - 1) // 2
+
+
+def plain_tops(x, ids, y):
+    """Best cosine of each row by permutation, the labels themselves first."""
+    names, codes = np.unique(y, return_inverse=True)
+    ends, k = np.cumsum(np.bincount(codes)), np.argsort(np.argsort(ids))
+    out = []
+    for p in range(101):
+        c = np.searchsorted(ends, moa.dealt(k, len(ids), 0, p), "right") if p else codes
+        out.append((x @ unit(np.stack([np.median(x[c == j], 0) for j in range(len(names))])).T).max(1))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("part", [None, 90])
+def test_anchor_permutation_scores_every_row_against_100_permutations(spark, rows, part):
+    ids, y, x = rows
+    tops = plain_tops(unit(x), ids, y)
+    if part:
+        got = moa.anchor_permutation(queries_analysis.vectors(spark, SMALL), "vec_id", "embedding", "label", part=part).collect()
+    else:
+        got = RUN["anchor_permutation"](spark, SMALL).collect()
+    got = {r["id"]: r for r in got}
+    assert sorted(got) == ids.tolist() and {r["n_permutations"] for r in got.values()} == {100}
+    for i, t in zip(ids.tolist(), tops.T):
+        assert abs(got[i]["observed_top_score"] - t[0]) < 1e-5
+        assert got[i]["null_exceedances"] == (t[1:] >= t[0]).sum()
+        assert abs(got[i]["empirical_p_value"] - (1 + (t[1:] >= t[0]).sum()) / 101) < 1e-5
+
+
+def test_dealt_is_a_permutation():
+    for n in (1, 2, 3, 17, 1000):
+        for p in range(1, 4):
+            assert sorted(moa.dealt(np.arange(n), n, 0, p).tolist()) == list(range(n))
+
+
+def test_models_see_all_components_and_a_forest_of_five_folds(spark, monkeypatch):
+    df, names = queries_analysis._flat(spark, SMALL)
+    assert len(names) == 64 and set(names) < set(df.columns)
+    asked = []
+    monkeypatch.setattr(models, "cross_validate", lambda d, i, features, label, name="random_forest", folds=5: asked.append((d.count(), features, name, folds)) or (None, d))
+    RUN["rf_cv"](spark, SMALL)
+    assert asked == [(500, names, "random_forest", 5)]

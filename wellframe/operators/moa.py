@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellframe.functions import stats
 
@@ -204,6 +206,126 @@ def permutation_p(observed: float, null: Sequence[float]) -> float:
     return (1 + sum(v >= observed for v in null)) / (len(null) + 1)
 
 
+def dealt(k: np.ndarray, n: int, seed: int, p: int) -> np.ndarray:
+    """Where permutation p of 0 to n - 1 puts k: multiplied and shifted within a power of two, again while not below n."""
+    bits = max(2, int(n - 1).bit_length())
+    rng = np.random.default_rng([seed, p])
+    factors, terms = rng.integers(0, 1 << bits, 5, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << bits, 5, dtype=np.uint64)
+    mask, half = np.uint64((1 << bits) - 1), np.uint64(max(1, bits // 2))
+    out = k.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        x = out[todo]
+        for m, a in zip(factors, terms):
+            x = (x * m + a) & mask
+            x ^= x >> half
+        out[todo] = x
+        todo = todo[x >= n]
+    return out.astype(np.int64)
+
+
+def anchor_permutation(df: DataFrame, id_col: str, vector: str, label: str, permutations: int = 100, seed: int = 0, part: int = 1 << 18) -> DataFrame:
+    """id, observed_top_score, empirical_p_value, n_permutations and null_exceedances: is a row nearer to its best centroid than chance?
+
+    Rows with a label are the anchors. Unit median centroids of their unit vectors are
+    built from the labels and anew from each permutation of these among the anchors; a
+    row's best cosine is compared with its best one under each. An anchor's place in
+    order of ids is permuted by arithmetic, so a task knows all labels without a
+    shuffle. Middle values are picked by dimension from parts of about ``part`` values
+    (a value that very many rows share stays in one part). On the driver and sent to
+    the scores: a number for each permutation, class and dimension. A row whose vector
+    is null or has a component that is null or NaN has no score and is no anchor.
+    """
+    spark = df.sparkSession
+    held = df.where(F.col(vector).isNotNull()).agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if held[0] != held[1]:
+        raise ValueError("vectors must have one length")
+    d = held[1]
+    v = F.transform(vector, lambda x: x.cast("double"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"), F.when(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)), stats.unit(v)).alias("v"))
+    anchors = rows.where("label IS NOT NULL AND v IS NOT NULL")
+    sizes = sorted(map(tuple, anchors.groupBy("label").count().collect()))
+    if not sizes:
+        raise ValueError("no anchors")
+    of, classes = np.array([s for _, s in sizes]), len(sizes)
+    ends, n = np.cumsum(of), int(of.sum())
+    codes = spark.createDataFrame([(name, i) for i, (name, _) in enumerate(sizes)], "label string, code int")
+    kept = anchors.join(F.broadcast(codes), "label").repartitionByRange("id").sortWithinPartitions("id").select("code", "v", F.monotonically_increasing_id().alias("at")).persist()
+    high = F.shiftright("at", 33)
+    counts = sorted(map(tuple, kept.groupBy(high.alias("p")).count().collect()))
+    starts = spark.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, np.cumsum([0, *[c for _, c in counts]]))], "p bigint, start bigint")
+    # a row for each partition, broadcast
+    placed = kept.join(F.broadcast(starts), high == F.col("p")).select((F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("start")).alias("k"), "code", "v")
+    long = placed.select("k", "code", F.posexplode("v").alias("i", "x"))
+    parts = -(-n // part)
+    if parts > 1:
+        cuts = long.groupBy("i").agg(F.percentile_approx("x", [j / parts for j in range(1, parts)], 10_000).alias("cuts"))
+        # a row for each dimension, kept as it is: both passes must cut alike
+        cuts = spark.createDataFrame(cuts.collect(), cuts.schema)
+        long = long.join(F.broadcast(cuts), "i").withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("x")))).drop("cuts")
+    else:
+        long = long.withColumn("part", F.lit(0))
+
+    def labels(f: pd.DataFrame):
+        k, code = f["k"].to_numpy(), f["code"].to_numpy()
+        for p in range(permutations + 1):
+            yield p, code if p == 0 else np.searchsorted(ends, dealt(k, n, seed, p), "right")
+
+    def count(f: pd.DataFrame) -> pd.DataFrame:
+        found = np.concatenate([np.bincount(c, minlength=classes) for _, c in labels(f)])
+        return pd.DataFrame({"i": [f["i"].iat[0]], "part": [f["part"].iat[0]], "n": [found]})
+
+    def before(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("part")
+        n = np.stack(f["n"])
+        return pd.DataFrame({"i": f["i"].to_numpy(), "part": f["part"].to_numpy(), "n": list(np.cumsum(n, 0) - n)})
+
+    def pick(f: pd.DataFrame, earlier: pd.DataFrame | None = None) -> pd.DataFrame:
+        past = np.zeros((permutations + 1, classes), np.int64) if earlier is None else np.asarray(earlier["n"].iat[0]).reshape(-1, classes)
+        f = f.sort_values("x", kind="stable")
+        x, at, values = f["x"].to_numpy(), [], []
+        for p, c in labels(f):
+            order = np.argsort(c.astype(np.uint16) if classes < 1 << 16 else c, kind="stable")
+            here = np.bincount(c, minlength=classes)
+            first = np.cumsum(here) - here
+            for side, rank in enumerate(((of - 1) // 2, of // 2)):
+                local = rank - past[p]
+                hit = np.flatnonzero((local >= 0) & (local < here))
+                at.append((side * (permutations + 1) + p) * classes + hit)
+                values.append(x[order[(first + local)[hit]]])
+        return pd.DataFrame({"i": [f["i"].iat[0]], "at": [np.concatenate(at)], "x": [np.concatenate(values)]})
+
+    by, picked = long.groupBy("i", "part"), "i int, at array<bigint>, x array<double>"
+    if parts > 1:
+        table = "i int, part int, n array<bigint>"
+        past = by.applyInPandas(count, table).groupBy("i").applyInPandas(before, table)
+        found = by.cogroup(past.groupBy("i", "part")).applyInPandas(pick, picked)
+    else:
+        found = by.applyInPandas(lambda f: pick(f), picked)
+    middle = np.full((2 * (permutations + 1) * classes, d), np.nan)
+    for r in found.toLocalIterator():
+        middle[r["at"], r["i"]] = r["x"]
+    centres = middle.reshape(2, permutations + 1, classes, d).mean(0)
+    centres /= np.maximum(np.sqrt((centres**2).sum(-1, keepdims=True)), 1e-12)
+    kept.unpersist()
+
+    def score(frames):
+        for f in frames:
+            known = f["v"].notna().to_numpy()
+            top, over = np.full(len(f), np.nan), np.zeros(len(f), np.int64)
+            if known.any():
+                x = np.stack(f["v"][known])
+                top[known] = (x @ centres[0].T).max(1)
+                for p in range(1, permutations + 1):
+                    over[known] += (x @ centres[p].T).max(1) >= top[known]
+            yield pd.DataFrame({"id": f["id"], "observed_top_score": top, "null_exceedances": over, "known": known})
+
+    scored = rows.select("id", "v").mapInPandas(score, T.StructType([rows.schema["id"], *T.StructType.fromDDL("observed_top_score double, null_exceedances bigint, known boolean")]))
+    shown = lambda c: F.when(F.col("known"), c)
+    over = F.col("null_exceedances")
+    return scored.select("id", shown(F.col("observed_top_score")).alias("observed_top_score"), shown((over + 1) / (permutations + 1)).alias("empirical_p_value"), F.lit(permutations).alias("n_permutations"), shown(over).alias("null_exceedances"))
+
+
 def clean_labels(labels: DataFrame, id_col: str, label: str, split: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Trimmed, non-empty (id, label) pairs, split and exploded where asked, once each; and counts before and after."""
     bad = ("", "nan", "none", "na")

@@ -359,11 +359,7 @@ def moa_separability(spark, sf):
 
 @query("anchor_permutation")
 def anchor_permutation(spark, sf):
-    v = vectors(spark, sf).where("vec_id < 200")
-    pairs = distance.pairwise(v, "vec_id", "embedding").persist()
-    observed = moa.separability(pairs, v, "vec_id", "label").first()["separability"]
-    null = [moa.separability(pairs, moa.shuffled_labels(v.select("vec_id", "label"), "vec_id", "label", s), "vec_id", "label").first()["separability"] for s in range(5)]
-    return spark.createDataFrame([(float(observed), float(moa.permutation_p(observed, null)), len(null))], "separability double, p_value double, n_permutations int")
+    return rounded(moa.anchor_permutation(vectors(spark, sf), "vec_id", "embedding", "label"))
 
 
 @query("phenotype_label_audit", """WITH t AS (SELECT doc_id::VARCHAR AS id, CASE quality WHEN 1 THEN ' good ' WHEN 0 THEN 'na' END AS label FROM labels), g AS (SELECT id, trim(label) AS label FROM t WHERE label IS NOT NULL AND trim(label) NOT IN ('', 'nan', 'none', 'na'))
@@ -432,9 +428,11 @@ def positive_label_report(spark, sf):
 # ---------------------------------------------------------------- models, latent workflow
 
 
-def _flat(spark, sf, dims: int = 8) -> tuple[DataFrame, list[str]]:
-    names = [f"f{i}" for i in range(dims)]
-    return vectors(spark, sf).select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)]), names
+def _flat(spark, sf) -> tuple[DataFrame, list[str]]:
+    """All components of the embeddings as columns."""
+    v = vectors(spark, sf)
+    names = [f"f{i}" for i in range(v.agg(F.max(F.size("embedding"))).first()[0])]
+    return v.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)]), names
 
 
 @query("pca_scores")
@@ -456,8 +454,8 @@ def dbscan(spark, sf):
 
 @query("rf_cv")
 def rf_cv(spark, sf):
-    df, names = _flat(spark, sf, 4)
-    return models.cross_validate(df, "vec_id", names, "label", "logistic_regression", 2)[1]
+    df, names = _flat(spark, sf)
+    return models.cross_validate(df, "vec_id", names, "label", "random_forest", 5)[1]
 
 
 @query("bootstrap_neighbour_stability")
