@@ -13,7 +13,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from wellframe.llm import bpe, licences, packing, queries, rules, sharding, tokenfile  # noqa: E402
 from wellframe.llm.common import scratch_path  # noqa: E402
-from wellframe.llm.tokens import file_text, library_encoder, pieces  # noqa: E402
+from wellframe.llm.tokens import PieceEncoder, file_text, id_width, library_encoder, pieces  # noqa: E402
 
 from ..compare import both  # noqa: E402
 
@@ -219,7 +219,6 @@ def check_packing(rows, texts, tokenizer, length=4096):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer)
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in texts:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
@@ -274,7 +273,6 @@ def test_token_files_round_trip(spark, odd, empty):
 
     tokenizer = file_text(public_tokenizers.path("byte_bpe_50k.json"))
     t = Tokenizer.from_str(tokenizer)
-    t.encode_special_tokens = True
     docs = documents(spark)
     for df, rows in ((docs, [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]), (odd, ODD)):
         path = scratch_path(spark, "test-files")
@@ -294,13 +292,53 @@ def test_token_files_round_trip(spark, odd, empty):
     assert tokenfile.read_token_files(spark, path).count() == 0
 
 
+def random_texts(number):
+    rng = np.random.default_rng(8)
+    parts = ["the", "The", "été", "Straße", "ŉa", "it's", "don't", "12", "a1", "...", "!?", "\n", "\n", " ", " ", " ", " ", "  ", "\t", "\r\n", "\u00a0", "\x85", "\x1c", "漢字", "🙂", "e\u0301", "İ", "Σας", "<|endoftext|>", "<|startoftext|>", "<|", ""]
+    return ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(number)]
+
+
 def test_parts_of_pieces_give_the_librarys_ids():
     from tokenizers import Tokenizer
 
     for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         definition = file_text(public_tokenizers.path(name))
         t = Tokenizer.from_str(definition)
-        t.encode_special_tokens = True
-        texts = [x or "" for _, x in ODD] + ["Été, İstanbul. ŉa\nNext's it's word.\nWord?! Å été"]
-        for text, ids in zip(texts, library_encoder(definition, spaced).encode(texts)):
-            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        texts = [x or "" for _, x in ODD] + ["Été, İstanbul. ŉa\nNext's it's word.\nWord?! Å été", "a<|endoftext|> b", "<|startoftext|>"] + random_texts(4000)
+        encoder = library_encoder(definition, spaced)
+        for text, ids, again in zip(texts, encoder.encode(texts), encoder.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+            assert again == ids
+
+
+def test_cache_is_bounded_and_changes_nothing():
+    encoder = PieceEncoder(lambda batch: [str(p).encode() + b"|" for p in batch], spaced=True, most=5)
+    texts = [" ".join(f"w{(i * k) % 23}" for k in range(9)) for i in range(40)]
+    want = [t.replace(" ", "| ").encode() + b"|" for t in texts]
+    for k in range(0, 40, 4):
+        assert encoder.encode(texts[k : k + 4]) == want[k : k + 4]
+    assert len(encoder.kept.now) + len(encoder.kept.old) <= 2 * (5 + 36)
+
+
+def test_long_text_is_packed_and_filed(spark):
+    """Five million characters, one word of 100,000 among them."""
+    from tokenizers import Tokenizer
+
+    text = "the word of it " * 320_000 + "ab" * 50_000 + "\n"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    path = scratch_path(spark, "test-files")
+    definition = file_text(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenfile.write_token_files(df, "doc_id", "text", definition, path)
+    got = {r["id"]: r for r in tokenfile.read_token_files(spark, path).collect()}
+    ids = Tokenizer.from_str(definition).encode(text, add_special_tokens=False).ids + [0]
+    assert got[1]["ids"] == ids and got[2]["ids"] == [0]
+    tokenizer = file_text(public_tokenizers.path("word_bpe_49k.json"))
+    check_packing(packing.pack(df, "doc_id", "text", tokenizer, 2).collect(), [(1, text), (2, None)], tokenizer)
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    ids = np.array([1, 70_000], "<u4").tobytes()
+    assert np.frombuffer(tokenfile.serialized(ids, 4), "<u4").tolist() == [1, 70_000]
+    with pytest.raises(ValueError):
+        tokenfile.serialized(ids, 2)
+    assert id_width(file_text(public_tokenizers.path("byte_bpe_50k.json"))) == 2

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, text_blocks, written
-from .tokens import TEXT_BLOCK, library_encoder
+from .common import map_arrow, pick, written
+from .tokens import arrow_blocks, library_encoder
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -112,7 +112,7 @@ def cut_documents(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end
         encoder = library_encoder(tokenizer, spaced)
         took: list[int] = []
         out: dict[str, list[int]] = {"start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
-        for first, block in text_blocks(batch.column(1).to_pylist(), TEXT_BLOCK):
+        for first, block in arrow_blocks(batch.column(1)):
             for i, ids in enumerate(encoder.encode(block), first):
                 ids += end
                 total = len(ids) // 4
@@ -178,7 +178,10 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int,
 
     Returns a row for each piece: id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset. A null or empty text is its end id alone. Rows that
-    repeat are packed as often as they stand there; an empty table gives none.
+    repeat are packed as often as they stand there; an empty table gives none. A text
+    of any length is cut into pieces of ``length`` and a rest. Null ids are packed like
+    others; extra columns, whatever their names, are not read. Pieces of equal length
+    are ranked by id, start and checksum, so ties don't change a sequence's lengths.
     unit: lengths are planned in such units, so a piece wastes less than one unit.
     """
     pieces = written(cut_documents(df, id_col, text_col, tokenizer, end_id, length), "pieces")

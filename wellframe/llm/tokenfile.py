@@ -25,15 +25,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, text_blocks
-from .tokens import TEXT_BLOCK, library_encoder
+from .common import pick
+from .tokens import arrow_blocks, id_width, library_encoder
 
 BLOCK_BYTES = 1 << 20
 
 
 def serialized(ids: bytes, width: int) -> bytes:
-    """Little-endian ids of 32 bits, as ids of ``width`` bytes."""
-    return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    """Little-endian ids of 32 bits, as ids of ``width`` bytes; an id that needs more is an error."""
+    wide = np.frombuffer(ids, "<u4")
+    if width < 4 and len(wide) and int(wide.max()) >> (8 * width):
+        raise ValueError(f"id {int(wide.max())} doesn't fit {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
@@ -54,20 +57,25 @@ def sampled_texts(rows: DataFrame, most: int) -> list[str]:
 
 
 def write_token_files(
-    df: DataFrame, id_col: str, text_col: str, tokenizer: str, path: str, end_id: int = 0, spaced: bool = True, width: int = 2,
+    df: DataFrame, id_col: str, text_col: str, tokenizer: str, path: str, end_id: int = 0, spaced: bool = True, width: int | None = None,
     level: int = 3, dictionary_bytes: int = 112_640, sample: int = 1000,
 ) -> None:
     """Writes ids of every whole text, in ascending id order (nulls first), to the folder ``path``.
 
     The dictionary is trained on about ``sample`` whole documents; that bound
-    concerns training only. Rows that repeat are written as often as they stand there.
+    concerns training only. Rows that repeat are written as often as they stand there;
+    rows of one id are ordered by a hash of their texts. A null or empty text is its end
+    id alone, an empty table gives a folder without blocks, a text of any length is one
+    frame, and extra columns, whatever their names, are not read. width: bytes an id,
+    by the vocabulary if None.
     """
     spark = df.sparkSession
     rows = pick(df, id=id_col, text=text_col)
     encoder = library_encoder(tokenizer, spaced)
     end = np.array([end_id], "<u4").tobytes()
     texts = sampled_texts(rows, sample)
-    samples = [serialized(ids + end, width) for _, block in text_blocks(texts, TEXT_BLOCK) for ids in encoder.encode(block)]
+    width = width or max(id_width(tokenizer), 2 if end_id < 1 << 16 else 4)
+    samples = [serialized(ids + end, width) for _, block in arrow_blocks(pa.array(texts, pa.string())) for ids in encoder.encode(block)]
     dictionary = train_dictionary(samples, dictionary_bytes)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary), width)], "dict_hash string, dictionary binary, width int").write.parquet(f"{path}/dictionary")
@@ -99,7 +107,7 @@ def write_token_files(
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, block in text_blocks(batch.column(1).to_pylist(), TEXT_BLOCK):
+            for first, block in arrow_blocks(batch.column(1)):
                 for i, ids in enumerate(coder.encode(block), first):
                     frame = packer.compress(serialized(ids + end, width))
                     held.append((keys[i], len(ids) // 4 + 1, frame))
