@@ -76,7 +76,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rul
  NOT ({rules['base']}) AND host_kept AS kept FROM c JOIN k ON c.host IS NOT DISTINCT FROM k.host"""
 
 
-def licences_sql(least: float = 0.7, probes: int = 2) -> str:
+def licences_sql(least: float = 0.7) -> str:
     postings = ", ".join(f"({t}, {at}, '{w}', {key})" for t, at, w, key in licences.index(licences.TEMPLATES))
     names = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()})" for i, t in enumerate(licences.TEMPLATES))
     return f"""
@@ -84,8 +84,8 @@ WITH p(template, "at", word, need) AS (VALUES {postings}), names(template, label
 t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM t), hit AS (SELECT * FROM x WHERE word IN (SELECT word FROM p)),
 idf AS (SELECT word, 1 + ln(((SELECT count(*) FROM t) + 1) / (count(DISTINCT doc_id) + 1)) AS idf FROM (SELECT DISTINCT word FROM p) LEFT JOIN hit USING (word) GROUP BY word),
-ready AS (SELECT template, "at", word, idf, need, row_number() OVER (PARTITION BY template ORDER BY idf DESC, "at") <= {probes} AS probe, sum(idf) OVER (PARTITION BY template) AS whole, sum(need) OVER (PARTITION BY template) AS needed FROM p JOIN idf USING (word)),
-met AS (SELECT doc_id, template, pos - "at" AS place, sum(idf) / any_value(whole) AS score FROM hit JOIN ready USING (word) GROUP BY 1, 2, 3 HAVING bool_or(probe) AND sum(need) = any_value(needed) AND round(sum(idf) / any_value(whole), 9) >= {least}),
+ready AS (SELECT template, "at", word, idf, need, sum(idf) OVER (PARTITION BY template) AS whole, sum(need) OVER (PARTITION BY template) AS needed FROM p JOIN idf USING (word)),
+met AS (SELECT doc_id, template, pos - "at" AS place, sum(idf) / any_value(whole) AS score FROM hit JOIN ready USING (word) GROUP BY 1, 2, 3 HAVING sum(need) = any_value(needed) AND round(sum(idf) / any_value(whole), 9) >= {least}),
 m AS (SELECT * FROM met JOIN names USING (template)),
 d AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
  array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(least(score, 1)) AS score FROM m GROUP BY doc_id)
