@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wellframe.llm import classify, jaccard, packing
 from wellframe.llm import queries as q
-from wellframe.llm.common import scratch_path
+from wellframe.llm.common import pick, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: What goes past a model beside the text that it reads, and comes back as the documents' columns.
@@ -15,26 +15,46 @@ CARRIED = {("whole" if c == "text" else c): c for c in COLUMNS}
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier predicts to be of label 0."""
+    """Without the documents that the quality classifier predicts to be of label 0.
+
+    Null and empty texts have the score of a text without features. Rows that repeat,
+    or share an id, are judged each by its text; a score of just 0.5 stays. An empty
+    table gives none. Of columns whose names clash the one of the exact name counts,
+    and only the columns of documents are returned. Texts of any length are read whole.
+    """
     model = classify.quality_model(q.labelled_quality(docs, q.table(spark, sf_dir, "labels")))
     scored = classify.score_quality(docs, model, "text", **CARRIED)
     return scored.where("predicted = 1").select(*[F.col(name).alias(c) for name, c in CARRIED.items()])
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose language the model rejects."""
+    """Without the documents whose language the model rejects.
+
+    Texts that are null or have no letter go. Rows that repeat are judged each by its
+    text; a score of just the limit stays. Empty tables, clashing columns and long
+    texts as in ``drop_low_quality``.
+    """
     model = classify.language_model(q.labelled_language(docs))
     found = classify.identify_language(docs, model, "text", **CARRIED)
     return found.where("NOT rejected").select(*[F.col(name).alias(c) for name, c in CARRIED.items()])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least id."""
-    return jaccard.without_near_copies(docs, "doc_id", "text").select(*COLUMNS)
+    """One document of each group of near copies: the one of least id.
+
+    Null ids, null and blank texts are copies of nothing and stay. Of rows that repeat
+    one stays; rows that share an id are judged each by its text. Empty tables,
+    clashing columns and long texts as in ``drop_low_quality``.
+    """
+    return jaccard.without_near_copies(pick(docs, **{c: c for c in COLUMNS}), "doc_id", "text")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, in sequences of at most 4096 tokens."""
+    """The pieces of all documents that are left, in sequences of at most 4096 tokens.
+
+    A null or empty text is its end id alone; rows that repeat are packed as often as
+    they stand there. Empty tables, clashing columns and long texts as before.
+    """
     with open(q.vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
         tokenizer = f.read()
     return packing.pack(docs, "doc_id", "text", tokenizer, end_id=2).withColumnRenamed("id", "doc_id")

@@ -15,15 +15,17 @@ LANGUAGE_FEATURES = Features(bits=16, longest=3, fold=True)
 
 
 def training_sample(labelled: DataFrame, most: int) -> tuple[list[str], list]:
-    """About ``most`` (text, label) rows at most, chosen by a hash of the row.
+    """About ``most`` (text, label) rows at most, chosen by a hash of text and label; a row that repeats counts once.
 
     ``labelled`` has columns text and label, and only rows that may be learned from.
     This bound is the only limit on what is learned from; prediction covers all rows.
     """
-    total = labelled.count()
+    marked = labelled.select("text", "label", F.xxhash64("text", "label").alias("mark"))
+    total = marked.count()
     if total > most:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * most / total))
-    rows = sorted((r["text"] or "", r["label"]) for r in labelled.select("text", "label").limit(2 * most).collect())
+        marked = marked.where(F.pmod("mark", F.lit(1 << 30)) < int((1 << 30) * most / total))
+    once = marked.groupBy("mark").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    rows = sorted((r["text"] or "", r["label"]) for r in once.orderBy("mark").limit(2 * most).collect())
     return [t for t, _ in rows], [v for _, v in rows]
 
 
@@ -43,7 +45,10 @@ def score_quality(df: DataFrame, model: Model, text_col: str, **carried: str) ->
     """The columns ``carried``, score and predicted of every row.
 
     score: calibrated probability of label 1, from the whole text alone; null and
-    empty texts get that of a text without features. predicted: 1 from 0.5 on.
+    empty texts get that of a text without features. predicted: 1 from 0.5 on, so a tie
+    is 1. Texts are read whole, whatever their length. Rows that repeat get the same
+    result each, an empty table gives no rows, and only the named columns are read, so
+    others do no harm whatever their names.
     """
     rows = pick(df, **carried, text=text_col)
     schema = rows.drop("text").schema.add("score", "double").add("predicted", "integer")
@@ -68,8 +73,11 @@ def identify_language(df: DataFrame, model: Model, text_col: str, **carried: str
     """The columns ``carried``, lang_pred, score and rejected of every row.
 
     lang_pred: the likeliest language of the whole text, ``und`` for a text that is
-    null or has no letter. score: its calibrated probability, 0 for ``und``.
-    rejected: ``und``, or a score under the model's calibrated limit.
+    null or has no letter; of languages that are equally likely the first in order of
+    name. score: its calibrated probability, 0 for ``und``. rejected: ``und``, or a
+    score under the model's calibrated limit. Texts are read whole, whatever their
+    length. Rows that repeat get the same result each, an empty table gives no rows,
+    and only the named columns are read, so others do no harm whatever their names.
     """
     rows = pick(df, **carried, text=text_col)
     schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")

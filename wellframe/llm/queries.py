@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, classify, jaccard, lattice, licences, oracle, packing, rules, sharding, tokenfile
-from .common import scratch_path
+from .common import pick, scratch_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 SLOTS = 65_537
@@ -30,14 +30,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the documents that quality may be learned from."""
-    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    free = docs.select("doc_id", "text").where(classify.fold_of(F.col("doc_id"), 3) != 1)
+    """text and label of the documents that quality may be learned from.
+
+    Ids that ``labels`` marks both 0 and 1 are left out; null ids have no label.
+    """
+    known = pick(labels, doc_id="doc_id", quality="quality").where(F.col("quality").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("label"), F.min("quality").alias("least")).where("label = least")
+    free = pick(docs, doc_id="doc_id", text="text").where(classify.fold_of(F.col("doc_id"), 3) != 1)
     return free.join(known, "doc_id").select("text", "label")
 
 
 def labelled_language(docs: DataFrame) -> DataFrame:
-    return docs.where(classify.fold_of(F.col("doc_id"), 4) != 2).select("text", F.col("lang").alias("label"))
+    """text and label (lang) of the documents that language may be learned from."""
+    return pick(docs, doc_id="doc_id", text="text", label="lang").where(classify.fold_of(F.col("doc_id"), 4) != 2).select("text", "label")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
