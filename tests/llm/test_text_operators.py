@@ -102,25 +102,26 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute_licences(texts, templates=licences.TEMPLATES, least=0.7, probes=2):
+def brute_licences(rows, templates=licences.TEMPLATES, least=0.7):
+    texts = [t for _, t in rows]
     split = [WORD.findall((t or "").translate(LOWER)) for t in texts]
-    listed = {w for t in templates for w in t.words.split() if w not in licences.STOP}
-    df = Counter(w for words in {tuple(s) for s in split} for w in set(words) & listed)
+    listed = {w for t in templates for w in t.words() if w not in licences.STOP}
+    df = Counter(w for i in {row: i for i, row in enumerate(rows)}.values() for w in set(split[i]) & listed)
     # rows of equal id and text count once among texts with a word, each among all texts
     idf = {w: 1 + math.log((len(texts) + 1) / (df[w] + 1)) for w in listed}
     out = []
     for words in split:
         found = []
         for t in templates:
-            tw, key = t.words.split(), t.key.split()
-            at = next(i for i in range(len(tw)) if tw[i : i + len(key)] == key)
+            tw, needed = t.words(), set()
+            for key in map(str.split, t.keys):
+                at = next(i for i in range(len(tw)) if tw[i : i + len(key)] == key)
+                needed |= set(range(at, at + len(key)))
             looked = [(i, w) for i, w in enumerate(tw) if w not in licences.STOP]
-            rare = {i for i, _ in sorted(looked, key=lambda x: (-idf[x[1]], x[0]))[:probes]}
-            for start in range(-len(tw), len(words)):
+            for start in range(-len(tw), len(words)) if set(words) & set(tw) else ():
                 right = [(i, w) for i, w in looked if 0 <= start + i < len(words) and words[start + i] == w]
-                have = {i for i, _ in right}
                 score = sum(idf[w] for _, w in right) / sum(idf[w] for _, w in looked)
-                if have & rare and set(range(at, at + len(key))) <= have and round(min(score, 1), 9) >= least:
+                if needed <= {i for i, _ in right} and round(min(score, 1), 9) >= least:
                     found.append((t, start, round(min(score, 1.0), 9)))
         base = [s for t, s, _ in found if t.base]
         out.append((len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted({t.label for t, _, _ in found if t.base})), ",".join(sorted({t.label for t, _, _ in found})), max((c for *_, c in found), default=0.0)))
@@ -129,7 +130,7 @@ def brute_licences(texts, templates=licences.TEMPLATES, least=0.7, probes=2):
 
 def check_licences(df, rows):
     got = licences.scan_licences(df, "doc_id", "text").collect()
-    want = brute_licences([t for _, t in rows])
+    want = brute_licences(rows)
     key = lambda r: tuple("~" if v is None else str(round(v, 6) if isinstance(v, float) else v) for v in r)
     assert sorted(key(r) for r in got) == sorted(key((i, *w)) for (i, _), w in zip(rows, want))
 
@@ -137,7 +138,21 @@ def check_licences(df, rows):
 def test_licences_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).select("doc_id", "text").collect()]
     rows += [(900, "Permission is hereby granted, free of charge, to any person obtaining a copy of MIT license"), (901, "this general public license; mit  license\nmit-license"), (902, "licensed under the apache license version 2 0")]
-    check_licences(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    whole = {910 + i: t.text for i, t in enumerate(licences.TEMPLATES)}
+    rows += [*whole.items(), (950, f"Copyright me. {licences.MIT} {licences.BSD} {licences.MIT.upper()}"), (951, licences.MIT.replace("restriction", "limits")), (952, licences.BSD.replace("notice", "note").replace("materials", "stuff"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_licences(df, rows)
+    got = {r["id"]: r for r in licences.scan_licences(df, "doc_id", "text").collect()}
+    for i, t in enumerate(licences.TEMPLATES):
+        assert t.label in got[910 + i]["labels"].split(",")
+    assert "mit-text" not in got[951]["labels"] and got[952]["labels"] == "bsd-text" and got[950]["labels"] == "bsd-text,mit-text"
+
+
+def test_licence_in_a_long_text(spark):
+    """A million words around one licence."""
+    text = "word " * 500_000 + "under the MIT License " + "license mit " * 250_000
+    (r,) = licences.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text").collect()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (1_000_004, 250_000, 500_002, 1_000_001)
 
 
 def test_licences_odd_rows(odd, empty):

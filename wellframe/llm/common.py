@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,28 +15,32 @@ from pyspark.sql import types as T
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, renamed: ``pick(df, id="doc_id")`` has one column ``id``.
+def place_of(df: DataFrame, column: str) -> int:
+    """Where a column stands: found by exact name first, then without regard to case; the first where names repeat."""
+    exact = [i for i, c in enumerate(df.columns) if c == column]
+    loose = [i for i, c in enumerate(df.columns) if c.lower() == column.lower()]
+    if not (exact or loose):
+        raise ValueError(f"no column {column!r} among {df.columns}")
+    return (exact or loose)[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called _0, _1 and so on, so that names that repeat or differ only in case do no harm."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
-    Columns are found by exact name first, so extra columns whose names differ
-    only in case, or repeat, do no harm.
-    """
-    places = {}
-    for new, old in columns.items():
-        exact = [i for i, c in enumerate(df.columns) if c == old]
-        loose = [i for i, c in enumerate(df.columns) if c.lower() == old.lower()]
-        if not (exact or loose):
-            raise ValueError(f"no column {old!r} among {df.columns}")
-        places[new] = (exact or loose)[0]
-    numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    return numbered.select(*[F.col(f"_{i}").alias(new) for new, i in places.items()])
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the named columns, renamed: ``pick(df, id="doc_id")`` has one column ``id``; see ``place_of``."""
+    return numbered(df).select(*[F.col(f"_{place_of(df, old)}").alias(new) for new, old in columns.items()])
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; one of our own only where none is set."""
+    """The folder that the cluster shares for checkpoints; one of our own only in local mode, where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
@@ -50,7 +55,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written``; nothing that still reads them may run afterwards."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_of_id(column: Column) -> Column:

@@ -2,11 +2,11 @@
 
 Texts of equal words form a class with one representative. A class's set of
 five-word shingles is embedded as 64 minhash values, whose agreement estimates the
-Jaccard similarity. A run chooses minhash places at random and puts each set into
-the bucket of its values there; a bucket too large is split again on newly sampled
-places, which sets choose alike, and small ones are compared pair by pair. Runs
-repeat until a pair at the threshold is missed with less than the allowed chance.
-Linked sets form groups, and in each group all sets are compared exactly.
+Jaccard similarity. A run samples a place and puts each set into the bucket of its
+value there; a bucket too large is split again by a newly sampled place, which its
+sets choose alike, and small ones are compared pair by pair. Runs repeat until a
+pair at the threshold is missed with less than the allowed chance. Linked sets form
+groups, and in each group all sets of sizes that allow a link are compared exactly.
 """
 
 from __future__ import annotations
@@ -21,18 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, compare_groups
-from .common import map_arrow, pick, text_blocks, written
+from .common import discard, map_arrow, numbered, pick, place_of, text_blocks, written
 from .components import connected_components
 from .subwords import mixed, powers
 
-WORDS, SIMILARITY, PLACES = 5, 0.8, 64
+WORDS, SIMILARITY, PLACES, LEVELS = 5, 0.8, 64, 3
 #: Share of equal minhashes from which sets are tied into a group, and from which a set tied to a pivot is done with:
 #: shares of unequal places obey the triangle inequality, so a set that agrees in 1 - (CORE - TIED) = 0.65 or more with
-#: one that is done is tied to the pivot itself, and a pair at 0.8 falls below 0.65 with a chance of about 1 in 1,000.
+#: one that is done is tied to the pivot itself, and a pair at 0.8 falls below 0.65 with a chance of about 1 in 500.
 TIED, CORE = 0.4, 0.75
 _R, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-#: Bits of the filter of members of groups, sent to the scan of the texts.
-FILTER_BITS = 1 << 23
+#: Most bits of the filter of members of groups that is sent to the scan of the texts, and bits a member.
+FILTER_BITS, BITS_EACH = 1 << 26, 8
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,82 +76,85 @@ def class_hashes(words: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [h.tobytes() for h in np.stack(halves, 1)]
 
 
-def minhashes(shingles: np.ndarray, bounds: np.ndarray, places: int = PLACES) -> list[bytes | None]:
-    """The least 32-bit value of each text's shingles under each of ``places`` hash functions; none without shingles."""
+def minhashes(shingles: np.ndarray, bounds: np.ndarray, places: int = PLACES) -> np.ndarray:
+    """The least 32-bit value of each set of shingles under each of ``places`` hash functions; the sets aren't empty."""
     begins = np.concatenate([[0], bounds[:-1]])
-    full = np.flatnonzero(bounds > begins)
     rng = np.random.default_rng(11)
     factors = rng.integers(0, 2**63, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     terms = rng.integers(0, 2**63, places, dtype=np.uint64)
-    least = np.empty((len(full), places), "<u4")
+    least = np.empty((len(bounds), places), "<u4")
     for p in range(places):
-        if len(full):
-            least[:, p] = np.minimum.reduceat((shingles * factors[p] + terms[p]) >> np.uint64(32), begins[full])
-    out: list[bytes | None] = [None] * len(bounds)
-    for row, at in enumerate(full.tolist()):
-        out[at] = least[row].tobytes()
-    return out
+        if len(bounds):
+            least[:, p] = np.minimum.reduceat((shingles * factors[p] + terms[p]) >> np.uint64(32), begins)
+    return least
+
 
+def sketches(df: DataFrame, id_col: str, text_col: str, chosen: list[int]) -> DataFrame:
+    """id, text_hash, class (128 bits of the words), tokens and values of every row.
 
-def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, class (128 bits of the words) and values (minhashes, null without words) of every row."""
+    tokens: the minhashes at the chosen places, which name buckets. values: the low
+    half of all minhashes, whose agreement is enough to compare two sets of one
+    bucket. Both are null without words.
+    """
     rows = pick(df, id=id_col, text=text_col)
-    rows = rows.select(F.col("id").cast("bigint").alias("id"), "text")
-    schema = rows.select("id").schema.add("class", "binary").add("values", "binary")
+    rows = rows.select(F.col("id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    schema = rows.select("id", "text_hash").schema.add("class", "binary").add("tokens", "binary").add("values", "binary")
 
     def run(batch: pa.RecordBatch) -> dict:
-        classes, values = [], []
-        for _, block in text_blocks(batch.column(1).to_pylist()):
+        classes, tokens, values = [], [], []
+        for _, block in text_blocks(batch.column(2).to_pylist()):
             words, ends = word_hashes(block)
             classes += class_hashes(words, ends)
-            values += minhashes(*shingle_hashes(words, ends))
-        return {"id": batch.column(0), "class": classes, "values": values}
+            shingles, bounds = shingle_hashes(words, ends)
+            full = np.diff(bounds, prepend=0) > 0
+            least = minhashes(shingles, bounds[full])
+            at = np.cumsum(full) - 1
+            tokens += [least[i, chosen].tobytes() if f else None for i, f in zip(at.tolist(), full.tolist())]
+            values += [least[i].astype("<u2").tobytes() if f else None for i, f in zip(at.tolist(), full.tolist())]
+        return {"id": batch.column(0), "text_hash": batch.column(1), "class": classes, "tokens": tokens, "values": values}
 
     return map_arrow(rows, run, schema)
 
 
-def runs_for(recall: float, places: int = PLACES, similarity: float = SIMILARITY) -> int:
-    """Runs after which a pair at the threshold is missed with a chance of at most 1 - recall.
+def runs_for(recall: float, levels: int = LEVELS, similarity: float = SIMILARITY) -> int:
+    """Runs after which a pair at the threshold is missed with a chance of at most 1 - recall, if all its buckets are split ``levels`` times.
 
-    A run samples each place with probability 1/(similarity * places), so a pair
-    shares a bucket of one level with probability 1 - (1 - 1/places)**places, and
-    one of two levels with about that of two such steps; the latter is taken.
+    A pair follows the same path through a place with the chance of its similarity.
     """
-    one = 1 - (1 - 1 / places) ** places
-    two = 1 - math.exp(-one)
-    return math.ceil(math.log(1 - recall) / math.log(1 - two))
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity ** (levels + 1)))
 
 
-def chosen_places(runs: int, places: int = PLACES, similarity: float = SIMILARITY, seed: int = 5) -> list[tuple[int, int]]:
-    rng = np.random.default_rng(seed)
-    return [(r, int(p)) for r in range(runs) for p in np.flatnonzero(rng.random(places) < 1 / (similarity * places))]
+def chosen_places(runs: int, places: int = PLACES, seed: int = 5) -> list[int]:
+    """A place for each run, all of them different."""
+    if runs > places:
+        raise ValueError(f"{runs} runs need as many places; there are {places}")
+    return np.random.default_rng(seed).permutation(places)[:runs].tolist()
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(1)
 
 
-def first_buckets(payload: DataFrame, chosen: list[tuple[int, int]]) -> DataFrame:
-    """bucket and key of each set and chosen place."""
-    names = np.array([r * PLACES + p for r, p in chosen], np.uint64)
-    at = np.array([p for _, p in chosen])
+def first_buckets(sets: DataFrame, chosen: list[int]) -> DataFrame:
+    """bucket and key of each set (key, tokens) and run."""
+    names = mixed(np.array(chosen, np.uint64) + np.uint64(1))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                v = np.frombuffer(b"".join(frame["values"]), "<u4").reshape(len(frame), -1)
-                bucket = mixed(v[:, at].astype(np.uint64) ^ mixed(names + np.uint64(1))).view(np.int64)
-                yield pd.DataFrame({"bucket": bucket.ravel(), "key": np.repeat(frame["key"].to_numpy(), len(at))})
+                v = np.frombuffer(b"".join(frame["tokens"]), "<u4").reshape(len(frame), -1)
+                bucket = mixed(v.astype(np.uint64) ^ names).view(np.int64)
+                yield pd.DataFrame({"bucket": bucket.ravel(), "key": np.repeat(frame["key"].to_numpy(), len(chosen))})
 
-    return payload.select("key", "values").mapInPandas(run, "bucket bigint, key bigint")
+    return sets.select("key", "tokens").mapInPandas(run, "bucket bigint, key bigint")
 
 
 def split_bucket(buckets: np.ndarray, values: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row goes to the buckets of the places that its bucket samples."""
-    places = np.arange(1, values.shape[1] + 1, dtype=np.uint64)
-    names = mixed(buckets.view(np.uint64)[:, None] ^ (places * np.uint64(_R))[None, :])
-    at, place = np.nonzero((names >> np.uint64(11)) < np.uint64(int(2**53 / (SIMILARITY * values.shape[1]))))
-    return at, mixed(names[at, place] ^ (values[at, place].astype(np.uint64) + np.uint64(1))).view(np.int64)
+    """Each bucket samples a place, and its rows go on by their values there."""
+    name = mixed(buckets.view(np.uint64) ^ np.uint64(_R))
+    place = (name >> np.uint64(11)) % np.uint64(values.shape[1])
+    at = np.arange(len(buckets))
+    return at, mixed(name ^ (values[at, place.astype(np.int64)].astype(np.uint64) + np.uint64(1))).view(np.int64)
 
 
 def similar_sets(full: list[bytes]) -> np.ndarray:
@@ -191,17 +194,53 @@ def shingled(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("key", "text"), run, schema)
 
 
-def texts_of(df: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
-    """key, text and the other columns of ``keys`` for the rows whose id is a key, one row a key.
+def texts_of(df: DataFrame, id_col: str, text_col: str, keys: DataFrame, number: int) -> DataFrame:
+    """key and text of the rows whose id and text hash are those of a key (key, id, text_hash).
 
-    A filter of fixed size (one hash, FILTER_BITS bits, broadcast as words of 64
-    bits) keeps most other texts out of the shuffle; the join behind it is exact.
+    A filter (one hash, BITS_EACH bits for each of the ``number`` keys, broadcast as
+    words of 64 bits) keeps most other texts out of the shuffle; the join behind it
+    is exact. Beyond FILTER_BITS bits the filter is left out and all texts are shuffled.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = keys.select(slot("key").alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    rows = pick(df, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("key"), "text").withColumn("slot", slot("key"))
-    rows = rows.withColumn("word", F.expr("slot div 64")).join(F.broadcast(bits), "word").where("(bits & shiftleft(1L, cast(slot % 64 as int))) <> 0")
-    return rows.select("key", "text").join(keys, "key")
+    rows = pick(df, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    bits = 1 << max(16, (number * BITS_EACH - 1).bit_length())
+    if bits <= FILTER_BITS:
+        slot = F.pmod(F.xxhash64("id", "text_hash"), F.lit(bits))
+        words = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+        rows = rows.withColumn("slot", slot).withColumn("word", F.expr("slot div 64"))
+        rows = rows.join(F.broadcast(words), "word").where("(bits & shiftleft(1L, cast(slot % 64 as int))) <> 0").select("id", "text_hash", "text")
+    return rows.join(keys, ["id", "text_hash"]).select("key", "text")
+
+
+def judged(df: DataFrame, id_col: str, text_col: str, recall: float) -> DataFrame:
+    """id, text_hash, class, n_links, component_id and first of every row.
+
+    first: (id, text_hash) of the least row of the component, null for rows that can't be linked.
+    """
+    chosen = chosen_places(runs_for(recall))
+    rows = written(sketches(df, id_col, text_col, chosen), "sketches")
+    able = rows.where("id IS NOT NULL AND values IS NOT NULL")
+    one = able.groupBy("class").agg(F.min(F.struct("id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("weight"), F.min("tokens").alias("tokens"), F.min("values").alias("values"))
+    classes = written(one.withColumn("key", F.monotonically_increasing_id()), "classes")
+    edges = bucket_links(first_buckets(classes, chosen), classes.select("key", "values"), "<u2", agreement, TIED, CORE, split_bucket, LEVELS)
+    facts = classes.select("key", "one", "weight")
+    groups = written(connected_components(edges).withColumnRenamed("node", "key").join(facts, "key"), "groups")
+    full = shingled(texts_of(df, id_col, text_col, groups.select("key", "one.id", "one.text_hash"), groups.count()))
+    full = full.groupBy("key").agg(F.min("full").alias("full"), F.min("size").alias("size"))
+    # a link needs sizes within the threshold, so logarithms to its base differ by one at most
+    sized = groups.select("key", "component", "weight").join(full, "key").withColumn("bin", F.floor(F.log("size") / F.lit(-math.log(SIMILARITY - 1e-9))))
+    compared = written(compare_groups(sized, similar_sets), "compared")
+    linked = compared.groupBy(F.col("node").alias("key")).agg(F.sum("links").alias("links"))
+    exact = written(connected_components(compared.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "key"), "exact")
+    tops = exact.join(facts, "key").groupBy("component").agg(F.min("one").alias("first"))
+    verdict = facts.join(linked, "key", "left").join(exact.join(tops, "component").select("key", "first"), "key", "left")
+    verdict = classes.select("class", "key").join(
+        verdict.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("first", "one").alias("first")), "key"
+    )
+    found = able.select("id", "text_hash", "class").join(verdict.select("class", "n_links", F.col("first.id").alias("component_id"), "first"), "class")
+    lone = rows.where("id IS NULL OR values IS NULL").select("class", "id", "text_hash", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    out = written(found.unionByName(lone, allowMissingColumns=True), "judged")
+    discard(rows, classes, groups, compared, exact, edges)
+    return out
 
 
 def near_copies(df: DataFrame, id_col: str, text_col: str, recall: float = 0.9999) -> DataFrame:
@@ -212,32 +251,33 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, recall: float = 0.999
     of equal words are, too. n_links: other documents linked directly. component_id:
     the least id reached by links, the own one included. kept: id = component_id.
     A text of one to four words is one shingle; a null or blank text is linked with
-    nothing. A null id is linked with nothing and kept; rows of one id count as one
-    another's links but share one component. Each link is found with a chance of
-    ``recall`` or more at the threshold, far more above it; none is false.
+    nothing, and so is a row with a null id, which is kept. Each row counts as a
+    document of its own: rows that repeat are linked with one another, and rows of
+    one id but of different words each have the links of their own text. Texts are
+    read whole, whatever their length; ties go to the least id. An empty table gives
+    no rows; extra columns, whatever their names, are not read. Each link is found
+    with a chance of ``recall`` or more at the threshold, even where every bucket of
+    the two is split to the last level, and far more above it; none is false.
     """
-    rows = written(sketches(df, id_col, text_col), "sketches")
-    able = rows.where("id IS NOT NULL AND values IS NOT NULL")
-    classes = able.groupBy("class").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("weight"), F.min("values").alias("values"))
-    classes = written(classes, "classes")
-    payload = classes.groupBy("key").agg(F.min("values").alias("values"))
-    members = first_buckets(payload, chosen_places(runs_for(recall)))
-    edges = bucket_links(members, payload, "<u4", agreement, TIED, CORE, split_bucket)
-    groups = connected_components(edges).withColumnRenamed("node", "key")
-    weights = classes.groupBy("key").agg(F.sum("weight").alias("weight"))
-    keyed = groups.join(weights, "key")
-    full = shingled(texts_of(df, id_col, text_col, groups.select("key"))).groupBy("key").agg(F.min("full").alias("full"), F.min("size").alias("size"))
-    compared = written(compare_groups(keyed.join(full, "key"), similar_sets), "compared")
-    linked = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    exact = connected_components(compared.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    verdict = classes.select("class", "key", "weight").join(linked.withColumnRenamed("node", "key"), "key", "left").join(exact.withColumnRenamed("node", "key"), "key", "left")
-    verdict = verdict.select("class", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "key").alias("component_id"))
-    able = able.select("id", "class").join(verdict, "class")
-    alone = rows.where("id IS NULL OR values IS NULL").select("id", "class", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    return able.select("id", "class", "n_links", "component_id").union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
-
-
-def without_near_copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` without the rows that near_copies does not keep; ids that repeat share their verdict."""
-    gone = near_copies(df, id_col, text_col).where("NOT kept").select(F.col("id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    rows = judged(df, id_col, text_col, recall)
+    return rows.select("id", "class", "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_copies(df: DataFrame, id_col: str, text_col: str, recall: float = 0.9999) -> DataFrame:
+    """``df`` with one row of each group of near copies: that of the least id (and, where the id repeats, text hash).
+
+    Rows that can't be linked (null id, null or blank text) all stay; of rows that
+    repeat in id and text one stays, whatever their other columns hold.
+    """
+    rows = judged(df, id_col, text_col, recall)
+    each = rows.where("first IS NOT NULL").groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("times"), F.min("first").alias("first"))
+    each = each.withColumn("stays", (F.col("first.id") == F.col("id")) & (F.col("first.text_hash") == F.col("text_hash")))
+    apart = written(each.where("NOT stays OR times > 1").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "stays"), "apart")
+    plain = numbered(df)
+    own = (F.col(f"_{place_of(df, id_col)}").cast("bigint") == F.col("__id")) & (F.xxhash64(f"_{place_of(df, text_col)}") == F.col("__hash"))
+    out = plain.join(apart, own, "left_anti")
+    twice = apart.where("stays")
+    if not twice.isEmpty():
+        again = plain.join(twice, own).dropDuplicates(["__id", "__hash"])
+        out = out.union(again.select(*plain.columns))
+    return out.toDF(*df.columns)

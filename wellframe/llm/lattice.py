@@ -6,7 +6,8 @@ There are several tables, each with a projection of its own. A vector goes to it
 cell and to the cells where one half moves to a neighbouring lattice point, those
 nearest to it. Vectors that meet and are alike form groups (by the angle's triangle
 inequality no link is lost where a crowded cell is held against one member only),
-and in each group all cosines are taken in double precision.
+and in each group cosines are taken in double precision, but for pairs whose angles
+to one of the members differ too much for a link.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import bucket_links, compare_groups
-from .common import map_arrow, pick, written
+from .buckets import blocks_of, bucket_links, by_length, compare_groups
+from .common import discard, map_arrow, pick, written
 from .components import connected_components
 from .subwords import mixed
 
-TABLES, PROBES, SCALE = 12, 3, 1.6
+TABLES, PROBES, SCALE, LEVELS = 12, 3, 1.6, 3
 COSINE, TIED, CORE = 0.93, 0.80, 0.97
 
 
@@ -95,12 +96,10 @@ def usable(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataF
     """id, label and the class, unit vector in single (values) and double (full) precision of every row.
 
     class and vectors are null where the row can't be linked: a null id or label, a
-    vector that is null, zero, of another length than the longest, or that holds
-    null or non-finite components.
+    vector that is null, zero or empty, or that holds null or non-finite components.
     """
     rows = pick(df, id=id_col, label=label_col, vector=vector_col)
     rows = rows.select(F.col("id").cast("bigint").alias("id"), F.col("label").cast("string").alias("label"), F.col("vector").cast("array<double>").alias("vector"))
-    dim = rows.agg(F.max(F.size("vector"))).first()[0] or 0
     schema = rows.select("id", "label").schema.add("class", "binary").add("values", "binary").add("full", "binary")
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -109,7 +108,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataF
         lists = batch.column(2)
         for i in range(batch.num_rows):
             unit = None
-            if ids[i].is_valid and labels[i].is_valid and lists[i].is_valid and len(lists[i]) == dim:
+            if ids[i].is_valid and labels[i].is_valid and lists[i].is_valid and len(lists[i]):
                 v = lists[i].values
                 if v.null_count == 0:
                     x = v.to_numpy(zero_copy_only=False).astype(np.float64)
@@ -123,7 +122,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataF
                 out["values"].append(None)
                 out["full"].append(None)
             else:
-                out["class"].append(hashlib.blake2b(labels[i].as_py().encode() + b"\0" + raw, digest_size=16).digest())
+                out["class"].append(hashlib.blake2b(labels[i].as_py().encode("utf-8", "surrogatepass") + b"\0" + raw, digest_size=16).digest())
                 out["values"].append(unit.astype("<f4").tobytes())
                 out["full"].append(unit.astype("<f8").tobytes())
         return out
@@ -132,15 +131,16 @@ def usable(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataF
 
 
 def first_cells(payload: DataFrame, tables: int = TABLES) -> DataFrame:
-    """bucket and key for each table, cell and probed cell; labels never meet."""
+    """bucket and key for each table, cell and probed cell; vectors of unequal label or length never meet."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
+        for whole in frames:
+            for frame in by_length(whole):
                 x = np.frombuffer(b"".join(frame["values"]), "<f4").reshape(len(frame), -1).astype(np.float64)
-                label = np.array([int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little") for v in frame["label"]], np.uint64)
+                label = np.array([int.from_bytes(hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for v in frame["label"]], np.uint64)
+                name = mixed(label ^ np.uint64(x.shape[1]))
                 for t in range(tables):
-                    bucket = mixed(cells(x, t) ^ mixed(label + np.uint64(t))[:, None]).view(np.int64)
+                    bucket = mixed(cells(x, t) ^ mixed(name + np.uint64(t))[:, None]).view(np.int64)
                     yield pd.DataFrame({"bucket": bucket.ravel(), "key": np.repeat(frame["key"].to_numpy(), bucket.shape[1])})
 
     return payload.select("key", "label", "values").mapInPandas(run, "bucket bigint, key bigint").distinct()
@@ -159,34 +159,69 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def close(full: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(full), "<f8").reshape(len(full), -1)
-    return x @ x.T >= COSINE
+    """Which pairs of unit vectors have a cosine of COSINE or more; those of unequal length have not."""
+    out = np.zeros((len(full), len(full)), bool)
+    length = np.array([len(b) for b in full])
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        x = np.frombuffer(b"".join([full[i] for i in at]), "<f8").reshape(len(at), -1)
+        out[np.ix_(at, at)] = x @ x.T >= COSINE
+    return out
+
+
+def angle_bins(grouped: DataFrame) -> DataFrame:
+    """Adds ``bin`` to members (component, key, full, size): the angle to the component's first member, in units of the widest link.
+
+    Angles obey the triangle inequality, so linked members differ by one bin at
+    most. Components that fit one block need no angles and have one bin.
+    """
+    large = blocks_of(grouped, ["component"]).where("blocks > 1").select("component")
+    pivots = grouped.join(large, "component").groupBy("component").agg(F.min(F.struct("key", "full"))["full"].alias("pivot"))
+    pivots = written(pivots, "pivots")
+    reach = float(np.arccos(COSINE)) + 1e-6
+    schema = grouped.select("*").schema.add("bin", "long")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            bins = []
+            for full, pivot in zip(frame["full"], frame["pivot"]):
+                alike = len(full) == len(pivot)
+                bins.append(int(np.arccos(np.clip(np.frombuffer(full, "<f8") @ np.frombuffer(pivot, "<f8"), -1, 1)) / reach) if alike else 0)
+            yield frame.drop(columns="pivot").assign(bin=np.array(bins, np.int64))
+
+    binned = grouped.join(pivots, "component").select(*grouped.columns, "pivot").mapInPandas(run, schema)
+    return grouped.join(pivots, "component", "left_anti").withColumn("bin", F.lit(0).cast("bigint")).union(binned)
 
 
 def near_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """id, n_links, component_id and kept of every row.
 
-    Two vectors are linked if their labels are equal and their cosine is at least
-    0.93. n_links: other vectors linked directly. component_id: the least id reached
-    by links, the own one included. kept: id = component_id. Rows that can't be
-    linked (see ``usable``) have no links and are kept; rows of one id share one
-    component. Every link given is exact; a pair at the threshold is missed by all
-    tables with a chance of about 1 in 10,000.
+    Two vectors are linked if their labels and lengths are equal and their cosine is
+    at least 0.93. n_links: other vectors linked directly. component_id: the least id
+    reached by links, the own one included. kept: id = component_id. Rows that can't
+    be linked (see ``usable``) have no links and are kept. Each row counts as a vector
+    of its own: rows that repeat are linked with one another, rows of one id but of
+    different vectors each have their own links. Ties go to the least id. An empty
+    table gives no rows; extra columns, whatever their names, are not read. Every
+    link given is exact; a pair at the threshold is missed by all tables with a
+    chance of about 1 in 10,000.
     """
     rows = written(usable(df, id_col, vector_col, label_col), "vectors")
     able = rows.where("class IS NOT NULL")
-    classes = able.groupBy("class").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("weight"), F.min("label").alias("label"), F.min("values").alias("values"), F.min("full").alias("full"))
-    classes = written(classes, "classes")
-    payload = classes.groupBy("key").agg(F.min("label").alias("label"), F.min("values").alias("values"))
-    edges = bucket_links(first_cells(payload), payload.select("key", "values"), "<f4", cosine, TIED, CORE, split_cells)
+    one = able.groupBy("class").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.min("label").alias("label"), F.min("values").alias("values"), F.min("full").alias("full"))
+    classes = written(one.withColumn("key", F.monotonically_increasing_id()), "classes")
+    cells_of = written(first_cells(classes), "cells")
+    edges = bucket_links(cells_of, classes.select("key", "values"), "<f4", cosine, TIED, CORE, split_cells, LEVELS)
     groups = connected_components(edges).withColumnRenamed("node", "key")
-    facts = classes.groupBy("key").agg(F.sum("weight").alias("weight"), F.min("full").alias("full"))
-    keyed = groups.join(facts, "key").withColumn("size", F.expr("octet_length(full) div 8"))
-    compared = written(compare_groups(keyed, close), "compared")
+    keyed = groups.join(classes.select("key", "weight", "full"), "key").select("component", "key", "weight", "full", F.expr("octet_length(full) div 8").alias("size"))
+    compared = written(compare_groups(angle_bins(written(keyed, "groups")), close), "compared")
     linked = compared.groupBy(F.col("node").alias("key")).agg(F.sum("links").alias("links"))
-    exact = connected_components(compared.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "key")
-    verdict = classes.select("class", "key", "weight").join(linked, "key", "left").join(exact, "key", "left")
-    verdict = verdict.select("class", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "key").alias("component_id"))
+    exact = written(connected_components(compared.select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "key"), "exact")
+    facts = classes.select("key", "class", "least", "weight")
+    tops = exact.join(facts, "key").groupBy("component").agg(F.min("least").alias("first"))
+    verdict = facts.join(linked, "key", "left").join(exact.join(tops, "component").select("key", "first"), "key", "left")
+    verdict = verdict.select("class", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("first", "least").alias("component_id"))
     found = able.select("id", "class").join(verdict, "class").select("id", "n_links", "component_id")
     alone = rows.where("class IS NULL").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    discard(cells_of, edges)
     return found.union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
