@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wellframe.operators import models, moa
+from wellframe.operators import diagnostics, distance, graph, models, moa
 from wellframe.plans import queries, queries_analysis
 
 RUN = queries.queries()
@@ -102,6 +102,84 @@ def test_consensus_of_many_rounds(spark):
     assert {(r["id_a"], r["id_b"]): (r["co_observed"], r["co_cluster"]) for r in got} == want
 
 
+def ranks_of(v):
+    return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+
+@pytest.mark.parametrize("method", ["spearman", "pearson"])
+def test_replicate_pairs_of_small_and_large_groups_with_gaps(spark, method):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(700):
+        v = [None if rng.random() < 0.02 else float(x) for x in rng.integers(0, 6, 6)]
+        rows.append((i * 7 % 701, None if i % 11 == 0 else ("hot" if i % 2 else f"g{i % 7}"), *([3.0] * 6 if i % 97 == 0 else v)))
+    df = spark.createDataFrame(rows, "id long, g string, a double, b double, c double, d double, e double, f double")
+    got = {(r["id_a"], r["id_b"]): r for r in diagnostics.replicate_pairs(df, "id", ["g"], list("abcdef"), method).collect()}
+    rows.sort(key=lambda r: r[0])
+    n = 0
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[1] != b[1]:
+                continue
+            n += 1
+            two = np.array([(x, y) for x, y in zip(a[2:], b[2:]) if x is not None and y is not None], float).reshape(-1, 2)
+            x, y = (ranks_of(two[:, 0]), ranks_of(two[:, 1])) if method == "spearman" else two.T
+            r = got[a[0], b[0]]
+            assert r["g"] == a[1]
+            if len(x) < 2 or x.std() == 0 or y.std() == 0:
+                assert r["correlation"] is None
+            else:
+                assert abs(r["correlation"] - np.corrcoef(x, y)[0, 1]) < 1e-9
+    assert len(got) == n
+
+
+def test_components_of_long_chains_and_stars(spark):
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(200)] + [tuple(map(int, rng.integers(2000, 2100, 2))) for _ in range(80)] + [(None, 1), (5, 5)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in list(parent)}
+
+
+def test_nearest_gives_ties_to_the_smaller_id(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (900, 2)).astype(float) + 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    got = {}
+    for r in distance.nearest(df, "id", "v", 7, "euclidean", block=128).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["neighbour_id"]
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 12)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :7]
+    assert got == {i: {k + 1: int(j) for k, j in enumerate(w)} for i, w in enumerate(want)}
+
+
+def test_pca_query_is_the_singular_value_decomposition(spark, rows):
+    ids, _, x = rows
+    c = x - x.mean(0)
+    u, s, vt = np.linalg.svd(c, full_matrices=False)
+    got = {r["vec_id"]: r for r in RUN["pca_scores"](spark, SMALL).collect()}
+    for k, name in enumerate(("PC1", "PC2")):
+        want = c @ vt[k] * np.sign(vt[k][np.abs(vt[k]).argmax()])
+        assert np.allclose([got[i][name] for i in ids.tolist()], want, atol=1e-6)
+
+
+def test_kmeans_query_takes_every_row(spark, rows):
+    got = RUN["kmeans"](spark, SMALL).collect()
+    assert sum(r["n"] for r in got) == len(rows[0]) and len(got) == 5
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "correlation", "cityblock"])
 def test_pairwise_of_the_whole_table(spark, rows, metric):
     n = len(rows[0])

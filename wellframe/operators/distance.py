@@ -60,24 +60,48 @@ def block_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _block_top(metric: str, k: int, same_id: bool):
-    """Nearest k of one block for each query of another, in numpy."""
+    """Nearest k of one block for each query of another, in numpy.
+
+    Distances are rounded to 12 places, so that copies tie whatever block they are in.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for q_ids, q, b_ids, b in zip(f["q_ids"], f["q"], f["b_ids"], f["b"]):
-                x, y = np.stack(q).astype(float), np.stack(b).astype(float)
-                d = block_distances(x, y, metric)
                 qi, bi = np.asarray(q_ids), np.asarray(b_ids)
+                by_id = np.argsort(bi, kind="stable")
+                bi, x, y = bi[by_id], np.stack(q).astype(float), np.stack(b).astype(float)[by_id]
+                d = np.round(block_distances(x, y, metric), 12)
                 if same_id:
                     d[qi[:, None] == bi[None, :]] = np.inf
-                for r in range(len(qi)):
-                    order = np.lexsort((bi, d[r]))[:k]
-                    order = order[np.isfinite(d[r][order])]
-                    yield pd.DataFrame({"query_id": qi[r], "neighbour_id": bi[order], "distance": d[r][order]})
+                top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(d, top, 1)
+                at, rank = np.nonzero(np.isfinite(near))
+                yield pd.DataFrame({"query_id": qi[at], "neighbour_id": bi[top[at, rank]], "distance": near[at, rank]})
 
     return run
 
 
+def _block_all(metric: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for q_ids, q, b_ids, b in zip(f["q_ids"], f["q"], f["b_ids"], f["b"]):
+                qi, bi = np.asarray(q_ids), np.asarray(b_ids)
+                d = block_distances(np.stack(q).astype(float), np.stack(b).astype(float), metric)
+                at, other = np.nonzero(qi[:, None] != bi[None, :])
+                yield pd.DataFrame({"id_a": qi[at], "id_b": bi[other], "distance": d[at, other]})
+
+    return run
+
+
+def distances_from(queries: DataFrame, df: DataFrame, id_col: str, vector: str, metric: str = "cosine", block: int = 512) -> DataFrame:
+    """id_a (of a query), id_b (of another row) and their distance: a set of queries against all rows, block by block."""
+    id_type = df.schema[id_col].dataType
+    pairs = blocks(queries, id_col, vector, metric, "q", block).crossJoin(blocks(df, id_col, vector, metric, "b", block))
+    schema = T.StructType([T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("distance", T.DoubleType())])
+    return pairs.mapInPandas(_block_all(metric), schema)
+
+
 def nearest(df: DataFrame, id_col: str, vector: str, k: int = 10, metric: str = "cosine", base: DataFrame | None = None, block: int = 512) -> DataFrame:
     """query_id, neighbour_id, rank (from 1) and distance of the k nearest other rows, exactly.
 
