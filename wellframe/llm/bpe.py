@@ -213,7 +213,7 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, ranks: bytes, patte
     def run(batch: pa.RecordBatch) -> dict:
         merges, encoder = codec(ranks, pattern)
         ids, decoded = [], []
-        for _, block in text_blocks(batch.column(1).to_pylist(), TEXT_BLOCK):
+        for _, block in text_blocks(batch.column(1), TEXT_BLOCK):
             for coded in encoder.encode(block):
                 ids.append(coded)
                 decoded.append(merges.decode(np.frombuffer(coded, "<u4")))
@@ -230,7 +230,7 @@ def digests(df: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: st
     def run(batch: pa.RecordBatch) -> dict:
         merges, encoder = codec(ranks, pattern)
         out: dict = {"id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for _, block in text_blocks(batch.column(1).to_pylist(), TEXT_BLOCK):
+        for _, block in text_blocks(batch.column(1), TEXT_BLOCK):
             for coded in encoder.encode(block):
                 out["n_tokens"].append(len(coded) // 4)
                 out["ids_sha256"].append(hashlib.sha256(coded).hexdigest())

@@ -15,17 +15,17 @@ LANGUAGE_FEATURES = Features(bits=16, longest=3, fold=True)
 
 
 def training_sample(labelled: DataFrame, most: int) -> tuple[list[str], list]:
-    """About ``most`` (text, label) rows at most, chosen by a hash of text and label; a row that repeats counts once.
+    """About ``most`` (text, label) rows at most, chosen by a hash of the text; a row that repeats counts once.
 
     ``labelled`` has columns text and label, and only rows that may be learned from.
     This bound is the only limit on what is learned from; prediction covers all rows.
     """
-    marked = labelled.select("text", "label", F.xxhash64("text", "label").alias("mark"))
-    total = marked.count()
-    if total > most:
-        marked = marked.where(F.pmod("mark", F.lit(1 << 30)) < int((1 << 30) * most / total))
-    once = marked.groupBy("mark").agg(F.first("text").alias("text"), F.first("label").alias("label"))
-    rows = sorted((r["text"] or "", r["label"]) for r in once.orderBy("mark").limit(2 * most).collect())
+    total = labelled.count()
+    mark = F.xxhash64("text")
+    if total > most:  # by the text alone, so that the filter reaches the scan
+        labelled = labelled.where(F.pmod(mark, F.lit(1 << 30)) < int((1 << 30) * most / total))
+    once = labelled.groupBy(mark.alias("mark"), "label").agg(F.first("text").alias("text"))
+    rows = sorted((r["text"] or "", r["label"]) for r in once.orderBy("mark", "label").limit(2 * most).collect())
     return [t for t, _ in rows], [v for _, v in rows]
 
 
@@ -54,7 +54,7 @@ def score_quality(df: DataFrame, model: Model, text_col: str, **carried: str) ->
     schema = rows.drop("text").schema.add("score", "double").add("predicted", "integer")
 
     def run(batch: pa.RecordBatch) -> dict:
-        scores = [s for _, block in text_blocks(batch.column(batch.num_columns - 1).to_pylist()) for s in model.probabilities(block)[:, 1].tolist()]
+        scores = [s for _, block in text_blocks(batch.column(batch.num_columns - 1)) for s in model.probabilities(block)[:, 1].tolist()]
         own = {name: batch.column(i) for i, name in enumerate(schema.names[:-2])}
         return own | {"score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
@@ -85,7 +85,7 @@ def identify_language(df: DataFrame, model: Model, text_col: str, **carried: str
 
     def run(batch: pa.RecordBatch) -> dict:
         langs, scores = [], []
-        for _, block in text_blocks(batch.column(batch.num_columns - 1).to_pylist()):
+        for _, block in text_blocks(batch.column(batch.num_columns - 1)):
             chances = model.probabilities(block)
             for text, best, score in zip(block, chances.argmax(1), chances.max(1).tolist()):
                 lettered = any(map(str.isalpha, text))

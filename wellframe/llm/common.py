@@ -73,13 +73,17 @@ def crc_of_id(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def text_blocks(texts: Iterable[str | None], most: int = 200_000) -> Iterator[tuple[int, list[str]]]:
+def text_blocks(texts: Iterable[str | None] | pa.Array, most: int = 200_000) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) blocks of about ``most`` characters; null is the empty text.
 
+    An Arrow column becomes Python strings block by block, not at once.
+
     Numpy work on a block takes some 200 bytes a character, so the default keeps a
     worker's share small; only a longer single text takes more.
     """
     start, block, size = 0, [], 0
+    if isinstance(texts, pa.Array):
+        texts = (t.as_py() for t in texts)
     for i, text in enumerate(texts):
         block.append(text or "")
         size += len(block[-1])

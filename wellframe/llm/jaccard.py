@@ -102,7 +102,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, chosen: list[int]) -> Da
 
     def run(batch: pa.RecordBatch) -> dict:
         classes, tokens, values = [], [], []
-        for _, block in text_blocks(batch.column(2).to_pylist()):
+        for _, block in text_blocks(batch.column(2)):
             words, ends = word_hashes(block)
             classes += class_hashes(words, ends)
             shingles, bounds = shingle_hashes(words, ends)
@@ -186,7 +186,7 @@ def shingled(rows: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         full = []
-        for _, block in text_blocks(batch.column(1).to_pylist()):
+        for _, block in text_blocks(batch.column(1)):
             hashes, bounds = shingle_hashes(*word_hashes(block))
             full += [np.unique(s).tobytes() for s in np.split(hashes, bounds[:-1])]
         return {"key": batch.column(0), "full": full, "size": [len(b) // 8 for b in full]}

@@ -53,7 +53,7 @@ def document_counts(df: DataFrame, **columns: str) -> DataFrame:
         schema = schema.add(name, "long")
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [counts(t) for _, block in text_blocks(batch.column(batch.num_columns - 1).to_pylist()) for t in block]
+        found = [counts(t) for _, block in text_blocks(batch.column(batch.num_columns - 1)) for t in block]
         own = {f.name: batch.column(i) for i, f in enumerate(schema.fields[: -len(COUNTS)])}
         return own | {name: [x[k] for x in found] for k, name in enumerate(COUNTS)}
 

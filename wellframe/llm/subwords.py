@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .common import text_blocks
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 1_000_003
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
@@ -122,14 +124,15 @@ def bags(features: Features, texts: Iterable[str]) -> list[tuple[np.ndarray, np.
 
 
 def train(
-    texts: list[str], labels: list, features: Features, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7, check: float = 0.2, accept: float = 0.999
+    texts: list[str], labels: list, features: Features, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7, check: float = 0.2, accept: float = 0.999, refuse: float = 0.95
 ) -> Model:
     """A model from labelled texts; the last ``check`` share of a shuffle calibrates it.
 
     Embeddings learn with Adagrad steps, one text at a time. The temperature is the one
-    of least log loss on the calibration texts; ``reject_below`` is the confidence that
-    a share ``accept`` of the calibration texts predicted rightly reaches, halfway down
-    to chance so that unusual clean texts pass.
+    of least log loss on the calibration texts. ``reject_below`` is the confidence that
+    a share ``refuse`` of the calibration texts with their letters shuffled, which are
+    of no class, stays under, but no more than a share ``accept`` of those predicted
+    rightly reaches, and no less than halfway from chance to that.
     """
     rng = np.random.default_rng(seed)
     classes = sorted(set(labels))
@@ -170,5 +173,18 @@ def train(
     p = softmax(z / model.temperature)
     right = p.max(1)[p.argmax(1) == y[held]]
     if len(right):
-        model.reject_below = float((np.quantile(right, 1 - accept) + 1 / k) / 2)
+        most = np.quantile(right, 1 - accept)
+        foreign = np.concatenate([model.probabilities(shuffled_letters(block, rng)).max(1) for _, block in text_blocks([texts[i] for i in held])])
+        model.reject_below = float(np.clip(np.quantile(foreign, refuse), (most + 1 / k) / 2, most))
     return model
+
+
+def shuffled_letters(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Each text with its letters dealt anew among the places of letters."""
+    out = []
+    for text in texts:
+        characters = np.array(list(text), dtype=object)
+        at = np.flatnonzero([c.isalpha() for c in text])
+        characters[at] = characters[rng.permutation(at)]
+        out.append("".join(characters))
+    return out

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together.
-TEXT_BLOCK = 8_000_000
+TEXT_BLOCK = 2_000_000
 
 #: White space in front of a space or a line end, behind a line end, or at the start: such texts are cut with more care.
 _GAP = r"[\s\p{Z}\x{85}\x1c-\x1f][ \n]|\n[\s\p{Z}\x{85}\x1c-\x1f]|\A[ \n]"
@@ -52,6 +52,7 @@ def arrow_blocks(column: pa.Array, most: int = TEXT_BLOCK) -> Iterator[tuple[int
         before = ends[low - 1] if low else 0
         high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield low, texts.slice(low, high - low)
+        pa.default_memory_pool().release_unused()
         low = high
 
 
@@ -97,7 +98,7 @@ class PieceEncoder:
 
     LONGEST = 64  # characters of a piece that is worth keeping
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], spaced: bool, added: Iterable[str] = (), encode_whole: Callable[[str], bytes] | None = None, most: int = 300_000):
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], spaced: bool, added: Iterable[str] = (), encode_whole: Callable[[str], bytes] | None = None, most: int = 60_000):
         self.encode_pieces, self.spaced, self.encode_whole = encode_pieces, spaced, encode_whole
         self.added, self.kept = list(added), Recent(most)
 
@@ -192,7 +193,7 @@ def _parts_apply(tokenizer) -> bool:
     return parted == _whole_pieces(tokenizer)(probe)
 
 
-def _parted_pieces(tokenizer, whole: Callable[[list[str]], list[bytes]], most: int = 200_000) -> Callable[[list[str]], list[bytes]]:
+def _parted_pieces(tokenizer, whole: Callable[[list[str]], list[bytes]], most: int = 120_000) -> Callable[[list[str]], list[bytes]]:
     """Encodes a word and the signs behind it apart, each once; other pieces as a whole.
 
     A word of letters is one match of the vocabulary's pattern whatever follows it,
