@@ -165,6 +165,30 @@ def neighbour_overlap(baseline: DataFrame, run: DataFrame, k: int | str = "auto"
     return both.select("query_id", F.lit(k).alias("k"), stats.jaccard(first, second).alias("jaccard"), stats.rank_biased_overlap(first, second, p).alias("rbo"))
 
 
+def overlap_of_runs(runs: dict[str, DataFrame], baseline: str) -> DataFrame:
+    """query_id, run, shared and jaccard: neighbours that each other run's list of a query has in common with the baseline's."""
+    base, out = neighbour_lists(runs[baseline]), None
+    for name in sorted(set(runs) - {baseline}):
+        both = base.join(neighbour_lists(runs[name]).select("query_id", F.col("ids").alias("other")), "query_id", "left")
+        other = F.coalesce("other", F.slice("ids", 1, 0))
+        one = both.select("query_id", F.lit(name).alias("run"), F.size(F.array_intersect("ids", other)).cast("bigint").alias("shared"), stats.jaccard(F.col("ids"), other).alias("jaccard"))
+        out = one if out is None else out.union(one)
+    if out is None:
+        raise ValueError("there is no run beside the baseline")
+    return out
+
+
+def selected_queries(df: DataFrame, id_col: str, asked: Sequence, column: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id, or whose ``column``, is asked for; asked value, n_rows and found). Values are compared as trimmed text without regard to case."""
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(str(a),) for a in dict.fromkeys(asked)], "asked string").withColumn("__key", F.lower(F.trim("asked")))
+    keyed = df.withColumn("__key", F.lower(F.trim(F.col(column or id_col).cast("string"))))
+    rows = keyed.join(F.broadcast(wanted.select("__key").distinct()), "__key", "left_semi")  # the list that the caller gives
+    counts = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    report = wanted.join(counts, "__key", "left").select("asked", F.coalesce("n", F.lit(0)).alias("n_rows"), F.col("n").isNotNull().alias("found"))
+    return rows.drop("__key"), report
+
+
 def overlap_summary(overlap: DataFrame) -> DataFrame:
     q = lambda c, x: F.percentile(c, F.lit(x))
     return overlap.agg(

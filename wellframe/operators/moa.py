@@ -195,11 +195,9 @@ def separability(pairs: DataFrame, labels: DataFrame, id_col: str, label: str) -
 
 def shuffled_labels(labels: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
     """The labels dealt out anew among the ids, by two hash orders; label counts stay."""
-    rows = Window.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col))
-    deal = Window.orderBy(F.xxhash64(F.lit(seed + 1_000_003), F.col(id_col)), F.col(id_col))
-    to = labels.select(id_col, F.row_number().over(rows).alias("__n"))
-    what = labels.select(label, F.row_number().over(deal).alias("__n"))
-    return to.join(what, "__n").drop("__n")
+    from .anchors import permuted
+
+    return permuted(labels.select(id_col, label), id_col, label, seed)
 
 
 def permutation_p(observed: float, null: Sequence[float]) -> float:

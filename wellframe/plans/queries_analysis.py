@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.functions import stats, text
-from wellframe.operators import diagnostics, distance, latent, models, moa, preprocess
+from wellframe.operators import anchors, diagnostics, distance, latent, models, moa, preprocess
 
 from .queries import FEATURES, each, object_profiles, query, r, rounded, table, with_profiles
 
@@ -511,3 +511,44 @@ def synthetic_profiles(spark, sf):
 def strategy_ranking(spark, sf):
     rows = [("robust", True, "ok", 0.6, 0.2, 0.5), ("none", True, "review", 0.4, 0.7, 0.3), ("broken", False, "ok", None, None, None)]
     return latent.rank_strategies(spark.createDataFrame(rows, "strategy string, matrix_ok boolean, control_status string, replicate_correlation double, batch_eta2 double, compound_eta2 double"))
+
+
+# ---------------------------------------------------------------- pseudo-anchors, neighbour runs
+
+
+@query("pseudo_anchors")
+def pseudo_anchors(spark, sf):
+    v = vectors(spark, sf)
+    known = v.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"))
+    return anchors.make_pseudo_anchors(v, "vec_id", "embedding", (5, 10), known)[0]
+
+
+@query("anchor_silhouettes")
+def anchor_silhouettes(spark, sf):
+    return anchors.silhouette_by_k(vectors(spark, sf), "vec_id", "embedding", (5, 10))
+
+
+@query("cluster_bootstrap")
+def cluster_bootstrap(spark, sf):
+    return anchors.cluster_bootstrap(vectors(spark, sf), "vec_id", "embedding", 10, 3)
+
+
+@query("sub_centroids")
+def sub_centroids(spark, sf):
+    return anchors.sub_centroids(vectors(spark, sf), "vec_id", "embedding", "label", 2, rounds=3)
+
+
+@query("cluster_permutation")
+def cluster_permutation(spark, sf):
+    return anchors.cluster_permutation(vectors(spark, sf), "vec_id", "embedding", "label", 5)
+
+
+@query("neighbour_runs", f"""WITH {UNIT}, d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, {COSINE} AS cosine, list_distance(a.e, b.e) AS unit_distance FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+x AS (SELECT query_id, neighbour_id FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine, neighbour_id) <= 10),
+w AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) <= 10)
+SELECT x.query_id, 'euclidean' AS run, count(w.neighbour_id) AS shared, {r('count(w.neighbour_id) / (20 - count(w.neighbour_id))')} AS jaccard FROM x LEFT JOIN w ON x.query_id = w.query_id AND x.neighbour_id = w.neighbour_id GROUP BY 1""")
+def neighbour_runs(spark, sf):
+    v = vectors(spark, sf)
+    asked = v.where("vec_id % 100 = 0")
+    lists = {m: distance.nearest(asked, "vec_id", "embedding", 10, m, base=v) for m in ("cosine", "euclidean")}
+    return rounded(distance.overlap_of_runs(lists, "cosine"))
