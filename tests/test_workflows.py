@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellframe.functions import stats, text
-from wellframe.operators import diagnostics, distance, keys, latent, models, moa, preprocess, profiles, qc
+from wellframe.operators import diagnostics, distance, keys, latent, models, moa, preprocess, profiles, qc, synthetic
 from wellframe.plans import workflows
 from wellframe.sources import tables
 from wellframe.streaming import drift
@@ -145,7 +145,7 @@ def test_models(spark):
 
 
 def test_latent(spark):
-    made = latent.synthetic_profiles(spark, latent.SyntheticConfig(n_compounds=6, n_features=10))
+    made = synthetic.synthetic_profiles(spark, synthetic.SyntheticConfig(n_compounds=6, n_features=10))
     assert made.count() == 48
     features = {d: [c for c in made.columns if c.startswith("Cells_")] for d in ("dataset_1", "dataset_2")}
     out = workflows.latent_space(spark, {d: made.where(F.col("Dataset") == d) for d in features}, features, 3)

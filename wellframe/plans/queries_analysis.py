@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.functions import stats, text
-from wellframe.operators import anchors, diagnostics, distance, latent, models, moa, preprocess
+from wellframe.operators import anchors, diagnostics, distance, holdout, latent, models, moa, preprocess, synthetic
 
 from .queries import FEATURES, each, object_profiles, query, r, rounded, table, with_profiles
 
@@ -504,7 +504,7 @@ def latent_clean(spark, sf):
 
 @query("synthetic_profiles")
 def synthetic_profiles(spark, sf):
-    return latent.synthetic_profiles(spark, latent.SyntheticConfig(n_compounds=12, n_features=12))
+    return synthetic.synthetic_profiles(spark, synthetic.SyntheticConfig(n_compounds=12, n_features=12))
 
 
 @query("strategy_ranking")
@@ -552,3 +552,43 @@ def neighbour_runs(spark, sf):
     asked = v.where("vec_id % 100 = 0")
     lists = {m: distance.nearest(asked, "vec_id", "embedding", 10, m, base=v) for m in ("cosine", "euclidean")}
     return rounded(distance.overlap_of_runs(lists, "cosine"))
+
+
+# ---------------------------------------------------------------- held-out retrieval, synthetic scenarios
+
+
+@query("validation_retrieval", f"""WITH {UNIT}, d AS (SELECT a.vec_id AS q, a.label = b.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 12), b.vec_id) AS rank FROM u a JOIN u b ON b.vec_id % 100 <> 0 WHERE a.vec_id % 100 = 0),
+n AS (SELECT count(*) FILTER (vec_id % 100 <> 0) AS train, count(*) FILTER (vec_id % 100 = 0) AS held FROM embeddings)
+SELECT 'validation_to_train_top1_same_label_rate' AS metric, {r('avg(same::INTEGER)')} AS value FROM d WHERE rank = 1 UNION ALL SELECT 'validation_to_train_mean_topk_same_label_rate', {r('avg(same::INTEGER)')} FROM d WHERE rank <= 5
+UNION ALL SELECT 'validation_to_train_n_train_rows', train::DOUBLE FROM n UNION ALL SELECT 'validation_to_train_n_validation_rows', held::DOUBLE FROM n""")
+def validation_retrieval(spark, sf):
+    return rounded(holdout.validation_retrieval(vectors(spark, sf), "vec_id", "embedding", {"label": "label"}, F.col("vec_id") % 100 == 0)[0])
+
+
+@query("compound_holdout")
+def compound_holdout(spark, sf):
+    v = vectors(spark, sf)
+    named = v.withColumn("compound", F.concat_ws("_", F.col("label").cast("string"), (F.col("vec_id") % 3).cast("string")))
+    return holdout.compound_holdout(named, "vec_id", "embedding", "compound", ["1_0", "2_1"], {"label": "label"})[0]
+
+
+@query("scenario_summary")
+def scenario_summary(spark, sf):
+    from . import workflows
+
+    small = synthetic.SyntheticConfig(n_compounds=10, n_features=24, n_informative=12)
+    return workflows.synthetic_benchmark(spark, ["clean_biology", "no_biology_negative_control"], small, dims=6).data
+
+
+@query("tree_importance")
+def tree_importance(spark, sf):
+    df, names = _flat(spark, sf)
+    return models.tree_importance(df, names, "label")
+
+
+@query("importance_by_family", f"""SELECT CASE WHEN lower(p_name) LIKE '%intensity%' THEN 'Intensity' WHEN lower(p_name) LIKE '%texture%' THEN 'Texture' ELSE 'Other' END AS family, count(*) AS n_features, {r('sum(p_retailprice)')} AS total_importance, {r('avg(p_retailprice)')} AS mean_importance FROM
+(SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Cells_Intensity_' WHEN p_partkey % 3 = 1 THEN 'Cells_Texture_' ELSE 'Cells_' END || p_partkey AS p_name, p_retailprice FROM part) GROUP BY 1""")
+def importance_by_family(spark, sf):
+    key = F.col("p_partkey")
+    kind = F.when(key % 3 == 0, "Cells_Intensity_").when(key % 3 == 1, "Cells_Texture_").otherwise("Cells_")
+    return rounded(models.importance_by_family(table(spark, sf, "part").select(F.concat(kind, key.cast("string")).alias("feature"), F.col("p_retailprice").cast("double").alias("importance"))))

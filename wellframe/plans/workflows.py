@@ -7,13 +7,14 @@ DataFrames, so nothing is computed that isn't written.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.operators import diagnostics, distance, keys, latent, models, moa, preprocess, profiles, qc
+from wellframe.operators import diagnostics, distance, holdout, keys, latent, models, moa, preprocess, profiles, qc, synthetic
+from wellframe.operators.graph import stored
 from wellframe.operators.latent import Result
 from wellframe.sources import tables
 
@@ -279,3 +280,75 @@ def explain(df: DataFrame, id_col: str, features: Sequence[str], query, backgrou
     side = F.when(mine, True) if background is None else F.when(mine, True).when(background, False)
     side = side.otherwise(False) if background is None else side
     return Result(diagnostics.two_sample_statistics(df, features, side, test), {"contributions": models.linear_contributions(df, features, mine)})
+
+
+def supervised(df: DataFrame, id_col: str, features: Sequence[str], label: str, names: Sequence[str] = ("knn", "random_forest", "logistic_regression"), folds: int = 5) -> Result:
+    """Predictions of several models over the same folds; their summaries, and the forest's importances by feature and family."""
+    summaries, predictions = models.compare_models(df, id_col, features, label, names, folds)
+    importance = models.tree_importance(df, features, label)
+    return Result(predictions, {"models": summaries, "importance": importance, "families": models.importance_by_family(importance)})
+
+
+def drift_by_compartment(spark: SparkSession, folder: str, image: str, features: Sequence[str] | None = None, most: int = 200, least: int = 50) -> dict[str, Result]:
+    """Drift of each compartment's tables in a folder, by compartment; tables without the image column are left out.
+
+    Without ``features`` a compartment's first ``most`` are taken; given ones that a
+    compartment lacks raise.
+    """
+    out = {}
+    for compartment, paths in tables.compartment_files(folder).items():
+        stacked = None
+        for path in paths:
+            one = tables.read_table(spark, path)
+            if image in one.columns:
+                stacked = one if stacked is None else stacked.unionByName(one, allowMissingColumns=True)
+        if stacked is None:
+            continue
+        asked = list(features) if features else drift_features(stacked, image, most)
+        if absent := [f for f in asked if f not in stacked.columns]:
+            raise KeyError(f"{compartment} has no features {absent}")
+        if asked:
+            out[compartment] = drift(stacked, image, asked, least)
+    return out
+
+
+def drift_features(df: DataFrame, image: str, most: int = 200) -> list[str]:
+    """The first ``most`` features of a table in its own order."""
+    return [f for f in tables.feature_columns(df) if f != image][:most]
+
+
+def synthetic_benchmark(spark: SparkSession, names: Sequence[str] = tuple(synthetic.SCENARIOS), base: synthetic.SyntheticConfig = synthetic.SyntheticConfig(), seeds: Sequence[int] = (42,), dims: int = 20, fraction: float = 0.15, encode=None) -> Result:
+    """Scenarios generated, perturbed, cleaned and embedded; how held-out rows find their compounds; a decision on each.
+
+    Methods are the scaled features (raw), their principal components (pca) and, where
+    given, ``encode(DataFrame, features) -> DataFrame`` with latent_ columns (backend),
+    which is the one judged; without it pca is. Training rows never stand for held-out ones.
+    """
+    parts, judged = [], "backend" if encode is not None else "pca"
+    columns = {"compound": "cpd_id", "moa": "cpd_type", "dataset": "Dataset", "batch": "synthetic_batch"}
+    for name in names:
+        for seed in seeds:
+            config = synthetic.scenario(name, replace(base, seed=seed))
+            features = synthetic.feature_names(config)
+            made = stored(synthetic.perturbed(synthetic.synthetic_profiles(spark, config), features, config), "profiles")
+            cleaned = latent.clean_and_scale(made, features)
+            kept = [r["feature"] for r in cleaned.audits["features"].where("status = 'kept'").collect()]
+            split = stored(latent.validation_split(cleaned.data, "Sample", "cpd_id", fraction, seed), "cleaned")
+            spaces = {"raw": (split, kept)}
+            scored, _ = models.run_pca(split, kept, dims, prefix="latent_")
+            spaces["pca"] = (scored, [c for c in scored.columns if c.startswith("latent_")])
+            if encode is not None:
+                coded = encode(split, kept)
+                spaces["backend"] = (coded, [c for c in coded.columns if c.startswith("latent_")])
+            for method, (space, axes) in spaces.items():
+                vector = F.array(*[F.coalesce(F.col(a).cast("double"), F.lit(0.0)) for a in axes])
+                ready = stored(space.select("Sample", *columns.values(), "split", vector.alias("__v")), "space")
+                held, _ = holdout.validation_retrieval(ready, "Sample", "__v", columns, F.col("split") == "validation")
+                near = holdout.named_neighbours(distance.nearest(ready, "Sample", "__v", 1), ready, "Sample", columns)
+                every = near.agg(F.avg(F.col("same_compound").cast("double")).alias("value")).select(F.lit(holdout.ALL_ROWS).alias("metric"), "value")
+                parts.append(held.union(every).select(F.lit(name).alias("scenario"), F.lit(seed).alias("seed"), F.lit(method).alias("method"), "metric", "value"))
+    # a few rows a scenario, seed and method, fetched one part at a time so that plans stay small
+    rows = [tuple(r) for part in parts for r in part.collect()]
+    metrics = spark.createDataFrame(rows, "scenario string, seed int, method string, metric string, value double")
+    scores = holdout.score_scenarios(metrics, judged)
+    return Result(holdout.summarise_scenarios(metrics, scores, judged), {"metrics": metrics, "checks": scores})

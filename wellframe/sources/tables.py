@@ -292,3 +292,22 @@ def save_config(config: dict, path: str) -> None:
 
 def load_config(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+#: Parts of a file's name that tell its compartment, the first that fits (fixed values).
+COMPARTMENTS = {"nuclei": "Nuclei", "cytoplasm": "Cytoplasm", "mitochondria": "Mitochondria", "acrosome": "Acrosome", "image": "Image", "cell": "Cell"}
+
+
+def compartment_of(file_name: str) -> str | None:
+    """The compartment that a file's name tells, regardless of case."""
+    return next((c for token, c in COMPARTMENTS.items() if token in file_name.lower()), None)
+
+
+def compartment_files(folder: str) -> dict[str, list[str]]:
+    """Paths of a folder's object tables by compartment, subfolders included; image tables and unknown ones are left out."""
+    out: dict[str, list[str]] = {}
+    for path in discover(folder, recursive=True):
+        compartment = compartment_of(Path(path).name)
+        if compartment not in (None, "Image"):
+            out.setdefault(compartment, []).append(path)
+    return dict(sorted(out.items()))
