@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, sharding
+from . import licences, resample, sharding
 from .jaccard import SIMILARITY, WORDS
 from .lattice import COSINE
 
@@ -90,3 +90,26 @@ m AS (SELECT * FROM met JOIN names USING (template)),
 d AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
  array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(least(score, 1)) AS score FROM m GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6) AS score FROM t LEFT JOIN d USING (doc_id)"""
+
+
+def resampling_sql() -> str:
+    """crc32 byte by byte over each different word, by a table made from its polynomial."""
+    size = resample.BUCKETS
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"unnest(regexp_extract_all(coalesce({lower}, ''), '{word}'))"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+WITH t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, k: {step})) AS t),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, {words} AS w FROM documents) GROUP BY 1, 2),
+bw AS (SELECT w, count(*) AS n FROM (SELECT {words} AS w FROM benchmark) GROUP BY 1),
+u AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+b AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % {size} AS bucket FROM u, t),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN b USING (w) GROUP BY 1), q AS (SELECT bucket, sum(n) AS t FROM bw JOIN b USING (w) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {size})::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM q), 0) + {size})::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN q USING (bucket)),
+f AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY 1),
+e AS (SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('{resample.SEED}:' || d.doc_id), 1, 8))::BIGINT AS h FROM documents d LEFT JOIN f USING (doc_id)),
+x AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296.0::DOUBLE)))::BIGINT AS score FROM e),
+y AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= {resample.LEAST_WORDS})
+SELECT x.doc_id, n_features, weight, score, y.rank FROM x LEFT JOIN y ON x.doc_id = y.doc_id AND y.rank <= {resample.PERCENT} * (SELECT count(*) FROM y) // 100
+"""

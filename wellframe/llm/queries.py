@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, jaccard, lattice, licences, oracle, packing, rules, sharding, tokenfile
+from . import bpe, classify, hnsw, jaccard, lattice, licences, oracle, packing, resample, rules, sharding, tokenfile, whiten
 from .common import pick, scratch_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -98,6 +98,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return white.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest_neighbours(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -110,6 +125,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_token_files": op10_token_files,
+        "op11_resampling": op11_resampling,
+        "op12_whitening": op12_whitening,
+        "op13_nearest": op13_nearest,
     }
 
 
@@ -120,4 +138,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_lattice_dedup": oracle.lattice_sql(),
         "op5_licence_scan": oracle.licences_sql(),
         "op6_quality_rules": oracle.rules_sql(),
+        "op11_resampling": oracle.resampling_sql(),
     }
