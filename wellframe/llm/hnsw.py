@@ -295,7 +295,12 @@ def build_index(df: DataFrame, id_col: str, vector_col: str, k: int) -> DataFram
                 out[name].append(value)
         return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), INDEX_TYPES)})
 
-    return written(dealt.groupBy("length", "shard").applyInArrow(run, INDEX), "graphs")
+    return written(spread(dealt).groupBy("length", "shard").applyInArrow(run, INDEX), "graphs")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Shards dealt to as many tasks as the session shuffles into: the work is in the graphs, so small tasks aren't put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "length", "shard")
 
 
 INDEX = "length int, shard int, shards int, part int, first int, nodes int, width int, ids array<array<bigint>>, full binary, layers array<binary>"
@@ -352,7 +357,7 @@ def search_index(index: DataFrame, queries: DataFrame, id_col: str, vector_col:
     stored = index.select("length", "shard", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("query_id"), *[c for c in index.columns if c not in ("length", "shard")])
     blank = [F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in stored.columns if c not in ("length", "shard", "kind", "query_id", "full")]
     sent = asked.join(shards, "length").select("length", "shard", F.lit(1).alias("kind"), F.col("id").alias("query_id"), "full", *blank)
-    both = stored.unionByName(sent).repartition("length", "shard").sortWithinPartitions("length", "shard", "kind", "part")
+    both = spread(stored.unionByName(sent)).sortWithinPartitions("length", "shard", "kind", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, shard = None, [], None
