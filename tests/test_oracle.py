@@ -18,7 +18,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 #: Queries without SQL whose results other tests hold against plain versions, or which run for minutes.
-ELSEWHERE = {"rf_cv", "tree_importance", "scenario_summary", "consensus_pairs", "dbscan", "anchor_permutation", "pca_scores", "kmeans", "loo_centroid_all", *(f"pairwise_{m}_all" for m in ("cosine", "euclidean", "correlation", "cityblock"))}
+ELSEWHERE = {"agglomerative_single", "agglomerative_ward", "corr_wide_summary", "balanced_batches", "cluster_bootstrap", "rf_cv", "tree_importance", "scenario_summary", "consensus_pairs", "dbscan", "anchor_permutation", "pca_scores", "kmeans", "loo_centroid_all", *(f"pairwise_{m}_all" for m in ("cosine", "euclidean", "correlation", "cityblock"))}
 
 
 @pytest.mark.parametrize("name", sorted(set(RUN) - set(SQL) - ELSEWHERE))

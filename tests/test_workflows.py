@@ -139,7 +139,6 @@ def test_models(spark):
     v = df.withColumn("v", F.array("a", "b", "c"))
     labels = {r["id"]: r["cluster"] for r in models.dbscan(v, "id", "v", 2.5, 3).collect()}
     assert len({labels[i] for i in range(60)} - {-1}) == 2
-    assert sorted(set(models.agglomerative(np.array([[0.0], [0.1], [5.0], [5.1]]), 2).tolist())) == [0, 1]
     with pytest.raises(ValueError):
         models.classifier("extra_trees")
 

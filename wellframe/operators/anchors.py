@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.functions import stats
 
 from .distance import silhouette
-from .graph import stored
-from .moa import adjusted_rand, label_clusters
+from .graph import numbered_by, stored
+from .moa import label_clusters
+from .repeats import cluster_bootstrap, first_centres
 
 
 def unit_clusters(df: DataFrame, id_col: str, vector: str, k: int, seed: int = 0) -> DataFrame:
@@ -40,24 +42,6 @@ def best_k(table: DataFrame, default: int = 2) -> int:
     return row["k"] if row else default
 
 
-def cluster_bootstrap(df: DataFrame, id_col: str, vector: str, k: int, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """round and the adjusted Rand index with the clusters of all rows of those of a bootstrap sample.
-
-    A sample takes each row a Poisson(1) number of times, drawn by a hash of the id, so
-    that it needs no list of rows; a row counts as often as it was drawn.
-    """
-    full = stored(unit_clusters(df, id_col, vector, k, seed).withColumnRenamed("cluster", "full"), "clusters")
-    steps = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1)) for i in range(9)]) * 1_000_000
-    out = []
-    for r in range(rounds):
-        u = F.pmod(F.xxhash64(F.lit(seed + 1 + r), F.col(id_col).cast("string")), F.lit(1_000_000))
-        times = sum((u >= int(s)).cast("int") for s in steps)
-        drawn = df.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __times)")))
-        labels = unit_clusters(drawn, id_col, vector, k, seed + r).join(full, "id")
-        out.append((r, float(adjusted_rand(labels, "cluster", "full").first()["ari"])))
-    return df.sparkSession.createDataFrame(out, "round int, ari double")
-
-
 def make_pseudo_anchors(
     df: DataFrame, id_col: str, vector: str, ks: Sequence[int] = (4, 8, 12), labels: DataFrame | None = None, least_size: int = 2, bootstraps: int = 0, seed: int = 0
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -85,63 +69,39 @@ def make_pseudo_anchors(
     return anchors, clusters, table
 
 
-def sub_centroids(df: DataFrame, id_col: str, vector: str, label: str, most: int = 3, least: int = 5, seed: int = 0, rounds: int = 10) -> DataFrame:
+def sub_centroids(df: DataFrame, id_col: str, vector: str, label: str, most: int = 3, least: int = 5, seed: int = 0, rounds: int = 10, starts: int = 8, seen: int = 256) -> DataFrame:
     """label, sub, n and centroid (unit): each label's rows parted into up to ``most`` centroids by spherical k-means.
 
-    A label of n rows has min(most, n // least) centroids, one at least. All labels
-    are clustered together: rows choose the nearest centroid of their own label, and a
-    round is one join and one sum. Centroids begin at the rows of least hash.
+    A label of n rows has min(most, n // least) centroids, one at least. All labels are
+    clustered together, from several starts at once; of each label the start of the
+    largest sum of cosines is kept. First centroids are rows far from one another among
+    the ``seen`` rows of least hash of the label; a round is one join and one sum. Empty
+    sub-clusters end.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"), stats.unit(F.transform(vector, lambda x: x.cast("double"))).alias("v")
     )
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).withColumn("k", F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("rows") / least))).cast("int"))
-    first = rows.withColumn("mark", F.xxhash64(F.lit(seed), F.col("id").cast("string")))
-    # the ``most`` rows of least hash of each label, taken by repeated minima, which combine before the shuffle
-    chosen = None
-    left = first
-    for j in range(most):
-        one = left.groupBy("label").agg(F.min(F.struct("mark", "id", "v")).alias("s")).select("label", F.lit(j).alias("sub"), F.col("s.mark").alias("mark"), F.col("s.v").alias("centroid"))
-        chosen = one if chosen is None else chosen.union(one)
-        left = left.join(one.select("label", F.col("mark").alias("taken")), "label").where(F.col("mark") > F.col("taken")).drop("taken")
-    centres = stored(chosen.join(sizes, "label").where(F.col("sub") < F.col("k")).select("label", "sub", "centroid"), "centres")
-    for _ in range(rounds):
-        near = rows.join(centres, "label").groupBy("id", "label").agg(F.max_by(F.struct("sub", "v"), F.struct(F.round(stats.dot(F.col("v"), F.col("centroid")), 12), -F.col("sub"))).alias("s"))
-        spread = near.select("label", F.col("s.sub").alias("sub"), F.posexplode("s.v").alias("i", "x"))
-        sums = spread.groupBy("label", "sub", "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-        made = sums.groupBy("label", "sub").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s"))
-        centres = stored(made.select("label", "sub", "n", stats.unit(F.transform("s", lambda t: t["m"])).alias("centroid")), "centres")
-    return centres
-
-
-def cluster_permutation(df: DataFrame, id_col: str, vector: str, cluster: str, permutations: int = 100, seed: int = 0) -> DataFrame:
-    """observed, mean and sd of the null, z, p_value and permutations: is the mean cosine silhouette more than chance?
-
-    A permutation gives each row the cluster of the row that stands a hashed number of
-    places further in a hashed order of ids, which keeps the clusters' sizes. The
-    silhouette of each follows from sums by cluster, so nothing but these sums and
-    one number a permutation is gathered.
-    """
-    rows = stored(df.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(cluster).cast("string").alias("cluster"), F.col(vector).alias("v")), "rows")
-    observed = silhouette(rows, "id", "v", "cluster", "cosine").agg(F.avg("silhouette")).first()[0]
-    null = []
-    for p in range(permutations):
-        null.append(float(silhouette(permuted(rows, "id", "cluster", seed + p), "id", "v", "cluster", "cosine").agg(F.avg("silhouette")).first()[0]))
-    mean, sd = float(np.mean(null)), float(np.std(null, ddof=1)) if len(null) > 1 else None
-    p_value = (1 + sum(v >= observed for v in null)) / (1 + len(null))
-    z = (observed - mean) / sd if sd else None
-    return df.sparkSession.createDataFrame([(float(observed), mean, sd, z, p_value, permutations)], "observed double, null_mean double, null_sd double, z double, p_value double, permutations int")
-
-
-def numbered_by(rows: DataFrame, by, name: str) -> DataFrame:
-    """Adds ``name``, the place from 0 in the order of ``by``: ranges are sorted each in a task and moved by the sizes of those before."""
-    spark = rows.sparkSession
-    ordered = stored(rows.withColumn("__by", by).repartitionByRange("__by").sortWithinPartitions("__by").withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__at", 33)
-    counts = sorted(map(tuple, ordered.groupBy(part.alias("p")).count().collect()))  # a row for each partition
-    starts = spark.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, np.cumsum([0, *[c for _, c in counts]]))] or [(0, 0)], "__p bigint, __start bigint")
-    placed = ordered.join(F.broadcast(starts), part == F.col("__p"))
-    return placed.withColumn(name, F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")).drop("__by", "__at", "__p", "__start")
+    rows = stored(rows, "rows")
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = sizes.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("rows") / least))).cast("int"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), F.col("id").cast("string")), "id")  # only the first leave a task
+    head = rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= seen).join(sizes, "label")
+
+    def begin(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("__n")
+        x, k, name = np.stack(f["v"]), int(f["k"].iat[0]), f["label"].iat[0]
+        out = [(name, s, j, c) for s in range(starts) for j, c in enumerate(first_centres(x, np.ones(len(x)), k, np.random.default_rng([seed, s])))]
+        return pd.DataFrame(out, columns=["label", "start", "sub", "centroid"])
+
+    centres = stored(head.select("label", "v", "k", "__n").groupBy("label").applyInPandas(begin, "label string, start int, sub int, centroid array<double>"), "centres")
+    for _ in range(rounds + 1):  # the last one only counts
+        near = rows.join(centres, "label").groupBy("id", "label", "start").agg(F.max_by(F.struct("sub", "v", F.round(stats.dot(F.col("v"), F.col("centroid")), 12).alias("cos")), F.struct(F.round(stats.dot(F.col("v"), F.col("centroid")), 12), -F.col("sub"))).alias("s"))
+        spread = near.select("label", "start", F.col("s.sub").alias("sub"), F.col("s.cos").alias("cos"), F.posexplode("s.v").alias("i", "x"))
+        sums = spread.groupBy("label", "start", "sub", "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("cos").alias("cos"))
+        made = sums.groupBy("label", "start", "sub").agg(F.max("n").alias("n"), F.max("cos").alias("cos"), F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s"))
+        centres = stored(made.select("label", "start", "sub", "n", "cos", stats.unit(F.transform("s", lambda t: t["m"])).alias("centroid")), "centres")
+    best = centres.groupBy("label", "start").agg(F.sum("cos").alias("cos")).groupBy("label").agg(F.max_by("start", F.struct(F.round("cos", 9), -F.col("start"))).alias("start"))
+    return centres.join(best, ["label", "start"]).select("label", "sub", "n", "centroid")
 
 
 def permuted(rows: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:

@@ -42,21 +42,44 @@ def pairwise(df: DataFrame, id_col: str, vector: str, metric: str = "cosine") ->
 
 
 def blocks(df: DataFrame, id_col: str, vector: str, metric: str, name: str, block: int = 512) -> DataFrame:
-    """name_ids and name (prepared vectors): rows dealt into lists of about ``block`` by a hash; those without id or vector are left out."""
+    """name_ids and name (prepared vectors, one after another in one array): rows dealt into lists of about ``block`` by a hash; those without id or vector are left out."""
     v = df.select(F.col(id_col).alias("id"), prepared(F.col(vector), metric).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     n = max(1, -(-v.count() // block))
     dealt = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
     # a product of p by q partitions has p q tasks: about eight blocks go to each partition
-    return dealt.agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(name)).drop("block").coalesce(-(-n // 8))
+    return dealt.agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(name)).drop("block").coalesce(-(-n // 8))
+
+
+def block_rows(values, n: int) -> np.ndarray:
+    """The n vectors of a block as rows."""
+    return np.asarray(values, float).reshape(n, -1)
+
+
+def prepared_rows(x: np.ndarray, metric: str) -> np.ndarray:
+    """Of a matrix what ``prepared`` makes of a column."""
+    if metric in ("euclidean", "cityblock"):
+        return x
+    if metric == "spearman":
+        x = pd.DataFrame(x).rank(axis=1).to_numpy()
+    if metric != "cosine":
+        x = x - x.mean(1, keepdims=True)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
 def block_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """Of all rows of x to all of y, prepared."""
-    if metric == "euclidean":
-        return np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if x.shape[1] * len(x) * len(y) < 2**26 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-    if metric == "cityblock":
-        return np.stack([np.abs(y - r).sum(1) for r in x])
-    return 1 - x @ y.T
+    """Of all rows of x to all of y, prepared.
+
+    Euclidean and city block take true differences, a slice of x at a time, so that
+    copies are at 0 whatever the width and size of the blocks.
+    """
+    if metric not in ("euclidean", "cityblock"):
+        return 1 - x @ y.T
+    out = np.empty((len(x), len(y)))
+    step = max(1, (1 << 20) // max(1, y.size))
+    for at in range(0, len(x), step):
+        d = x[at : at + step, None, :] - y[None, :, :]
+        out[at : at + step] = np.abs(d).sum(2) if metric == "cityblock" else np.sqrt((d * d).sum(2))
+    return out
 
 
 def _block_top(metric: str, k: int, same_id: bool):
@@ -70,7 +93,7 @@ def _block_top(metric: str, k: int, same_id: bool):
             for q_ids, q, b_ids, b in zip(f["q_ids"], f["q"], f["b_ids"], f["b"]):
                 qi, bi = np.asarray(q_ids), np.asarray(b_ids)
                 by_id = np.argsort(bi, kind="stable")
-                bi, x, y = bi[by_id], np.stack(q).astype(float), np.stack(b).astype(float)[by_id]
+                bi, x, y = bi[by_id], block_rows(q, len(qi)), block_rows(b, len(bi))[by_id]
                 d = np.round(block_distances(x, y, metric), 12)
                 if same_id:
                     d[qi[:, None] == bi[None, :]] = np.inf
@@ -87,7 +110,7 @@ def _block_all(metric: str):
         for f in frames:
             for q_ids, q, b_ids, b in zip(f["q_ids"], f["q"], f["b_ids"], f["b"]):
                 qi, bi = np.asarray(q_ids), np.asarray(b_ids)
-                d = block_distances(np.stack(q).astype(float), np.stack(b).astype(float), metric)
+                d = block_distances(block_rows(q, len(qi)), block_rows(b, len(bi)), metric)
                 at, other = np.nonzero(qi[:, None] != bi[None, :])
                 yield pd.DataFrame({"id_a": qi[at], "id_b": bi[other], "distance": d[at, other]})
 

@@ -1,4 +1,4 @@
-"""Tables that cut lineage, and connected components by repeated joins."""
+"""Tables that cut lineage, places in an order, and connected components by repeated joins."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered_by(rows: DataFrame, by, name: str) -> DataFrame:
+    """Adds ``name``, the place from 0 in the order of ``by``: ranges are sorted each in a task and moved by the sizes of those before."""
+    spark = rows.sparkSession
+    ordered = stored(rows.withColumn("__by", by).repartitionByRange("__by").sortWithinPartitions("__by").withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33)
+    counts = sorted(map(tuple, ordered.groupBy(part.alias("p")).count().collect()))  # a row for each partition
+    starts = spark.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, np.cumsum([0, *[c for _, c in counts]]))] or [(0, 0)], "__p bigint, __start bigint")
+    placed = ordered.join(F.broadcast(starts), part == F.col("__p"))
+    return placed.withColumn(name, F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")).drop("__by", "__at", "__p", "__start")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for each end of an edge (long columns a and b).
 

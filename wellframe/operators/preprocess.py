@@ -7,15 +7,21 @@ folded in as literals, one for each feature.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellframe.functions.quantiles import exact_quantiles
 from wellframe.functions.shapes import to_long
-from wellframe.functions.stats import correlation, median, quantile
+from wellframe.functions.stats import clean, correlation, median, quantile
 
+from . import gram
+from .distance import block_rows
+from .graph import stored
 from .qc import join_groups
 
 
@@ -128,13 +134,24 @@ def reference_qc(df: DataFrame, features: Sequence[str], reference: Column, grou
     return out.withColumn("reference_fraction", n / F.col("n_profiles")).withColumn("status", status)
 
 
-def missing_indicators(df: DataFrame, features: Sequence[str], most: int = 500, least_fraction: float = 0.0) -> DataFrame:
-    """Adds MissingIndicator__f for the features with the largest missing fractions above ``least_fraction``."""
-    known = facts(df, features, missing=lambda x: F.avg(x.isNull().cast("double")))
-    able = sorted((f for f in features if (known[f]["missing"] or 0) > least_fraction), key=lambda f: (-known[f]["missing"], f))[:most]
+def missing_indicators(df: DataFrame, features: Sequence[str], most: int | None = None, least_fraction: float = 0.0) -> DataFrame:
+    """Adds MissingIndicator__f for each feature whose missing fraction is above ``least_fraction``; ``most`` keeps those of the largest (see ``indicator_report``)."""
+    able = indicated(facts(df, features, missing=lambda x: F.avg(x.isNull().cast("double"))), features, most, least_fraction)
     return df.withColumns({f"MissingIndicator__{f}": F.col(f).isNull().cast("int") for f in able})
 
 
+def indicated(known: dict, features: Sequence[str], most: int | None, least_fraction: float) -> list[str]:
+    return sorted((f for f in features if (known[f]["missing"] or 0) > least_fraction), key=lambda f: (-known[f]["missing"], f))[:most]
+
+
+def indicator_report(df: DataFrame, features: Sequence[str], most: int | None = None, least_fraction: float = 0.0) -> DataFrame:
+    """feature, missing_fraction and status of every feature: indicated, below_limit, or left_out where ``most`` was reached."""
+    known = facts(df, features, missing=lambda x: F.avg(x.isNull().cast("double")))
+    able, taken = set(indicated(known, features, None, least_fraction)), set(indicated(known, features, most, least_fraction))
+    rows = [(f, float(known[f]["missing"] or 0.0), "indicated" if f in taken else "left_out" if f in able else "below_limit") for f in features]
+    return df.sparkSession.createDataFrame(rows, "feature string, missing_fraction double, status string")
+
+
 def impute(df: DataFrame, features: Sequence[str], method: str = "median", groups: Sequence[str] = (), large: bool = False) -> DataFrame:
     """Fills missing values: median, mean, zero, group_median or group_mean (then the overall one, then 0)."""
     if method == "zero":
@@ -151,37 +168,66 @@ def impute(df: DataFrame, features: Sequence[str], method: str = "median", group
     return joined.withColumns({f: F.coalesce(F.col(f).cast("double"), F.col("__m_" + f), fill[f]) for f in features}).select(*df.columns)
 
 
-def impute_knn(df: DataFrame, features: Sequence[str], id_col: str, neighbours: int = 5, groups: Sequence[str] = ()) -> DataFrame:
+def _nearest_values(neighbours: int):
+    """Of a block of asked rows and one of their group: for each missing value the nearest rows that have it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(len(f)):
+                r = f.iloc[at]
+                qi, bi = np.asarray(r["q_ids"]), np.asarray(r["b_ids"])
+                by_id = np.argsort(bi, kind="stable")
+                q, b, bi = block_rows(r["q"], len(qi)), block_rows(r["b"], len(bi))[by_id], bi[by_id]
+                width, kq, kb = q.shape[1], ~np.isnan(q), ~np.isnan(b)
+                shared = kq.astype(float) @ kb.T.astype(float)
+                square = np.empty((len(q), len(b)))
+                step = max(1, (1 << 20) // max(1, b.size))
+                for low in range(0, len(q), step):
+                    square[low : low + step] = np.nansum((q[low : low + step, None, :] - b[None, :, :]) ** 2, axis=2)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = np.round(np.sqrt(square * width / shared), 12)
+                d[(shared == 0) | (qi[:, None] == bi[None, :])] = np.inf
+                for j in np.flatnonzero(~kq.all(0)):
+                    rows, have = np.flatnonzero(~kq[:, j]), np.flatnonzero(kb[:, j])
+                    if not len(have):
+                        continue
+                    near = d[np.ix_(rows, have)]
+                    top = np.argsort(near, axis=1, kind="stable")[:, :neighbours]
+                    x, y = np.nonzero(np.isfinite(np.take_along_axis(near, top, 1)))
+                    other = have[top[x, y]]
+                    yield pd.DataFrame({"q": qi[rows[x]], "f": np.full(len(x), j, np.int32), "d": near[x, top[x, y]], "id": bi[other], "value": b[other, j]})
+
+    return run
+
+
+def impute_knn(df: DataFrame, features: Sequence[str], id_col: str, neighbours: int = 5, groups: Sequence[str] = (), block: int = 512) -> DataFrame:
     """Fills each missing value by the mean of the nearest rows that have it (nan-Euclidean), then the median.
 
-    Rows with something missing are held against all rows of their group in blocks:
-    a join on the group, limited to the rows that need it, keeping the k nearest for
-    each row and feature.
+    Distances take the features that both rows have, scaled up to all of them; equal
+    ones go to the smaller id. Blocks of rows with something missing meet the blocks of
+    their group; a pair of blocks gives ``neighbours`` rows a missing value at most, and
+    the best of these are kept. Rows without an id are filled by the median alone.
     """
     whole = impute(df, features, "median")
-    need = F.lit(False)
-    for f in features:
-        need = need | F.col(f).isNull()
-    asked = df.where(need).select(F.col(id_col).alias("__q"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], *[F.col(f).cast("double").alias("__q_" + f) for f in features])
-    on = F.col("__q") != F.col(id_col)
-    for i, g in enumerate(groups):
-        on = on & F.col(f"__g{i}").eqNullSafe(F.col(g))
-    pairs = df.select(id_col, *groups, *[F.col(f).cast("double").alias(f) for f in features]).join(asked, on)
-    both = [F.col(f).isNotNull() & F.col("__q_" + f).isNotNull() for f in features]
-    shared = sum((b.cast("int") for b in both), F.lit(0))
-    square = sum((F.when(b, F.pow(F.col(f) - F.col("__q_" + f), 2)).otherwise(0.0) for b, f in zip(both, features)), F.lit(0.0))
-    pairs = pairs.where(shared > 0).withColumn("__d", F.sqrt(square * len(features) / shared))
-    means = []
-    for f in features:  # the k least (distance, id, value) of rows that have the value
-        seen = F.when(F.col("__q_" + f).isNull() & F.col(f).isNotNull(), F.struct("__d", id_col, F.col(f).alias("v")))
-        nearest = F.slice(F.array_sort(F.collect_list(seen)), 1, neighbours)
-        means.append(F.aggregate(nearest, F.lit(0.0), lambda a, s: a + s["v"], lambda a: a).alias("__sum_" + f))
-        means.append(F.size(nearest).alias("__n_" + f))
-    found = pairs.groupBy("__q").agg(*means)
-    joined = whole.join(found, whole[id_col] == found["__q"], "left")
-    original = df.select(F.col(id_col).alias("__id"), *[F.col(f).isNull().alias("__null_" + f) for f in features])
-    joined = joined.join(original, joined[id_col] == original["__id"])
-    filled = {f: F.when(F.col("__null_" + f) & (F.col("__n_" + f) > 0), F.col("__sum_" + f) / F.col("__n_" + f)).otherwise(F.col(f)) for f in features}
+    missing = F.lit(float("nan"))
+    v = F.array(*[F.coalesce(clean(F.col(f), float("inf")), missing) for f in features])
+    group = F.to_json(F.struct(*[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)])) if groups else F.lit("")
+    rows = stored(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), group.alias("g"), v.alias("v")), "rows")
+    id_type = rows.schema["id"].dataType
+
+    def dealt(part: DataFrame, name: str) -> DataFrame:
+        sizes = part.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+        placed = part.join(sizes, "g").groupBy("g", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+        return placed.agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(name)).drop("block")
+
+    pairs = dealt(rows.where(F.exists("v", F.isnan)), "q").join(dealt(rows, "b"), "g")
+    schema = T.StructType([T.StructField("q", id_type), *T.StructType.fromDDL("f int, d double"), T.StructField("id", id_type), T.StructField("value", T.DoubleType())])
+    near = pairs.mapInPandas(_nearest_values(neighbours), schema)
+    best = near.withColumn("k", F.row_number().over(Window.partitionBy("q", "f").orderBy("d", "id"))).where(F.col("k") <= neighbours)
+    means = best.groupBy("q", "f").agg(F.avg("value").alias("m")).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("f", "m"))).alias("__found"))
+    original = df.select(F.col(id_col).alias("__id"), *[clean(F.col(f), float("inf")).alias(f"__o{i}") for i, f in enumerate(features)])
+    joined = whole.join(original.where("__id IS NOT NULL").dropDuplicates(["__id"]), F.col(id_col) == F.col("__id"), "left").join(means.withColumnRenamed("q", "__q"), F.col(id_col) == F.col("__q"), "left")
+    filled = {f: F.when(F.col("__id").isNull(), F.col(f)).otherwise(F.coalesce(F.col(f"__o{i}"), F.try_element_at("__found", F.lit(i)), F.col(f))) for i, f in enumerate(features)}
     return joined.withColumns(filled).select(*df.columns)
 
 
@@ -264,72 +310,82 @@ def scale(df: DataFrame, features: Sequence[str], method: str = "robust", large:
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str], method: str = "pearson") -> DataFrame:
-    """feature_a < feature_b and their correlation (0 where one is constant), from one aggregation over the rows.
+    """feature_a before feature_b and their correlation over the rows that have both (0 where one is constant).
 
-    Spearman ranks each feature over the whole table first (complete rows are
-    expected, as after imputation); kendall is not offered here, see ``kendall``.
+    spearman ranks each feature over all its known values; kendall is tau-b. A few
+    features are one aggregation, more of them go by blocks of columns (see ``gram``),
+    with the same result.
     """
+    if method == "kendall":
+        return gram.kendall_pairs(df, features)
     if method == "spearman":
-        df = ranked_features(df, features)
+        df = gram.ranked(df, features)
     elif method != "pearson":
         raise ValueError(f"unknown method {method}")
+    if len(features) > NARROW:
+        return gram.correlations(df, features)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    made = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.coalesce(correlation(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)).alias("correlation")) for a, b in pairs]
+    value = lambda f: clean(F.col(f), float("inf"))
+    made = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.coalesce(correlation(value(a), value(b)), F.lit(0.0)).alias("correlation")) for a, b in pairs]
     return df.agg(F.array(*made).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def ranked_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Each feature as average ranks. A value's rank comes from counts of distinct values, so ties cost nothing."""
-    for f in features:
-        counts = df.where(F.col(f).isNotNull()).groupBy(F.col(f).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-        from pyspark.sql import Window
-
-        below = F.coalesce(F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select("__v", (below + (F.col("__n") + 1) / 2.0).alias("__r"))
-        df = df.join(ranks, df[f] == ranks["__v"], "left").withColumn(f, F.col("__r")).drop("__v", "__r")
-    return df
-
-
-def kendall(df: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b of two features, by pairs; for tables of a few thousand rows."""
-    left = df.select(F.col(id_col).alias("i"), F.col(a).cast("double").alias("xa"), F.col(b).cast("double").alias("xb")).dropna()
-    right = left.select(F.col("i").alias("j"), F.col("xa").alias("ya"), F.col("xb").alias("yb"))
-    sa, sb = F.signum(F.col("xa") - F.col("ya")), F.signum(F.col("xb") - F.col("yb"))
-    s = left.join(right, F.col("i") < F.col("j")).agg(F.sum(sa * sb).alias("s"), F.sum(sa * sa).alias("na"), F.sum(sb * sb).alias("nb"))
-    return s.select((F.col("s") / F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+#: Features whose pairs are columns of one aggregation.
+NARROW = 12
 
 
 def correlation_filter(
-    df: DataFrame, features: Sequence[str], threshold: float = 0.95, method: str = "spearman", strategy: str = "variance", protected: Sequence[str] = (), most: int = 5000
+    df: DataFrame, features: Sequence[str], threshold: float = 0.95, method: str = "spearman", strategy: str = "variance", protected: Sequence[str] = ()
 ) -> tuple[list[str], DataFrame]:
-    """(retained features, report of those dropped): a greedy scan in order of priority.
+    """(retained features, report of those dropped): a greedy scan in order of priority, for any number of features.
 
     strategy: variance (largest first), mean_correlation (least first) or order. A
     feature is dropped if its |r| with a retained one reaches the threshold; the
-    report names the retained one of largest |r|. Beyond ``most`` features nothing is
-    dropped. The scan is over features, not rows, and runs on the driver.
+    report names the retained one of largest |r|. The scan is over features, not rows,
+    and runs on the driver, which sees only the pairs that reach the threshold.
     """
     schema = "feature string, retained_feature string, correlation double"
-    if len(features) > most or len(features) < 2:
+    if len(features) < 2:
         return list(features), df.sparkSession.createDataFrame([], schema)
-    r = {frozenset((x["feature_a"], x["feature_b"])): x["correlation"] for x in correlation_pairs(df, features, method).collect()}
-    of = lambda a, b: abs(r[frozenset((a, b))])
+    pairs = stored(correlation_pairs(df, features, method).withColumn("r", F.abs("correlation")).select("feature_a", "feature_b", "r"), "correlations")
+    near: dict[str, list[tuple[str, float]]] = {f: [] for f in features}
+    for x in pairs.where(F.col("r") >= threshold).toLocalIterator():
+        near[x["feature_a"]].append((x["feature_b"], x["r"]))
+        near[x["feature_b"]].append((x["feature_a"], x["r"]))
     if strategy == "variance":
         known = facts(df, features, value=F.var_samp)
         weight = {f: -(known[f]["value"] or 0.0) for f in features}
     elif strategy == "mean_correlation":
-        weight = {f: sum(of(f, g) for g in features if g != f) / (len(features) - 1) for f in features}
+        both = pairs.select(F.col("feature_a").alias("f"), "r").union(pairs.select("feature_b", "r"))
+        weight = {x["f"]: x["r"] for x in both.groupBy("f").agg((F.sum("r") / (len(features) - 1)).alias("r")).collect()}  # a row a feature
     else:
         weight = dict.fromkeys(features, 0.0)
-    retained: list[str] = []
+    place: dict[str, int] = {}
     dropped = []
     for f in sorted(features, key=lambda f: (f not in protected, weight[f])):
-        near = max(retained, key=lambda g: of(f, g), default=None)
-        if f not in protected and near is not None and of(f, near) >= threshold:
-            dropped.append((f, near, float(of(f, near))))
+        held = max(((r, -place[g], g) for g, r in near[f] if g in place), default=None)
+        if f not in protected and held is not None:
+            dropped.append((f, held[2], float(held[0])))
         else:
-            retained.append(f)
-    return [f for f in features if f in set(retained)], df.sparkSession.createDataFrame(dropped, schema)
+            place[f] = len(place)
+    return [f for f in features if f in place], df.sparkSession.createDataFrame(dropped, schema)
+
+
+def selection_report(spark: SparkSession, features: Sequence[str], feature_qc: DataFrame, dropped: DataFrame, final: Sequence[str], protected: Sequence[str] = ()) -> DataFrame:
+    """feature, retained, protected, reason and detail of every feature that the preprocessing began with.
+
+    feature_qc: from ``select_features``; dropped: from ``correlation_filter``.
+    reason: retained, or why it went: the first rule of the feature QC that it fails
+    (all_missing, too_missing, low_variance, few_values, too_many_zeros), correlated
+    (detail: the retained feature and r), or not_in_final_matrix.
+    """
+    start = spark.createDataFrame([(f, i, f in set(final), f in set(protected)) for i, f in enumerate(features)], "feature string, at int, retained boolean, protected boolean")
+    rules = {"all_missing": F.col("all_missing"), "too_missing": ~F.col("keep_missing"), "low_variance": ~F.col("keep_variance"), "few_values": ~F.col("keep_unique"), "too_many_zeros": ~F.col("keep_zero")}
+    failed = feature_qc.select("feature", F.coalesce(*[F.when(test, F.lit(name)) for name, test in rules.items()]).alias("rule"))
+    why = dropped.select("feature", F.concat_ws(" ", "retained_feature", F.format_number("correlation", 4)).alias("pair"))
+    joined = start.join(failed, "feature", "left").join(why, "feature", "left")
+    reason = F.when(F.col("retained"), "retained").when(F.col("pair").isNotNull(), "correlated").otherwise(F.coalesce("rule", F.lit("not_in_final_matrix")))
+    return joined.select("feature", "retained", "protected", reason.alias("reason"), F.when(~F.col("retained"), F.col("pair")).alias("detail"))
 
 
 def protected_audit(requested: Sequence[str], df: DataFrame, features: Sequence[str], final: Sequence[str]) -> DataFrame:

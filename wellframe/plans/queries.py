@@ -475,12 +475,6 @@ def corr_matrix_spearman(spark, sf):
     return rounded(preprocess.correlation_pairs(table(spark, sf, "lineitem").select(*OBJECT_FEATURES), OBJECT_FEATURES, "spearman"))
 
 
-@query("corr_filter")
-def corr_filter(spark, sf):
-    t = table(spark, sf, "lineitem").select(*OBJECT_FEATURES).withColumn("double_price", F.col("l_extendedprice") * 2 + F.col("l_tax"))
-    return preprocess.correlation_filter(t, [*OBJECT_FEATURES, "double_price"], 0.95, "pearson")[1]
-
-
 @query("object_trim_q95", f"""
 WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS g, o_totalprice AS a, o_custkey::DOUBLE AS b FROM orders),
 l AS (SELECT id, g, 'a' AS f, a AS v FROM o UNION ALL SELECT id, g, 'b', b FROM o), c AS (SELECT g, f, median(v) AS m FROM l GROUP BY 1, 2),
@@ -504,13 +498,13 @@ def object_trim_l2(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_analysis  # noqa: F401  registers its queries
+    from . import queries_analysis, queries_stages  # noqa: F401  register their queries
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries_analysis  # noqa: F401
+    from . import queries_analysis, queries_stages  # noqa: F401
 
     return {k: fixed(v) for k, v in SQL.items()}
 

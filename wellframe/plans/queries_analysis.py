@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellframe.functions import stats, text
-from wellframe.operators import anchors, diagnostics, distance, holdout, latent, models, moa, preprocess, synthetic
+from wellframe.operators import anchors, diagnostics, distance, holdout, latent, models, moa, preprocess, repeats, synthetic
 
 from .queries import FEATURES, each, object_profiles, query, r, rounded, table, with_profiles
 
@@ -453,7 +453,7 @@ def pca_scores(spark, sf):
 @query("kmeans")
 def kmeans(spark, sf):
     df, names = _flat(spark, sf)
-    return models.cluster_counts(models.run_kmeans(df, names, 5))
+    return models.run_kmeans(df, names, 5).select("vec_id", "cluster")
 
 
 @query("dbscan")
@@ -470,13 +470,13 @@ def rf_cv(spark, sf):
 @query("bootstrap_neighbour_stability")
 def bootstrap_neighbour_stability(spark, sf):
     df, names = _flat(spark, sf)
-    return models.neighbour_stability(df, "vec_id", names, 5, 2)
+    return models.neighbour_stability(df, "vec_id", names, 5)
 
 
 @query("consensus_pairs")
 def consensus_pairs(spark, sf):
     df, names = _flat(spark, sf)
-    return models.consensus_pairs(df, "vec_id", names, 3, 2)
+    return repeats.consensus_pairs(df, "vec_id", names, 3)
 
 
 @query("validation_split", """SELECT label, count(*) AS n, CASE WHEN count(*) < 4 THEN 0 ELSE least(greatest(2, round_even(count(*) * 0.15, 0)), count(*) - 2) END::BIGINT AS n_validation FROM embeddings GROUP BY 1""")
@@ -504,13 +504,22 @@ def latent_clean(spark, sf):
 
 @query("synthetic_profiles")
 def synthetic_profiles(spark, sf):
-    return synthetic.synthetic_profiles(spark, synthetic.SyntheticConfig(n_compounds=12, n_features=12))
+    return synthetic.synthetic_profiles(spark, synthetic.SyntheticConfig(n_compounds=table(spark, sf, "supplier").count()))
 
 
 @query("strategy_ranking")
 def strategy_ranking(spark, sf):
-    rows = [("robust", True, "ok", 0.6, 0.2, 0.5), ("none", True, "review", 0.4, 0.7, 0.3), ("broken", False, "ok", None, None, None)]
-    return latent.rank_strategies(spark.createDataFrame(rows, "strategy string, matrix_ok boolean, control_status string, replicate_correlation double, batch_eta2 double, compound_eta2 double"))
+    """Strategies of scaling parts, by how well replicates of a brand agree and how far type and brand explain the first axis."""
+    from wellframe.operators import stages
+
+    k, names = F.col("p_partkey"), ["a", "b", "c", "d"]
+    t = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"), (k % 97).cast("double").alias("c"), (k % 31).cast("double").alias("d"))
+    made = {m: preprocess.scale(t, names, m) for m in ("none", "robust", "standard", "minmax")}
+    made["centred"] = preprocess.batch_centre(made["standard"], names, ["p_type"], "mean")
+    agree = stages.stage_replicates(made, "p_partkey", ["p_brand"], names)[0].groupBy("stage").agg(stats.median(F.col("correlation")).alias("replicate_correlation"))
+    eta = stages.stage_batches(made, ["p_type", "p_brand"], names, 1).groupBy("stage").pivot("metadata_column", ["p_type", "p_brand"]).agg(F.first("eta_squared"))
+    reports = agree.join(eta, "stage").select(F.col("stage").alias("strategy"), F.lit(True).alias("matrix_ok"), F.lit("ok").alias("control_status"), "replicate_correlation", F.col("p_type").alias("batch_eta2"), F.col("p_brand").alias("compound_eta2"))
+    return rounded(latent.rank_strategies(reports))
 
 
 # ---------------------------------------------------------------- pseudo-anchors, neighbour runs
@@ -530,17 +539,17 @@ def anchor_silhouettes(spark, sf):
 
 @query("cluster_bootstrap")
 def cluster_bootstrap(spark, sf):
-    return anchors.cluster_bootstrap(vectors(spark, sf), "vec_id", "embedding", 10, 3)
+    return repeats.cluster_bootstrap(vectors(spark, sf), "vec_id", "embedding", 10)
 
 
 @query("sub_centroids")
 def sub_centroids(spark, sf):
-    return anchors.sub_centroids(vectors(spark, sf), "vec_id", "embedding", "label", 2, rounds=3)
+    return anchors.sub_centroids(vectors(spark, sf), "vec_id", "embedding", "label")
 
 
 @query("cluster_permutation")
 def cluster_permutation(spark, sf):
-    return anchors.cluster_permutation(vectors(spark, sf), "vec_id", "embedding", "label", 5)
+    return repeats.cluster_permutation(vectors(spark, sf), "vec_id", "embedding", "label")
 
 
 @query("neighbour_runs", f"""WITH {UNIT}, d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, {COSINE} AS cosine, list_distance(a.e, b.e) AS unit_distance FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
@@ -576,8 +585,8 @@ def compound_holdout(spark, sf):
 def scenario_summary(spark, sf):
     from . import workflows
 
-    small = synthetic.SyntheticConfig(n_compounds=10, n_features=24, n_informative=12)
-    return workflows.synthetic_benchmark(spark, ["clean_biology", "no_biology_negative_control"], small, dims=6).data
+    compounds = table(spark, sf, "supplier").count()
+    return workflows.synthetic_benchmark(spark, base=synthetic.SyntheticConfig(n_compounds=compounds)).data
 
 
 @query("tree_importance")

@@ -1,7 +1,8 @@
 """Workflows: what a user calls from raw folders to an analysis matrix and beyond.
 
 Each returns ``Result``: the data and a dictionary of audit tables, all lazy
-DataFrames, so nothing is computed that isn't written.
+DataFrames. Where a stage must know the data (its medians, which features pass), the
+table before it is stored once, so later stages don't compute it again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.operators import diagnostics, distance, holdout, keys, latent, models, moa, preprocess, profiles, qc, synthetic
+from wellframe.operators import anchors, diagnostics, distance, hierarchy, holdout, keys, latent, models, moa, neighbours, preprocess, profiles, qc, stages, synthetic
 from wellframe.operators.graph import stored
 from wellframe.operators.latent import Result
 from wellframe.sources import tables
@@ -94,7 +95,7 @@ def combine_profiles(profile_tables: dict[str, DataFrame], key_columns: Sequence
     features = {label: tables.feature_columns(df) for label, df in ready.items()}
     out = keys.combine_tables(ready, features, how)
     on = [k for k in key_columns if k in out.columns]
-    audits = {"duplicates": keys.duplicate_totals(out, on), "key_candidates": keys.key_candidates(out, on, [c for c in out.columns if c.startswith("Metadata_") and c not in on][:5])}
+    audits = {"duplicates": keys.duplicate_totals(out, on), "key_candidates": keys.key_candidates(out, on, [c for c in out.columns if c.startswith("Metadata_") and c not in on])}
     if policy == "error" and audits["duplicates"].first()["n_duplicate_keys"]:
         best = audits["key_candidates"].where("is_unique").orderBy("n_columns").first()
         raise keys.KeyProblem(f"keys {on} repeat; " + (f"{best['key_columns']} would be unique" if best else "no tried set of columns is unique"))
@@ -129,6 +130,9 @@ class Preprocessing:
     max_correlation: float = 0.95
     correlation_method: str = "spearman"
     correlation_strategy: str = "variance"
+    replicate_columns: tuple[str, ...] = ()
+    batch_report_columns: tuple[str, ...] = ()
+    id_column: str | None = None
     metadata: tuple[str, ...] | None = None
     features: tuple[str, ...] | None = None
     extra: dict = field(default_factory=dict)
@@ -143,56 +147,97 @@ def preprocess_profiles(df: DataFrame, p: Preprocessing = Preprocessing()) -> Re
     location/scale correction; scaling; correlation filter; validation. Only lists of
     features and one number for each feature and statistic come to the driver.
     """
-    df = prepare(df)
+    df = stored(prepare(df), "prepared")
     features = tables.feature_columns(df, p.metadata, p.features)
+    log: list[tuple[str, str, object, str]] = [("roles", "features", len(features), "numeric columns that are no metadata")]
     audits = {"column_roles": df.sparkSession.createDataFrame(tables.column_roles(df, p.metadata, p.features), "column string, role string")}
     audits["sample_qc"] = qc.sample_qc(df, features, p.max_sample_missing)
     audits["nonfinite"] = qc.nonfinite_report(df, features)
     work = qc.replace_nonfinite(df, features)
-    chosen = qc.select_features(qc.feature_qc(work, features), p.max_feature_missing, p.min_variance, p.min_unique, p.max_zero)
+    chosen = stored(qc.select_features(qc.feature_qc(work, features), p.max_feature_missing, p.min_variance, p.min_unique, p.max_zero), "feature_qc")
     audits["feature_qc"] = chosen
     rows = chosen.collect()  # a row for each feature
     good = {r["feature"] for r in rows if r["keep"] or (r["feature"] in p.protected and not r["all_missing"])}
     kept = [f for f in features if f in good]
+    log.append(("feature_qc", "features_kept", len(kept), f"missing <= {p.max_feature_missing}, variance > {p.min_variance}, values >= {p.min_unique}, zeros <= {p.max_zero}, or protected"))
     work = work.drop(*[f for f in features if f not in good])
     zero = qc.zero_rows(work, kept, p.zero_tolerance)
     audits["all_zero_rows"] = zero.where("all_zero")
     work = (zero.where("NOT all_zero") if p.remove_all_zero_rows else zero).drop("n_observed", "n_zero", "n_nonzero", "all_zero")
-    work = qc.sample_qc(work, kept, p.max_sample_missing).where("keep_sample").drop("n_missing", "missing_fraction", "keep_sample")
+    log.append(("rows", "remove_all_zero_rows", p.remove_all_zero_rows, f"zeros are values within {p.zero_tolerance}"))
+    work = stored(qc.sample_qc(work, kept, p.max_sample_missing).where("keep_sample").drop("n_missing", "missing_fraction", "keep_sample"), "checked")
+    log.append(("rows", "max_sample_missing", p.max_sample_missing, "rows with a larger share of missing features are dropped"))
     work = preprocess.winsorise(work, kept, *p.winsorise)
     if p.reference_column and p.reference_method != "none":
         reference = F.col(p.reference_column).cast("string").isin(*p.reference_values)
         audits["reference_qc"] = preprocess.reference_qc(work, kept, reference, p.reference_groups)
         work = preprocess.reference_normalise(work, kept, reference, p.reference_groups, p.reference_method)
+        log.append(("normalisation", p.reference_method, p.reference_column, f"reference values {list(p.reference_values)} within {list(p.reference_groups)}"))
     if p.indicators:
+        audits["indicators"] = preprocess.indicator_report(work, kept)
         work = preprocess.missing_indicators(work, kept)
-    before = work
-    work = preprocess.impute(work, kept, p.imputation, p.imputation_groups)
+    before = stored(work, "normalised")
+    work = impute(before, kept, p)
+    log.append(("imputation", p.imputation, len(kept), f"within {list(p.imputation_groups)}"))
     audits["imputation"] = preprocess.imputation_summary(before, work, kept)
+    uncorrected = stored(work, "imputed")
+    work = uncorrected
     if p.batch_columns:
         work = preprocess.batch_centre(work, kept, p.batch_columns, p.batch_centering)
+        log.append(("batch", p.batch_centering, ", ".join(p.batch_columns), "each batch is centred"))
     if p.correction_batch:
         others = [c for c in ("Metadata_Compound", "Metadata_MOA") if c in work.columns]
         if others:
             audits["confounding"] = preprocess.batch_confounding(work, p.correction_batch, others)
         work = preprocess.location_scale(work, kept, p.correction_batch)
-    work = preprocess.scale(work, kept, p.scaling)
+        log.append(("batch", "location_scale", p.correction_batch, "each batch gets the overall mean and sd"))
+    if p.id_column and (p.replicate_columns or p.batch_report_columns):
+        audits |= stages.before_after({"before_batch_correction": uncorrected, "after_batch_correction": work}, p.id_column, kept, p.replicate_columns, p.batch_report_columns)
+    work = stored(preprocess.scale(work, kept, p.scaling), "scaled")
+    log.append(("scaling", p.scaling, len(kept), "by feature"))
+    dropped = df.sparkSession.createDataFrame([], "feature string, retained_feature string, correlation double")
+    final = kept
     if p.remove_correlated:
-        final, audits["correlation_filter"] = preprocess.correlation_filter(work, kept, p.max_correlation, p.correlation_method, p.correlation_strategy, p.protected)
+        final, dropped = preprocess.correlation_filter(work, kept, p.max_correlation, p.correlation_method, p.correlation_strategy, p.protected)
+        audits["correlation_filter"] = dropped
         work = work.drop(*[f for f in kept if f not in final])
-    else:
-        final = kept
+        log.append(("correlation_filter", p.correlation_method, len(kept) - len(final), f"|r| >= {p.max_correlation}, by {p.correlation_strategy}"))
     audits["validation"] = preprocess.validate_matrix(work, final)
+    audits["feature_selection"] = preprocess.selection_report(df.sparkSession, features, chosen, dropped, final, p.protected)
+    audits["decisions"] = stages.decision_log(df.sparkSession, [*log, ("result", "features", len(final), "features of the final matrix")])
     if p.protected:
         audits["protected"] = preprocess.protected_audit(p.protected, df, features, final)
     return Result(work, audits)
 
 
-def classical(df: DataFrame, id_col: str, features: Sequence[str], k: int = 8, neighbours: int = 10, metric: str = "cosine") -> Result:
-    """PCA scores and k-means clusters beside the rows; neighbours, edges, cluster sizes and silhouettes."""
+def impute(df: DataFrame, features: Sequence[str], p: Preprocessing) -> DataFrame:
+    """The imputation that the parameters name; knn needs ``id_column``."""
+    if p.imputation != "knn":
+        return preprocess.impute(df, features, p.imputation, p.imputation_groups)
+    if not p.id_column:
+        raise ValueError("imputation by neighbours needs id_column")
+    return preprocess.impute_knn(df, features, p.id_column, groups=p.imputation_groups)
+
+
+def classical(df: DataFrame, id_col: str, features: Sequence[str], k: int = 8, neighbours: int = 10, metric: str = "cosine", clustering: str = "kmeans", eps: float = 0.5, least: int = 5) -> Result:
+    """PCA scores and clusters beside the rows; neighbours, edges, cluster sizes and silhouettes.
+
+    clustering: kmeans, dbscan, or agglomerative_ and a linkage (single, average, complete, ward).
+    """
     scored, shares = models.run_pca(df, features, 2)
-    clustered = models.run_kmeans(scored, features, k)
-    ready = clustered.withColumn("__v", F.array(*[F.col(f).cast("double") for f in features]))
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    if clustering == "kmeans":
+        clustered = models.run_kmeans(scored, features, k)
+    elif clustering == "dbscan" or clustering.startswith("agglomerative_"):
+        if clustering == "dbscan":
+            found = models.dbscan(df.select(id_col, vector.alias("__v")), id_col, "__v", eps, least, metric)
+        else:
+            linkage = clustering.removeprefix("agglomerative_")
+            found = hierarchy.agglomerative(df, id_col, features, k, linkage, "euclidean" if linkage == "ward" else metric)
+        clustered = scored.join(found.select(F.col("id").alias("__id"), "cluster"), F.col(id_col) == F.col("__id")).drop("__id")
+    else:
+        raise ValueError(f"unknown clustering {clustering!r}")
+    ready = clustered.withColumn("__v", vector)
     near = distance.nearest(ready, id_col, "__v", neighbours, metric)
     audits = {
         "neighbours": near, "edges": distance.topology_edges(near), "cluster_counts": models.cluster_counts(clustered),
@@ -202,7 +247,27 @@ def classical(df: DataFrame, id_col: str, features: Sequence[str], k: int = 8, n
     return Result(clustered, audits)
 
 
-def stability(df: DataFrame, id_col: str, features: Sequence[str], replicate_groups: Sequence[str], ks: Sequence[int] = (2, 4, 8), rounds: int = 3) -> Result:
+def neighbour_analysis(runs: dict[str, DataFrame], baseline: str, queries: Sequence[str] = (), most: int = 10, k: int | str = "auto", ties: bool = False) -> Result:
+    """Neighbour tables of several runs (long or wide) against a baseline: overlap by query, its summary, and lists of the queries asked for.
+
+    Of the first two queries asked for also the neighbours that both have.
+    """
+    by_query, summary = neighbours.overlap(runs, baseline, k, ties)
+    audits = {"overlap_summary": summary}
+    if queries:
+        audits["top_neighbours"] = neighbours.neighbours_of(runs[baseline], queries, most)
+    if len(queries) > 1:
+        audits["shared_neighbours"] = distance.shared_neighbours(neighbours.long_neighbours(runs[baseline]), str(queries[0]), str(queries[1]))
+    return Result(by_query, audits)
+
+
+def heatmap(df: DataFrame, id_col: str, features: Sequence[str], mode: str = "feature", metric: str = "cosine") -> Result:
+    """The z-scored matrix with rows and columns in the order of their merge trees, as a table; the two orders."""
+    matrix, rows, columns = hierarchy.ordered_matrix(df, id_col, features, mode, metric)
+    return Result(matrix, {"rows": rows, "columns": columns})
+
+
+def stability(df: DataFrame, id_col: str, features: Sequence[str], replicate_groups: Sequence[str], ks: Sequence[int] = (2, 4, 8), rounds: int = 50) -> Result:
     """Replicate correlations, neighbour stability and diagnostics by number of clusters."""
     pairs = diagnostics.replicate_pairs(df, id_col, replicate_groups, features)
     return Result(pairs, {"replicates": diagnostics.replicate_summary(pairs, replicate_groups), "neighbours": models.neighbour_stability(df, id_col, features, rounds=rounds), "clusters": models.evaluate_k(df, id_col, features, ks, rounds)})
@@ -234,9 +299,17 @@ def drift(df: DataFrame, image: str, features: Sequence[str], least: int = 50) -
     return Result(diagnostics.drift_statistics(df, image, features, least=least), {"images": qc.image_summary(df, image, features)})
 
 
-def mechanisms(df: DataFrame, id_col: str, features: Sequence[str], label: str, metric: str = "cosine", top: int = 5) -> Result:
-    """Ranked labels of each profile by class centroids, leave-one-out accuracy, kNN predictions and enrichment."""
+def mechanisms(df: DataFrame, id_col: str, features: Sequence[str], label: str | None = None, metric: str = "cosine", top: int = 5, ks: Sequence[int] = (4, 8, 12)) -> Result:
+    """Ranked labels of each profile by class centroids, leave-one-out accuracy, kNN predictions and enrichment.
+
+    Without ``label`` pseudo-anchors stand in for it: clusters of the k of the best silhouette.
+    """
     ready = df.withColumn("__v", F.array(*[F.col(f).cast("double") for f in features]))
+    extra = {}
+    if label is None:
+        label = "pseudo_anchor"
+        found, extra["anchor_clusters"], extra["anchor_silhouettes"] = anchors.make_pseudo_anchors(ready, id_col, "__v", ks)
+        ready = stored(ready.join(found.select(F.col("id").alias("__id"), F.col("anchor").alias(label)), F.col(id_col) == F.col("__id"), "left").drop("__id"), "anchored")
     known = ready.where(F.col(label).isNotNull())
     centroids = moa.vector_centroids(known, label, "__v", least=2)
     scores = moa.centroid_scores(ready, id_col, "__v", centroids, metric, top)
@@ -246,13 +319,15 @@ def mechanisms(df: DataFrame, id_col: str, features: Sequence[str], label: str,
         "leave_one_out": loo, "loo_summary": moa.classification_summary(moa.confusion(loo)), "knn": moa.knn_classify(known, ready, id_col, "__v", label),
         "enrichment": moa.enrichment(near, known, id_col, label), "summary": moa.prediction_summary(scores.where("rank = 1")), "confidence": moa.confidence_summary(scores.where("rank = 1")),
     }
-    return Result(scores, audits)
+    return Result(scores, audits | extra)
 
 
-def latent_space(spark: SparkSession, datasets: dict[str, DataFrame], features: dict[str, Sequence[str]], dims: int = 20, encode=None) -> Result:
+def latent_space(spark: SparkSession, datasets: dict[str, DataFrame], features: dict[str, Sequence[str]], dims: int = 20, encode=None, id_col: str | None = None, compound: str | None = None, label: str | None = None) -> Result:
     """Datasets aligned, cleaned and embedded: by ``encode(DataFrame, features) -> DataFrame`` or else by PCA, marked so.
 
-    A backend that fails becomes a status, not an error.
+    A backend that fails becomes a status, not an error. With ``id_col`` the audits
+    hold rates of nearest neighbours of the same compound, label and dataset, mean
+    silhouettes of labels and datasets, and warnings.
     """
     shared, report = latent.align_features(spark, features)
     stacked = None
@@ -271,9 +346,28 @@ def latent_space(spark: SparkSession, datasets: dict[str, DataFrame], features:
     if out is None:
         out, _ = models.run_pca(cleaned.data, kept, dims, prefix="latent_")
     audits = {"alignment": report, **cleaned.audits, "status": spark.createDataFrame([(status,)], "status string")}
+    warned = [("alignment", w) for w in latent.alignment_warnings(features)]
+    if id_col:
+        found = latent_facts(out, id_col, {"id": compound, "label": label, "dataset": "Dataset"})
+        audits["latent_facts"] = spark.createDataFrame(sorted(found.items()), "fact string, value double")
+        warned += [("latent", w) for w in diagnostics.latent_warnings(found)]
+    audits["warnings"] = spark.createDataFrame(warned, "stage string, warning string")
     return Result(out, audits)
 
 
+def latent_facts(df: DataFrame, id_col: str, columns: dict[str, str | None], k: int = 5) -> dict[str, float]:
+    """same_x: the share of rows whose nearest neighbour has the same x; silhouette_x: the mean cosine silhouette of x; over the latent_ columns."""
+    axes = [c for c in df.columns if c.startswith("latent_")]
+    ready = stored(df.select(F.col(id_col).alias("__id"), *[F.col(c).cast("string").alias(x) for x, c in columns.items() if c], F.array(*[F.col(a).cast("double") for a in axes]).alias("__v")), "latent")
+    names = [x for x, c in columns.items() if c]
+    rates = distance.retrieval_rates(distance.nearest(ready, "__id", "__v", k), ready, "__id", names, k).first()
+    out = {f"same_{x}": rates[f"top1_same_{x}"] for x in names}
+    for x in ("label", "dataset"):
+        if x in names:
+            out[f"silhouette_{x}"] = distance.silhouette(ready, "__id", "__v", x, "cosine").agg(F.avg("silhouette")).first()[0]
+    return out
+
+
 def explain(df: DataFrame, id_col: str, features: Sequence[str], query, background=None, test: str = "mw") -> Result:
     """How one compound's rows differ from all others (or a labelled background): statistics and linear contributions."""
     mine = F.upper(F.trim(F.col(id_col).cast("string"))) == str(query).strip().upper()
@@ -289,11 +383,11 @@ def supervised(df: DataFrame, id_col: str, features: Sequence[str], label: str,
     return Result(predictions, {"models": summaries, "importance": importance, "families": models.importance_by_family(importance)})
 
 
-def drift_by_compartment(spark: SparkSession, folder: str, image: str, features: Sequence[str] | None = None, most: int = 200, least: int = 50) -> dict[str, Result]:
+def drift_by_compartment(spark: SparkSession, folder: str, image: str, features: Sequence[str] | None = None, most: int | None = None, least: int = 50) -> dict[str, Result]:
     """Drift of each compartment's tables in a folder, by compartment; tables without the image column are left out.
 
-    Without ``features`` a compartment's first ``most`` are taken; given ones that a
-    compartment lacks raise.
+    Without ``features`` all of a compartment's are taken, or its first ``most``; given
+    ones that a compartment lacks raise.
     """
     out = {}
     for compartment, paths in tables.compartment_files(folder).items():
@@ -312,8 +406,8 @@ def drift_by_compartment(spark: SparkSession, folder: str, image: str, features:
     return out
 
 
-def drift_features(df: DataFrame, image: str, most: int = 200) -> list[str]:
-    """The first ``most`` features of a table in its own order."""
+def drift_features(df: DataFrame, image: str, most: int | None = None) -> list[str]:
+    """The features of a table in its own order, or the first ``most``."""
     return [f for f in tables.feature_columns(df) if f != image][:most]
 
 
