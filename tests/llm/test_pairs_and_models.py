@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from wellframe.llm import buckets, classify, common, components, jaccard, lattice, queries, subwords
+from wellframe.llm.subwords import Model
 
 from ..compare import both
 
@@ -364,3 +365,45 @@ def test_same_rows_as_sql(spark, name):
     columns, names, got, want = both(spark, name, queries.queries()[name], queries.oracle_sql()[name], SF)
     assert columns == names
     assert got == want
+
+
+# ---- samples and long texts
+
+
+def test_sample_of_few_texts_repeated_often_and_of_a_rare_label(spark):
+    """100,000 rows of 40 texts, and a language with 30 rows of its own."""
+    common = [(f"text number {i} of " + ("the and of" if i % 2 else "le la les") + f" word{i}", "en" if i % 2 else "fr") for i in range(40)]
+    rows = spark.range(100_000).selectExpr("cast(id % 40 as int) AS i").join(spark.createDataFrame([(i, *r) for i, r in enumerate(common)], "i int, text string, label string"), "i").select("text", "label")
+    rare = spark.createDataFrame([(f"der die das {i} und", "de") for i in range(30)], "text string, label string")
+    texts, labels = classify.training_sample(rows.union(rare), 3000)
+    assert len(texts) == 70 and set(zip(texts, labels)) >= set(common)
+    many = spark.range(60_000).selectExpr("concat('some text ', id) AS text", "if(id % 3 = 0, 'a', 'b') AS label")
+    texts, labels = classify.training_sample(many.union(rare), 3000)
+    assert 2500 < len(texts) < 3700 and labels.count("de") == 30 and abs(labels.count("a") / len(texts) - 1 / 3) < 0.05
+    assert classify.training_sample(many.limit(0), 3000) == ([], [])
+    model = classify.language_model(rows)
+    assert model.classes == ["en", "fr"]
+
+
+def test_conflicting_and_equal_labels_give_the_first_class_and_one_half(spark):
+    twice = spark.createDataFrame([("same text here", v) for v in (0, 1)] * 30, "text string, label int")
+    model = classify.quality_model(twice)
+    assert np.allclose(model.probabilities(["same text here", ""]), 0.5, atol=0.2)
+    blank = Model(classify.LANGUAGE_FEATURES, ["aa", "bb"], np.zeros((1 << 16, 2), np.float32), np.zeros(2))
+    found = classify.identify_language(spark.createDataFrame([(1, "words")], "doc_id long, text string"), blank, "text", doc_id="doc_id").first()
+    assert (found["lang_pred"], found["score"]) == ("aa", 0.5)
+
+
+def test_long_texts_go_by_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=(1 << 16, 2)).astype(np.float32)
+    words = ["".join(rng.choice(list("abcdeÄé "), 7)) for _ in range(400)]
+    texts = [" ".join(words), "x" * 900 + " \t" + "yz" * 700, "", " a ", "long" * 500, "one " + "w" * 2000, "w" * 2000 + " one", None and ""]
+    texts = [t or "" for t in texts]
+    for features in (classify.QUALITY_FEATURES, classify.LANGUAGE_FEATURES):
+        model = Model(features, [0, 1], table, np.zeros(2))
+        want = model.scores(texts)
+        with monkeypatch.context() as m:
+            m.setattr(subwords, "SLICE", 100)
+            assert max(map(len, subwords.slices(texts[0]))) <= 200
+            assert np.allclose(model.scores(texts), want, atol=1e-5)

@@ -224,7 +224,31 @@ def test_long_and_short_merges_agree(ranks):
     for n in (2, 3, 5, 17, 64, 120):
         batch = [bytes(rng.choice([97, 98, 101, 116, 104, 195, 169], n).tolist()) for _ in range(20)]
         leaves = max(2, 1 << (n - 1).bit_length())
-        assert [x.tolist() for x in merges.merge_short(batch, leaves)] == [merges.merge_long(b) for b in batch]
+        assert [x.tolist() for x in merges.merge_short(batch, leaves)] == [merges.merge_long(b).tolist() for b in batch]
+
+
+def test_long_pieces_like_the_library(spark, ranks):
+    """Pieces that only ``merge_long`` takes, among them one that is repetitive and one of 2,000,000 bytes in little memory."""
+    import base64
+    import tracemalloc
+
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines())}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    merges, rng = bpe.ByteMerges(ranks), np.random.default_rng(2)
+    for n in (129, 1000, 4097, 30_000):
+        for letters in (b"ab", b"etaoinshr", bytes(range(97, 123))):
+            piece = bytes(rng.choice(list(letters), n).tolist())
+            assert merges.merge_long(piece).tolist() == own.encode_ordinary(piece.decode())
+    piece = bytes(rng.choice(list(b"etaoinshr"), 2_000_000).tolist())
+    tracemalloc.start()
+    ids = merges.merge_long(piece)
+    assert tracemalloc.get_traced_memory()[1] < 45 * len(piece)
+    tracemalloc.stop()
+    assert merges.decode(ids) == piece
+    df = spark.createDataFrame([(1, piece.decode()[:200_000])] * 2, "doc_id long, text string")
+    assert all(np.frombuffer(r["ids"], "<u4").tolist() == own.encode_ordinary(piece.decode()[:200_000]) for r in bpe.encode_decode(df, "doc_id", "text", ranks, public_tokenizers.PATTERN).collect())
 
 
 # ---- 8

@@ -20,9 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, pick, text_blocks
-from .tokens import TEXT_BLOCK, PieceEncoder, packed
+from .tokens import TEXT_BLOCK, PieceEncoder
 
 NONE = np.iinfo(np.int64).max
+#: The rank of a pair that makes no token, in 32 bits.
+UNRANKED = (1 << 31) - 1
 #: Leaves up to which pieces are merged many at a time.
 SHORT = 128
 #: Pieces in one group of trees.
@@ -59,51 +61,69 @@ class ByteMerges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], -1)
 
-    def merge_long(self, piece: bytes) -> list[int]:
-        """Ids of one piece; a tree in Python lists."""
-        ids = [int(self.of_byte[b]) for b in piece]
-        n = len(ids)
-        leaves = 1 << max(0, n - 1).bit_length()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece of any length: 25 bytes of memory a byte of it.
+
+        The tree's inner nodes hold the leaf of the least rank below them, the left one
+        of those that tie; leaves hold the ranks. All are 32-bit arrays, written through
+        memory views. An update ends where neither a node's leaf nor its rank has changed.
+        """
+        n = len(piece)
+        leaves = 1 << max(1, (n - 1).bit_length())
+        id_array = self.of_byte[np.frombuffer(piece, np.uint8)].astype(np.int32)
+        rank_array = np.full(leaves, UNRANKED, np.int32)
+        for at in range(0, n - 1, 1 << 20):
+            end = min(n - 1, at + (1 << 20))
+            found = self.lookup(id_array[at:end].astype(np.int64), id_array[at + 1 : end + 1].astype(np.int64))
+            rank_array[at:end] = np.where(found >= 0, found, UNRANKED)
+        tree_array = np.zeros(leaves, np.int32)
+        below = np.arange(leaves, dtype=np.int32)
+        width = leaves // 2
+        while width:
+            left, right = below[::2], below[1::2]
+            below = np.where(rank_array[left] <= rank_array[right], left, right)
+            tree_array[width : 2 * width] = below
+            width //= 2
+        after_array, before_array = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        ids, rank, tree, after, before = map(memoryview, (id_array, rank_array, tree_array, after_array, before_array))
         pairs, span = self.pairs, self.span
-        none = (1 << 62, 0)
-        tree = [none] * (2 * leaves)
-        for i in range(n - 1):
-            rank = pairs.get(ids[i] * span + ids[i + 1])
-            if rank is not None:
-                tree[leaves + i] = (rank, i)
-        for k in range(leaves - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-        def put(leaf: int, value: tuple[int, int]) -> None:
-            k = leaves + leaf
-            tree[k] = value
-            k >>= 1
-            while k:
-                tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+        def put(leaf: int, value: int) -> None:
+            if rank[leaf] == value:
+                return
+            rank[leaf] = value
+            k = (leaf + leaves) >> 1
+            a = leaf & ~1
+            best = a if rank[a] <= rank[a + 1] else a + 1
+            while True:
+                if tree[k] == best and best != leaf:
+                    return
+                tree[k] = best
+                if k == 1:
+                    return
+                other = tree[k ^ 1]
+                if k & 1:
+                    best = other if rank[other] <= rank[best] else best
+                else:
+                    best = best if rank[best] <= rank[other] else other
                 k >>= 1
 
-        def pair(i: int) -> tuple[int, int]:
+        def pair(i: int) -> int:
             j = after[i]
-            rank = pairs.get(ids[i] * span + ids[j]) if j < n else None
-            return none if rank is None else (rank, i)
+            return pairs.get(ids[i] * span + ids[j], UNRANKED) if j < n else UNRANKED
 
-        while tree[1] is not none:
-            rank, i = tree[1]
+        while rank[i := tree[1]] != UNRANKED:
             j = after[i]
-            ids[i] = rank
+            ids[i] = rank[i]
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-            put(j, none)
+            ids[j] = -1
+            put(j, UNRANKED)
             put(i, pair(i))
             if before[i] >= 0:
                 put(before[i], pair(before[i]))
-        out, i = [], 0
-        while i < n:
-            out.append(ids[i])
-            i = after[i]
-        return out
+        return id_array[id_array >= 0]
 
     def merge_short(self, batch: list[bytes], leaves: int) -> list[np.ndarray]:
         """Ids of pieces of at most ``leaves`` bytes (a power of two); a tree a row."""
@@ -171,7 +191,7 @@ class ByteMerges:
                 by_size.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(piece)
         for leaves, group in by_size.items():
             if leaves > SHORT:
-                out.update((p, packed(self.merge_long(p))) for p in group)
+                out.update((p, self.merge_long(p).astype("<u4").tobytes()) for p in group)
                 continue
             for k in range(0, len(group), TOGETHER):
                 part = group[k : k + TOGETHER]
@@ -205,7 +225,9 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, ranks: bytes, patte
 
     Returns id, ids (binary: little-endian unsigned 32-bit integers), n_tokens and
     decoded (binary) for each row; rows keep their places, nothing is shuffled.
-    Null and empty texts have no ids. Memory follows the batch and the longest text.
+    Null and empty texts have no ids. Rows that repeat have the same result each, an
+    empty table gives no rows, and only the two named columns are read, so others do no
+    harm whatever their names. Memory follows the batch and the longest text.
     """
     rows = pick(df, id=id_col, text=text_col)
     schema = rows.select("id").schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
@@ -223,7 +245,7 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, ranks: bytes, patte
 
 
 def digests(df: DataFrame, id_col: str, text_col: str, ranks: bytes, pattern: str) -> DataFrame:
-    """``encode_decode`` with sha256 digests, taken in the same task, in place of ids and bytes."""
+    """``encode_decode`` with sha256 digests, taken in the same task, in place of ids and bytes; odd rows as there."""
     rows = pick(df, id=id_col, text=text_col)
     schema = rows.select("id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 

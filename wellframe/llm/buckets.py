@@ -74,7 +74,7 @@ def by_length(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield frame[length == n] if (length != n).any() else frame
 
 
-def bucket_links(members: DataFrame, payload: DataFrame, kind: str, score: Score, link: float, core: float, split: Split, levels: int) -> DataFrame:
+def bucket_links(members: DataFrame, payload: DataFrame, kind: str, score: Score, link: float, core: float, split: Split, levels: int, alone: float | None = None) -> DataFrame:
     """Edges (a, b), contracted, that tie all members of a bucket whose score is ``link`` or more.
 
     members: bucket (long), key (long). payload: key, values (binary array of numpy
@@ -83,6 +83,7 @@ def bucket_links(members: DataFrame, payload: DataFrame, kind: str, score: Score
     members is compared pair by pair. A larger one is held against one pivot: members
     that score ``core`` or more are tied to it and done, all others go on to the
     bucket's children; a key that meets a pivot in several buckets is scored once.
+    Pairs that are compared without a pivot between them need only score ``alone``.
     What is still large after ``levels`` levels is compared in blocks.
     """
     found, used = None, []
@@ -98,7 +99,7 @@ def bucket_links(members: DataFrame, payload: DataFrame, kind: str, score: Score
             blocks = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
             blocks = blocks.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "key")
             small, last = small.union(blocks), True
-        links = compare_small(small.join(payload, "key"), kind, score, link)
+        links = compare_small(small.join(payload, "key"), kind, score, link if alone is None else alone)
         if not last:
             asked = large.where("key <> pivot").groupBy("key", "pivot").agg(F.collect_list("bucket").alias("buckets")).join(payload, "key")
             asked = asked.join(payload.select(F.col("key").alias("pivot"), F.col("values").alias("pivot_values")), "pivot")

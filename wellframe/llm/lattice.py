@@ -4,9 +4,9 @@ Vectors of unit length are projected at random to 16 dimensions and each half of
 eight is decoded to the nearest point of the E8 lattice; both points name a cell.
 There are several tables, each with a projection of its own. A vector goes to its
 cell and to the cells where one half moves to a neighbouring lattice point, those
-nearest to it. Vectors that meet and are alike form groups (by the angle's triangle
-inequality no link is lost where a crowded cell is held against one member only),
-and in each group cosines are taken in double precision, but for pairs whose angles
+nearest to it. Vectors that meet in a small cell and may be linked form groups; where
+a crowded cell is held against one member only, those that are tied to it form one, so
+that by the angle's triangle inequality no link is lost; in each group cosines are taken in double precision, but for pairs whose angles
 to one of the members differ too much for a link.
 """
 
@@ -211,7 +211,7 @@ def near_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     one = able.groupBy("class").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.min("label").alias("label"), F.min("values").alias("values"), F.min("full").alias("full"))
     classes = written(one.withColumn("key", F.monotonically_increasing_id()), "classes")
     cells_of = written(first_cells(classes), "cells")
-    edges = bucket_links(cells_of, classes.select("key", "values"), "<f4", cosine, TIED, CORE, split_cells, LEVELS)
+    edges = bucket_links(cells_of, classes.select("key", "values"), "<f4", cosine, TIED, CORE, split_cells, LEVELS, COSINE - 1e-5)
     groups = connected_components(edges).withColumnRenamed("node", "key")
     keyed = groups.join(classes.select("key", "weight", "full"), "key").select("component", "key", "weight", "full", F.expr("octet_length(full) div 8").alias("size"))
     compared = written(compare_groups(angle_bins(written(keyed, "groups")), close), "compared")

@@ -9,7 +9,8 @@ output weights is all that prediction needs: one row of a table for each feature
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 1_000_003
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
+#: Characters of a text that are worked on at once, and what counts as white.
+SLICE = 1 << 18
+_WHITES = " \t\n\x0b\x0c\r"
+_WHITE = re.compile(f"[{_WHITES}]")
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -81,6 +86,56 @@ class Features:
             places.append(start - 1)
         return buckets, places, ends
 
+    def of_word(self, word: str) -> Iterator[np.ndarray]:
+        """Buckets of one word without spaces, of any length, some at a time: as ``hashed`` finds them, in bounded memory."""
+        shift, powers_of = np.uint64(64 - self.bits), [np.uint64(pow(_BASE, n, 2**64)) for n in range(self.longest)]
+        if self.fold:
+            word = word.lower()
+        whole = 0
+        for at in range(0, len(word), SLICE):
+            # windows that begin in this slice, the first one with the space before
+            high = min(len(word), at + SLICE + self.longest - 1)
+            code = np.frombuffer(word[at:high].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            first = [np.uint64(32)] if at == 0 else []
+            last = [np.uint64(32)] if high == len(word) else []
+            own = np.concatenate([first, code, last]).astype(np.uint64)
+            begins = len(first) + min(SLICE, len(word) - at)
+            for n in range(1, self.longest + 1):
+                ends = min(begins, len(own) - n + 1)
+                if ends <= 0:
+                    continue
+                rolling = np.zeros(ends, np.uint64)
+                for k in range(n):
+                    rolling += own[k : k + ends] * powers_of[k]
+                if n == 1:
+                    rolling = rolling[len(first) :]
+                yield (mixed(rolling + np.uint64(n)) * _MIX >> shift).astype(np.int64)
+            part = code[: min(SLICE, len(word) - at)]
+            whole = (whole + int((part * powers(_BASE, len(part))).sum(dtype=np.uint64)) * pow(_BASE, at, 2**64)) % 2**64
+        yield (mixed(np.array([(whole + 77) % 2**64], np.uint64)) * _MIX >> shift).astype(np.int64)
+
+
+def slices(text: str) -> Iterator[str]:
+    """The text cut at single white characters, about SLICE characters each; together they have the features of the whole.
+
+    A cut takes the white character away, as features see a space at each end of a
+    slice. A word is never cut, so one that has no space is one slice of any length.
+    """
+    at = 0
+    while len(text) - at > 2 * SLICE:
+        cut = _WHITE.search(text, at + SLICE)
+        end = cut.start() if cut else len(text)
+        if end - at > 2 * SLICE:  # a long word ends there, what stands before it is a slice of its own
+            before = max(text.rfind(c, at, at + SLICE) for c in _WHITES)
+            if before >= 0:
+                yield text[at:before]
+                at = before + 1
+        yield text[at:end]
+        if cut is None:
+            return
+        at = end + 1
+    yield text[at:]
+
 
 @dataclass
 class Model:
@@ -94,16 +149,36 @@ class Model:
     reject_below: float = 0.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        buckets, places, ends = self.features.hashed(texts)
         k = self.table.shape[1]
         total, number = np.zeros((len(texts), k)), np.zeros(len(texts))
-        for b, p in zip(buckets, places):
-            owner = np.searchsorted(ends, p, side="right")
-            number += np.bincount(owner, minlength=len(texts))
-            for c in range(k):
-                total[:, c] += np.bincount(owner, weights=self.table[b, c], minlength=len(texts))
+        # sums add up, so a long text goes slice by slice; its pieces keep its place
+        pieces, owners, size = [], [], 0
+        for i, text in enumerate(texts):
+            for piece in slices(text):
+                if len(piece) > 2 * SLICE:  # one unbroken word
+                    for buckets in self.features.of_word(piece):
+                        total[i] += self.table[buckets].sum(0, dtype=float)
+                        number[i] += len(buckets)
+                    continue
+                pieces.append(piece)
+                owners.append(i)
+                size += len(piece)
+                if size >= SLICE:
+                    self.add(pieces, np.array(owners), total, number)
+                    pieces, owners, size = [], [], 0
+        self.add(pieces, np.array(owners, int), total, number)
         return total / np.maximum(number, 1)[:, None] + self.bias
 
+    def add(self, pieces: list[str], owners: np.ndarray, total: np.ndarray, number: np.ndarray) -> None:
+        if not pieces:
+            return
+        buckets, places, ends = self.features.hashed(pieces)
+        for b, p in zip(buckets, places):
+            owner = owners[np.searchsorted(ends, p, side="right")]
+            number += np.bincount(owner, minlength=len(number))
+            for c in range(total.shape[1]):
+                total[:, c] += np.bincount(owner, weights=self.table[b, c], minlength=len(number))
+
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return softmax(self.scores(texts) / self.temperature)
 
