@@ -34,7 +34,8 @@ def training_sample(labelled: DataFrame, most: int, least: int = 100) -> tuple[l
         cut = lambda rate: int((1 << 30) * min(1.0, rate))
         labelled = labelled.where(place < cut(max(rates.values())))  # by the text alone, so that the filter reaches the scan
         table = labelled.sparkSession.createDataFrame([(v, cut(rate)) for v, rate in rates.items()], labelled.select("label").schema.add("cut", "long"))
-        labelled = labelled.join(table, "label").where(place < F.col("cut")).select("text", "label")
+        # a row a label, as the model has a column for each: no label's rows meet in one task
+        labelled = labelled.join(F.broadcast(table), "label").where(place < F.col("cut")).select("text", "label")
     once = labelled.groupBy(mark.alias("mark"), "label").agg(F.first("text").alias("text"))
     rows = sorted((r["text"] or "", r["label"]) for r in once.orderBy("mark", "label").limit(2 * (most + least * len(counts))).collect())
     return [t for t, _ in rows], [v for _, v in rows]
