@@ -17,26 +17,28 @@ LANGUAGE_FEATURES = Features(bits=16, longest=3, fold=True)
 def training_sample(labelled: DataFrame, most: int, least: int = 100) -> tuple[list[str], list]:
     """About ``most`` (text, label) rows, chosen by a hash of the text; a row that repeats counts once.
 
-    ``labelled`` has columns text and label, and only rows that may be learned from.
-    Rates follow the number of different texts, so repeats don't thin the sample, and a
+    ``labelled`` has columns text, label and mark (a hash of the text), and only rows
+    that may be learned from; where it is a join, texts are counted by their marks, so
+    only the sampled ones meet their labels. Rates follow the number of different texts, so repeats don't thin the sample, and a
     label gets ``least`` texts or all that it has, whatever its share. These bounds are
     the only limit on what is learned from; prediction covers all rows. On the driver:
     a number for each label, and the sample.
     """
-    mark = F.xxhash64("text")
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct(mark, 0.02).alias("n")).collect()}
+    if "mark" not in labelled.columns:
+        labelled = labelled.withColumn("mark", F.xxhash64("text"))
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct("mark", 0.02).alias("n")).collect()}
     total = sum(counts.values())
     if not total:
         return [], []
     rates = {v: max(most / total, least / n) for v, n in counts.items()}
     if min(rates.values()) < 1:
-        place = F.pmod(mark, F.lit(1 << 30))
+        place = F.pmod("mark", F.lit(1 << 30))
         cut = lambda rate: int((1 << 30) * min(1.0, rate))
         labelled = labelled.where(place < cut(max(rates.values())))  # by the text alone, so that the filter reaches the scan
         table = labelled.sparkSession.createDataFrame([(v, cut(rate)) for v, rate in rates.items()], labelled.select("label").schema.add("cut", "long"))
         # a row a label, as the model has a column for each: no label's rows meet in one task
-        labelled = labelled.join(F.broadcast(table), "label").where(place < F.col("cut")).select("text", "label")
-    once = labelled.groupBy(mark.alias("mark"), "label").agg(F.first("text").alias("text"))
+        labelled = labelled.join(F.broadcast(table), "label").where(place < F.col("cut"))
+    once = labelled.groupBy("mark", "label").agg(F.first("text").alias("text"))
     rows = sorted((r["text"] or "", r["label"]) for r in once.orderBy("mark", "label").limit(2 * (most + least * len(counts))).collect())
     return [t for t, _ in rows], [v for _, v in rows]
 

@@ -194,21 +194,28 @@ def shingled(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("key", "text"), run, schema)
 
 
+def filtered(rows: DataFrame, keys: DataFrame, number: int, names: list[str]) -> DataFrame:
+    """``rows`` with ``likely``: false where (id, text hash), the columns ``names`` of rows, surely is none of the keys (id, text_hash).
+
+    One hash and BITS_EACH bits for each of the ``number`` keys, broadcast as words of
+    64 bits; beyond FILTER_BITS bits all rows are likely.
+    """
+    bits = 1 << max(16, (number * BITS_EACH - 1).bit_length())
+    if bits > FILTER_BITS:
+        return rows.withColumn("likely", F.lit(True))
+    slot = lambda *of: F.pmod(F.xxhash64(*of), F.lit(bits))
+    words = keys.select(slot("id", "text_hash").alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    placed = rows.withColumn("slot", slot(*names)).withColumn("word", F.expr("slot div 64")).join(F.broadcast(words), "word", "left")
+    return placed.withColumn("likely", F.coalesce(F.expr("(bits & shiftleft(1L, cast(slot % 64 as int))) <> 0"), F.lit(False))).drop("slot", "word", "bits")
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str, keys: DataFrame, number: int) -> DataFrame:
     """key and text of the rows whose id and text hash are those of a key (key, id, text_hash).
 
-    A filter (one hash, BITS_EACH bits for each of the ``number`` keys, broadcast as
-    words of 64 bits) keeps most other texts out of the shuffle; the join behind it
-    is exact. Beyond FILTER_BITS bits the filter is left out and all texts are shuffled.
+    A filter keeps most other texts out of the shuffle; the join behind it is exact.
     """
     rows = pick(df, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    bits = 1 << max(16, (number * BITS_EACH - 1).bit_length())
-    if bits <= FILTER_BITS:
-        slot = F.pmod(F.xxhash64("id", "text_hash"), F.lit(bits))
-        words = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-        rows = rows.withColumn("slot", slot).withColumn("word", F.expr("slot div 64"))
-        rows = rows.join(F.broadcast(words), "word").where("(bits & shiftleft(1L, cast(slot % 64 as int))) <> 0").select("id", "text_hash", "text")
-    return rows.join(keys, ["id", "text_hash"]).select("key", "text")
+    return filtered(rows, keys, number, ["id", "text_hash"]).where("likely").join(keys, ["id", "text_hash"]).select("key", "text")
 
 
 def judged(df: DataFrame, id_col: str, text_col: str, recall: float) -> DataFrame:
@@ -273,11 +280,15 @@ def without_near_copies(df: DataFrame, id_col: str, text_col: str, recall: float
     each = rows.where("first IS NOT NULL").groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("times"), F.min("first").alias("first"))
     each = each.withColumn("stays", (F.col("first.id") == F.col("id")) & (F.col("first.text_hash") == F.col("text_hash")))
     apart = written(each.where("NOT stays OR times > 1").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "stays"), "apart")
-    plain = numbered(df)
-    own = (F.col(f"_{place_of(df, id_col)}").cast("bigint") == F.col("__id")) & (F.xxhash64(f"_{place_of(df, text_col)}") == F.col("__hash"))
-    out = plain.join(apart, own, "left_anti")
+    plain = numbered(df).withColumn("__own", F.col(f"_{place_of(df, id_col)}").cast("bigint")).withColumn("__mark", F.xxhash64(f"_{place_of(df, text_col)}"))
+    # most rows stay, and the filter tells so without a shuffle; a null id is never set apart
+    keys = apart.select(F.col("__id").alias("id"), F.col("__hash").alias("text_hash"))
+    marked = filtered(plain, keys, apart.count(), ["__own", "__mark"])
+    own = (F.col("__own") == F.col("__id")) & (F.col("__mark") == F.col("__hash"))
+    columns = numbered(df).columns
+    out = marked.where("NOT likely").select(*columns).union(marked.where("likely").join(apart, own, "left_anti").select(*columns))
     twice = apart.where("stays")
     if not twice.isEmpty():
         again = plain.join(twice, own).dropDuplicates(["__id", "__hash"])
-        out = out.union(again.select(*plain.columns))
+        out = out.union(again.select(*columns))
     return out.toDF(*df.columns)

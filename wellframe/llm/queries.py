@@ -30,14 +30,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the documents that quality may be learned from.
+    """text, label and mark (hash of the text) of the documents that quality may be learned from.
 
     Ids that ``labels`` marks both 0 and 1 are left out; null ids have no label.
     """
     known = pick(labels, doc_id="doc_id", quality="quality").where(F.col("quality").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label"), F.min("quality").alias("least")).where("label = least")
-    free = pick(docs, doc_id="doc_id", text="text").where(classify.fold_of(F.col("doc_id"), 3) != 1)
-    return free.join(known, "doc_id").select("text", "label")
+    free = pick(docs, doc_id="doc_id", text="text").where(classify.fold_of(F.col("doc_id"), 3) != 1).where("text IS NOT NULL")
+    return free.withColumn("mark", F.xxhash64("text")).join(known, "doc_id").select("text", "label", "mark")
 
 
 def labelled_language(docs: DataFrame) -> DataFrame:
