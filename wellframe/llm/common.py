@@ -73,7 +73,7 @@ def crc_of_id(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def text_blocks(texts: Iterable[str | None] | pa.Array, most: int = 200_000) -> Iterator[tuple[int, list[str]]]:
+def text_blocks(texts: Iterable[str | None] | pa.Array, most: int = 100_000) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) blocks of about ``most`` characters; null is the empty text.
 
     An Arrow column becomes Python strings block by block, not at once.

@@ -22,7 +22,7 @@ _BASE = 1_000_003
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 #: Characters of a text that are worked on at once, and what counts as white.
-SLICE = 1 << 18
+SLICE = 1 << 16
 _WHITES = " \t\n\x0b\x0c\r"
 _WHITE = re.compile(f"[{_WHITES}]")
 
