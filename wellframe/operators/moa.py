@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from wellframe.functions import stats
 
 from .distance import distance, nearest, prepared
+from .scoring import score_classes
 
 
 def class_centroids(df: DataFrame, label: str, features: Sequence[str], least: int = 2, statistic: str = "median") -> DataFrame:
@@ -47,29 +48,11 @@ def shrunk_centroids(df: DataFrame, label: str, vector: str, shrinkage: float =
 
 
 def centroid_scores(
-    queries: DataFrame, id_col: str, vector: str, centroids: DataFrame, metric: str = "cosine", top: int = 5, temperature: float = 0.1
+    queries: DataFrame, id_col: str, vector: str, centroids: DataFrame, metric: str = "cosine", top: int = 5, temperature: float = 0.1,
+    scoring: str = "distance", collapse: str | None = None,
 ) -> DataFrame:
-    """id, label, rank, distance, similarity, confidence and margin of the best ``top`` labels of each row.
-
-    Centroids (label, centroid) are a row for each class and broadcast. Confidence is
-    a softmax over all classes, margin best minus second best similarity (0 with one
-    class). Ties go to the smaller label.
-    """
-    q = queries.select(F.col(id_col).alias("id"), prepared(F.col(vector), metric).alias("v"))
-    c = centroids.select("label", prepared(F.col("centroid"), metric).alias("c"))
-    scored = q.crossJoin(F.broadcast(c)).select("id", "label", distance(F.col("v"), F.col("c"), metric).alias("distance"))
-    return ranked_scores(scored.withColumn("similarity", stats.similarity_of_distance(F.col("distance"), metric)), "similarity", top, temperature)
-
-
-def ranked_scores(scored: DataFrame, score: str, top: int = 5, temperature: float = 0.1) -> DataFrame:
-    """Adds rank, confidence and margin within each id and keeps the best ``top``."""
-    all_of = Window.partitionBy("id")
-    order = Window.partitionBy("id").orderBy(F.desc(score), "label")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    second = F.nth_value(score, 2).over(whole)
-    out = scored.withColumn("rank", F.row_number().over(order)).withColumn("confidence", stats.softmax(F.col(score), all_of, temperature))
-    out = out.withColumn("margin", F.coalesce(F.first(score).over(whole) - second, F.lit(0.0)))
-    return out.where(F.col("rank") <= top)
+    """id, label, rank, distance, similarity, confidence and margin of the best ``top`` labels of each row, by blocks: see ``scoring.score_classes``."""
+    return score_classes(queries, id_col, vector, centroids, metric, top, temperature, scoring, collapse)
 
 
 def csls_scores(queries: DataFrame, id_col: str, vector: str, centroids: DataFrame, k: int = 10) -> DataFrame:
