@@ -84,11 +84,12 @@ def project(vector, means: np.ndarray, axes: np.ndarray):
 
     @F.pandas_udf("array<double>")
     def scores(v: pd.Series) -> pd.Series:
-        known = v.notna().to_numpy()
+        known = np.flatnonzero(v.notna())
         out = np.full(len(v), None, object)
-        if known.any():
-            x = np.nan_to_num(np.stack([np.asarray(a, float) for a in v[known]]) - means, nan=0.0) @ axes
-            out[known] = [a.tolist() for a in x]
+        if len(known):
+            x = np.nan_to_num(np.stack([np.asarray(a, float) for a in v.iloc[known]]) - means, nan=0.0) @ axes
+            for at, row in zip(known, x):
+                out[at] = row
         return pd.Series(out)
 
     return scores(vector)
