@@ -123,3 +123,68 @@ def test_rows_and_centroids_share_one_space(spark, many):
         i = r["id"] if r["point_type"] == "row" else 120 + int(r["label"][1:])
         assert np.allclose([r["PC1"], r["PC2"]], want[i], atol=1e-6)
     assert len(got) == 130
+
+
+def test_pooled_shares_are_the_isotonic_fit():
+    from wellframe.operators.calibration import pooled
+
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 9, 40).astype(float)
+    hits = np.minimum(n, rng.integers(0, 9, 40)).astype(float)
+    # the max-min formula of isotonic regression
+    mean = lambda a, b: hits[a : b + 1].sum() / n[a : b + 1].sum()
+    want = [max(min(mean(a, b) for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    assert np.allclose(pooled(hits, n), want)
+
+
+@pytest.fixture(scope="module")
+def blurred(spark):
+    """Three classes in four features, of which only two tell; a few rows have no label."""
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, 900)
+    x = rng.normal(size=(900, 4)) + np.array([[0, 0, 0, 0], [1.2, 0, 0, 0], [0, 1.5, 0, 0]])[y]
+    rows = [(i, *map(float, v), None if i % 100 == 0 else "abc"[c]) for i, (v, c) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "id long, f0 double, f1 double, f2 double, f3 double, label string")
+
+
+def test_calibration_of_distorted_scores_lowers_the_log_loss(spark):
+    """Scores are cubes of the true chances; the curves come from half of the rows and are judged on the others."""
+    from wellframe.operators.calibration import calibrated, curves, probability_losses, reliability
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([1, 1, 1], 4000)
+    y = [rng.choice(3, p=v) for v in p]
+    df = spark.createDataFrame([(i, (v**3).tolist(), "abc"[c]) for i, (v, c) in enumerate(zip(p, y))], "id long, scores array<double>, label string")
+    table = curves(df.where("id < 2000"), "label", ["a", "b", "c"])
+    for c in range(3):
+        line = [r["probability"] for r in sorted(table.where(f"class = {c}").collect(), key=lambda r: r["score"])]
+        assert line == sorted(line) and 0 < line[0] and line[-1] < 1 and len(line) <= 1001
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    out = df.where("id >= 2000").withColumn("raw", F.transform("scores", lambda x: x / total)).withColumn("probabilities", calibrated(F.col("scores"), table, 3))
+    got = {r["column"]: r for r in probability_losses(out, "label", ["a", "b", "c"]).collect()}
+    own = np.array([v[c] for v, c in zip(p, y)])[2000:]
+    best = float(-np.log(own).mean())
+    assert best - 0.02 < got["probabilities"]["log_loss"] < best + 0.06 < got["raw"]["log_loss"]
+    assert got["probabilities"]["brier"] < got["raw"]["brier"]
+    rows = out.collect()
+    raw = np.array([r["raw"] for r in rows])
+    at = np.array(["abc".index(r["label"]) for r in rows])
+    assert abs(got["raw"]["log_loss"] + np.log(np.maximum(raw[np.arange(2000), at], 1e-15)).mean()) < 1e-9
+    assert abs(got["raw"]["brier"] - ((raw - np.eye(3)[at]) ** 2).sum(1).mean()) < 1e-9
+    assert np.allclose(np.array([r["probabilities"] for r in rows]).sum(1), 1)
+    bins = reliability(out, "label", ["a", "b", "c"]).collect()
+    assert sum(r["n"] for r in bins) == 6000 and all(abs(r["share"] - r["mean_probability"]) < 0.08 for r in bins)
+
+
+def test_a_forest_of_true_shares_keeps_its_loss_and_its_rows_add_to_one(spark, blurred):
+    from wellframe.operators.calibration import probability_losses, train_predict_calibrated
+
+    train, held = blurred.where("id % 3 <> 1"), blurred.where("id % 3 = 1")
+    out, labels = train_predict_calibrated(train, held, "id", ["f0", "f1", "f2", "f3"], "label", "random_forest", 2)
+    rows = out.collect()
+    assert labels == ["a", "b", "c"] and len(rows) == held.count()
+    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 and r["predicted"] == labels[int(np.argmax(r["probabilities"]))] for r in rows)
+    loss = {r["column"]: r["log_loss"] for r in probability_losses(out, "label", labels).collect()}
+    assert abs(loss["probabilities"] - loss["raw"]) < 0.03 and loss["probabilities"] < np.log(3) - 0.15
+    assert np.mean([r["predicted"] == r["label"] for r in rows if r["label"]]) > 0.55

@@ -127,6 +127,16 @@ def unmatched_count(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return alone.agg(F.count(F.lit(1)).alias("n_unmatched"))
 
 
+#: What tells rows of combined profile tables apart, if the columns are there.
+COMBINED_KEYS = ("Metadata_Profile_Source", "Metadata_Plate", "ImageNumber", "Metadata_Well", "Metadata_Site")
+
+
+def combined_keys(columns: Sequence[Sequence[str]], requested: Sequence[str] | None = None) -> list[str]:
+    """The requested keys, or COMBINED_KEYS, that any of the tables has; each once."""
+    there = {c for one in columns for c in one}
+    return [k for k in dict.fromkeys(COMBINED_KEYS if requested is None else requested) if k in there]
+
+
 def choose_merge_keys(left: Sequence[str], right: Sequence[str], requested: Sequence[str] | None = None, well_only: bool = False) -> list[str]:
     """The requested keys, else source plate and well, else plate and well, else (if allowed) the well."""
     both = set(left) & set(right)

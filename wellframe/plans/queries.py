@@ -498,13 +498,13 @@ def object_trim_l2(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_analysis, queries_stages  # noqa: F401  register their queries
+    from . import queries_analysis, queries_classes, queries_stages  # noqa: F401  register their queries
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries_analysis, queries_stages  # noqa: F401
+    from . import queries_analysis, queries_classes, queries_stages  # noqa: F401
 
     return {k: fixed(v) for k, v in SQL.items()}
 

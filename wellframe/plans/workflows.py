@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellframe.operators import anchors, diagnostics, distance, hierarchy, holdout, keys, latent, models, moa, neighbours, preprocess, profiles, qc, stages, synthetic
+from wellframe.operators import anchors, calibration, diagnostics, distance, hierarchy, holdout, keys, latent, models, moa, neighbours, preprocess, profiles, qc, stages, synthetic
 from wellframe.operators.graph import stored
 from wellframe.operators.latent import Result
 from wellframe.sources import tables
@@ -26,6 +26,34 @@ def prepare(df: DataFrame) -> DataFrame:
     return tables.standardise(df.drop(*tables.sequential_index_columns(df)))[0]
 
 
+def prepare_metadata(df: DataFrame, label: str = "metadata", plate: str | None = None, well: str | None = None, source_plate: str | None = None, source_well: str | None = None, require_keys: bool = False, legacy: bool = True) -> Result:
+    """One metadata or annotation table in canonical form, by named key columns where its headers are ambiguous.
+
+    Raises where an assay key would come from a source column, or, with ``require_keys``,
+    where there is no plate or well. Audits: names, dropped, explicit keys, aliases, summary.
+    """
+    spark = df.sparkSession
+    clean, names = tables.clean_names(df)
+    dropped = tables.sequential_index_columns(clean)
+    keyed, explicit = tables.explicit_keys(clean.drop(*dropped), plate, well, source_plate, source_well)
+    out, taken = tables.standardise(keyed)
+    wrong = tables.source_like_keys(taken)
+    if wrong:
+        raise keys.KeyProblem(f"assay keys would be taken from source columns: {wrong}; name the plate and well columns")
+    if legacy:
+        out = tables.with_legacy_columns(out)
+    missing = [k for k in ("Metadata_Plate", "Metadata_Well") if k not in out.columns]
+    if require_keys and missing:
+        raise keys.KeyProblem(f"{label} has no {missing}; name the plate and well columns")
+    has = [F.lit(c in out.columns).alias(f"has_{c}") for c in ("Metadata_Plate", "Metadata_Well", "Metadata_Source_Plate", "Metadata_Source_Well", "Metadata_Compound", "cpd_id")]
+    summary = out.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(label).alias("table_label"), "n_rows", F.lit(len(out.columns)).alias("n_columns"), *has)
+    audits = {
+        "column_names": spark.createDataFrame(names, "original string, cleaned string"), "dropped_index_columns": spark.createDataFrame([(c,) for c in dropped], "column string"),
+        "explicit_keys": explicit, "aliases": spark.createDataFrame(taken, "canonical string, taken_from string"), "summary": summary,
+    }
+    return Result(out, audits)
+
+
 def inspect_directory(spark: SparkSession, folder: str, recursive: bool = False) -> Result:
     """The catalogue of a folder; audits hold each readable table's column inventory."""
     catalogue = tables.inspect_folder(spark, folder, recursive)
@@ -89,12 +117,12 @@ def build_profiles(
     return Result(out, audits)
 
 
-def combine_profiles(profile_tables: dict[str, DataFrame], key_columns: Sequence[str], how: str = "union", policy: str = "error") -> Result:
-    """Profile tables under each other, with checks of the key; ``policy`` allow keeps duplicates and reports them."""
+def combine_profiles(profile_tables: dict[str, DataFrame], key_columns: Sequence[str] | None = None, how: str = "union", policy: str = "error") -> Result:
+    """Profile tables under each other, with checks of the key (by default keys.COMBINED_KEYS); ``policy`` allow keeps duplicates and reports them."""
     ready = {label: prepare(df) for label, df in profile_tables.items()}
     features = {label: tables.feature_columns(df) for label, df in ready.items()}
     out = keys.combine_tables(ready, features, how)
-    on = [k for k in key_columns if k in out.columns]
+    on = keys.combined_keys([out.columns], key_columns)
     audits = {"duplicates": keys.duplicate_totals(out, on), "key_candidates": keys.key_candidates(out, on, [c for c in out.columns if c.startswith("Metadata_") and c not in on])}
     if policy == "error" and audits["duplicates"].first()["n_duplicate_keys"]:
         best = audits["key_candidates"].where("is_unique").orderBy("n_columns").first()
@@ -376,11 +404,15 @@ def explain(df: DataFrame, id_col: str, features: Sequence[str], query, backgrou
     return Result(diagnostics.two_sample_statistics(df, features, side, test), {"contributions": models.linear_contributions(df, features, mine)})
 
 
-def supervised(df: DataFrame, id_col: str, features: Sequence[str], label: str, names: Sequence[str] = ("knn", "random_forest", "logistic_regression"), folds: int = 5) -> Result:
-    """Predictions of several models over the same folds; their summaries, and the forest's importances by feature and family."""
+def supervised(df: DataFrame, id_col: str, features: Sequence[str], label: str, names: Sequence[str] = ("knn", "random_forest", "logistic_regression"), folds: int = 5, calibrate: str | None = None) -> Result:
+    """Predictions of several models over the same folds; their summaries, and the forest's importances by feature and family.
+
+    ``calibrate`` names a model whose probabilities are compared before and after calibration on held-out rows.
+    """
     summaries, predictions = models.compare_models(df, id_col, features, label, names, folds)
     importance = models.tree_importance(df, features, label)
-    return Result(predictions, {"models": summaries, "importance": importance, "families": models.importance_by_family(importance)})
+    extra = {"calibration": calibration.calibration_report(df, id_col, features, label, calibrate)} if calibrate else {}
+    return Result(predictions, {"models": summaries, "importance": importance, "families": models.importance_by_family(importance)} | extra)
 
 
 def drift_by_compartment(spark: SparkSession, folder: str, image: str, features: Sequence[str] | None = None, most: int | None = None, least: int = 50) -> dict[str, Result]:
@@ -446,3 +478,11 @@ def synthetic_benchmark(spark: SparkSession, names: Sequence[str] = tuple(synthe
     metrics = spark.createDataFrame(rows, "scenario string, seed int, method string, metric string, value double")
     scores = holdout.score_scenarios(metrics, judged)
     return Result(holdout.summarise_scenarios(metrics, scores, judged), {"metrics": metrics, "checks": scores})
+
+
+def strategy_summary(spark: SparkSession, root: str, batch: str = "Metadata_Plate", compound: str = "Metadata_Compound", path: str | None = None) -> Result:
+    """Strategies of preprocessing ranked by their report folders, written to ``path`` if there is one."""
+    out = latent.summarise_strategies(spark, root, batch, compound)
+    if path:
+        tables.write_table(out, path, single=True)
+    return Result(out)

@@ -51,6 +51,10 @@ ALIASES = {
 }
 
 
+#: Older names of canonical columns, added beside them.
+LEGACY = {"Metadata_Plate": "Plate_Metadata", "Metadata_Well": "Well_Metadata", "Metadata_Compound": "cpd_id", "Metadata_MOA": "cpd_type", "Metadata_Batch": "Library"}
+
+
 def is_sidecar(path: str) -> bool:
     """Hidden files, resource forks and editors' lock files, in any folder of the path."""
     return any(p.startswith((".", "~$")) and p not in (".", "..") for p in Path(path).parts)
@@ -220,6 +224,45 @@ def standardise(df: DataFrame, aliases: dict[str, Sequence[str]] = ALIASES, over
     return df, taken
 
 
+def explicit_keys(df: DataFrame, plate: str | None = None, well: str | None = None, source_plate: str | None = None, source_well: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(df with the named columns as assay and source keys; target_column, explicit_source_column, action and n_non_missing).
+
+    Names are found whatever their case, and an unknown one raises. What a key held
+    before stays as <key>__before_explicit_override, what it is taken from as
+    <key>__raw, where there are no such columns yet. Source keys are never assay keys.
+    """
+    wanted = {"Metadata_Plate": plate, "Metadata_Well": well, "Metadata_Source_Plate": source_plate, "Metadata_Source_Well": source_well}
+    low = {c.lower(): c for c in reversed(df.columns)}
+    before, found, made = df, {}, {}
+    for target, name in wanted.items():
+        name = (name or "").strip()
+        if not name:
+            continue
+        if name.lower() not in low:
+            raise ValueError(f"there is no column {name!r}; there are {df.columns}")
+        found[target] = low[name.lower()]
+        for kept, source in ((f"{target}__before_explicit_override", target), (f"{target}__raw", found[target])):
+            if source in df.columns and kept not in df.columns:
+                made[kept] = F.col(f"`{source}`")
+        made[target] = F.col(f"`{found[target]}`")
+    df = df.withColumns(made)  # all at once, so that a key taken from another key gets what that held
+    counts = [F.count(F.col(f"`{c}`")) for c in found.values()]
+    rows = [F.struct(F.lit(t).alias("target_column"), F.lit(found.get(t, "")).alias("explicit_source_column"), F.lit("set_from_explicit_column" if t in found else "not_requested").alias("action"),
+                     (F.col("c")[list(found).index(t)] if t in found else F.lit(0)).cast("bigint").alias("n_non_missing")) for t in wanted]
+    return df, before.agg(F.array(*counts, F.lit(0).cast("bigint")).alias("c")).select(F.inline(F.array(*rows)))
+
+
+def source_like_keys(taken: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Of (canonical, taken from) the assay keys that were taken from columns of a source plate or well."""
+    return [(k, c) for k, c in taken if k in ("Metadata_Plate", "Metadata_Well") and re.search(r"source|^spb$|^sw2?$", c, re.I)]
+
+
+def with_legacy_columns(df: DataFrame) -> DataFrame:
+    """Adds the older names of canonical columns, where there are none yet."""
+    low = {c.lower() for c in df.columns}
+    return df.withColumns({new: F.col(old) for old, new in LEGACY.items() if old in df.columns and new.lower() not in low})
+
+
 def sequential_index_columns(df: DataFrame) -> list[str]:
     """Columns named Unnamed... that hold 0 to n-1, each once: the leftovers of a row index."""
     found = []
