@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -78,10 +78,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with value computed once a row: inside a lambda an expression is computed anew for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def unit(v: Column, floor: float = 1e-12) -> Column:
     """v / max(|v|, floor)."""
-    length = F.greatest(norm(v), F.lit(floor))
-    return F.transform(v, lambda x: x / length)
+    return once(v, lambda w: once(F.greatest(norm(w), F.lit(floor)), lambda n: F.transform(w, lambda x: x / n)))
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -93,8 +97,8 @@ def cityblock(a: Column, b: Column) -> Column:
 
 
 def centred(v: Column) -> Column:
-    mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)
-    return F.transform(v, lambda x: x - mean)
+    mean = lambda w: F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x) / F.size(w)
+    return once(v, lambda w: once(mean(w), lambda m: F.transform(w, lambda x: x - m)))
 
 
 def array_ranks(v: Column) -> Column:

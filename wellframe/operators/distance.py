@@ -41,13 +41,18 @@ def pairwise(df: DataFrame, id_col: str, vector: str, metric: str = "cosine") ->
     return a.join(b, F.col("id_a") < F.col("id_b")).select("id_a", "id_b", distance(F.col("va"), F.col("vb"), metric).alias("distance"))
 
 
-def blocks(df: DataFrame, id_col: str, vector: str, metric: str, name: str, block: int = 512) -> DataFrame:
-    """name_ids and name (prepared vectors, one after another in one array): rows dealt into lists of about ``block`` by a hash; those without id or vector are left out."""
-    v = df.select(F.col(id_col).alias("id"), prepared(F.col(vector), metric).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    n = max(1, -(-v.count() // block))
-    dealt = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
+def blocks(df: DataFrame, id_col: str, vector: str, metric: str, name: str, block: int = 512, within: Sequence[str] = ()) -> DataFrame:
+    """name_ids and name (prepared vectors, one after another in one array): rows dealt into lists of about ``block`` by a hash; those without id or vector are left out.
+
+    ``within``: columns whose values part the rows into sets, each dealt by itself.
+    """
+    v = df.select(*within, F.col(id_col).alias("id"), prepared(F.col(vector), metric).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    largest = v.groupBy(*within).count().agg(F.max("count")).first()[0] if within else v.count()
+    n = max(1, -(-(largest or 0) // block))
+    dealt = v.groupBy(*within, F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
     # a product of p by q partitions has p q tasks: about eight blocks go to each partition
-    return dealt.agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(name)).drop("block").coalesce(-(-n // 8))
+    made = dealt.agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(name)).drop("block")
+    return made if within else made.coalesce(-(-n // 8))
 
 
 def block_rows(values, n: int) -> np.ndarray:
@@ -125,21 +130,26 @@ def distances_from(queries: DataFrame, df: DataFrame, id_col: str, vector: str,
     return pairs.mapInPandas(_block_all(metric), schema)
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, k: int = 10, metric: str = "cosine", base: DataFrame | None = None, block: int = 512) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, k: int = 10, metric: str = "cosine", base: DataFrame | None = None, block: int = 512, within: Sequence[str] = ()) -> DataFrame:
     """query_id, neighbour_id, rank (from 1) and distance of the k nearest other rows, exactly.
 
     Ties go to the smaller id. Rows are dealt into blocks of about ``block`` by a hash;
     a task compares one block of queries with one block of the base and keeps k for
     each query, so what is shuffled on is k rows for each query and block, never all
     distances. The work is quadratic, as exact neighbours are; ``base`` limits it to
-    a set to search in.
+    a set to search in. With ``within`` only rows of equal values there are compared, as
+    many searches at once; ids are unique over all of them.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     id_type = df.schema[id_col].dataType
 
     # the blocks' product is the exact search itself: n/block rows on each side
-    pairs = blocks(df, id_col, vector, metric, "q", block).crossJoin(blocks(df if base is None else base, id_col, vector, metric, "b", block))
+    asked, base = blocks(df, id_col, vector, metric, "q", block, within), blocks(df if base is None else base, id_col, vector, metric, "b", block, within)
+    if within:  # a set of many blocks is spread over tasks by its pairs
+        pairs = asked.join(base, list(within)).drop(*within).repartition(F.col("q_ids")[0], F.col("b_ids")[0])
+    else:
+        pairs = asked.crossJoin(base)
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("neighbour_id", id_type), T.StructField("distance", T.DoubleType())])
     best = pairs.mapInPandas(_block_top(metric, k, True), schema)
     w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")

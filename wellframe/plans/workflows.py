@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -450,32 +451,34 @@ def synthetic_benchmark(spark: SparkSession, names: Sequence[str] = tuple(synthe
     given, ``encode(DataFrame, features) -> DataFrame`` with latent_ columns (backend),
     which is the one judged; without it pca is. Training rows never stand for held-out ones.
     """
-    parts, judged = [], "backend" if encode is not None else "pca"
+    judged = "backend" if encode is not None else "pca"
     columns = {"compound": "cpd_id", "moa": "cpd_type", "dataset": "Dataset", "batch": "synthetic_batch"}
-    for name in names:
-        for seed in seeds:
-            config = synthetic.scenario(name, replace(base, seed=seed))
-            features = synthetic.feature_names(config)
-            made = stored(synthetic.perturbed(synthetic.synthetic_profiles(spark, config), features, config), "profiles")
-            cleaned = latent.clean_and_scale(made, features)
-            kept = [r["feature"] for r in cleaned.audits["features"].where("status = 'kept'").collect()]
-            split = stored(latent.validation_split(cleaned.data, "Sample", "cpd_id", fraction, seed), "cleaned")
-            spaces = {"raw": (split, kept)}
-            scored, _ = models.run_pca(split, kept, dims, prefix="latent_")
-            spaces["pca"] = (scored, [c for c in scored.columns if c.startswith("latent_")])
-            if encode is not None:
-                coded = encode(split, kept)
-                spaces["backend"] = (coded, [c for c in coded.columns if c.startswith("latent_")])
-            for method, (space, axes) in spaces.items():
-                vector = F.array(*[F.coalesce(F.col(a).cast("double"), F.lit(0.0)) for a in axes])
-                ready = stored(space.select("Sample", *columns.values(), "split", vector.alias("__v")), "space")
-                held, _ = holdout.validation_retrieval(ready, "Sample", "__v", columns, F.col("split") == "validation")
-                near = holdout.named_neighbours(distance.nearest(ready, "Sample", "__v", 1), ready, "Sample", columns)
-                every = near.agg(F.avg(F.col("same_compound").cast("double")).alias("value")).select(F.lit(holdout.ALL_ROWS).alias("metric"), "value")
-                parts.append(held.union(every).select(F.lit(name).alias("scenario"), F.lit(seed).alias("seed"), F.lit(method).alias("method"), "metric", "value"))
-    # a few rows a scenario, seed and method, fetched one part at a time so that plans stay small
-    rows = [tuple(r) for part in parts for r in part.collect()]
-    metrics = spark.createDataFrame(rows, "scenario string, seed int, method string, metric string, value double")
+    sets = [(name, seed) for name in names for seed in seeds]
+    features, made = synthetic.feature_names(base), []
+    # all scenarios are rows of one table, so that each step is one job for all of them
+    for at, (name, seed) in enumerate(sets):
+        config = synthetic.scenario(name, replace(base, seed=seed))
+        one = synthetic.perturbed_vectors(synthetic.profile_vectors(spark, config), features, config)
+        made.append(one.select(F.lit(name).alias("scenario"), F.lit(seed).alias("seed"), (F.col("Sample") * len(sets) + at).alias("row"), "Sample", *columns.values(), "vector"))
+    cleaned = latent.clean_and_scale_vectors(reduce(DataFrame.union, made), "vector", ["scenario", "seed"])
+    stratum = cleaned.data.withColumn("stratum", F.concat_ws("|", "scenario", "seed", "cpd_id"))
+    split = stored(latent.validation_split(stratum, "row", "stratum", fraction).drop("stratum"), "cleaned")
+    kept: dict[tuple, list[str]] = {}
+    for r in cleaned.audits["features"].where("status = 'kept'").orderBy("scenario", "seed", "place").collect():
+        kept.setdefault((r["scenario"], r["seed"]), []).append(features[r["place"]])
+    spaces = [split.withColumn("method", F.lit("raw"))]
+    for name, seed in sets:
+        own = split.where((F.col("scenario") == name) & (F.col("seed") == seed))
+        spaces.append(models.pca_of_vectors(own, "vector", dims, "scores").withColumn("vector", F.col("scores")).drop("scores").withColumn("method", F.lit("pca")))
+        if encode is not None:
+            wanted = kept.get((name, seed), [])
+            coded = encode(own.select(*own.drop("vector").columns, *[F.col("vector")[i].alias(f) for i, f in enumerate(wanted)]), wanted)
+            axes = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in coded.columns if c.startswith("latent_")])
+            spaces.append(coded.withColumn("vector", axes).withColumn("method", F.lit("backend")).select(*spaces[0].columns))
+    # a row is one in each space, and has an id of its own there
+    space = stored(reduce(DataFrame.unionByName, spaces).withColumn("row", F.concat_ws("|", "method", "row")), "spaces")
+    found = holdout.retrieval_within(space, "row", "vector", columns, F.col("split") == "validation", ["scenario", "seed", "method"])
+    metrics = stored(found.select("scenario", F.col("seed").cast("int").alias("seed"), "method", "metric", "value"), "metrics")
     scores = holdout.score_scenarios(metrics, judged)
     return Result(holdout.summarise_scenarios(metrics, scores, judged), {"metrics": metrics, "checks": scores})
 
