@@ -128,7 +128,7 @@ def embedding_with_centroids(df: DataFrame, id_col: str, vector: str, centroids:
     own = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("label"), F.lit("row").alias("point_type"), unit(F.col(vector)).alias("__u"))
     nobody = F.lit(None).cast(df.schema[id_col].dataType).alias("id")
     other = centroids.where("centroid IS NOT NULL").select(nobody, F.col("label").cast("string").alias("label"), F.lit("centroid").alias("point_type"), unit(F.col("centroid")).alias("__u"))
-    scored, components = randomised_pca(own.unionByName(other), "__u", k)
+    scored, components = randomised_pca(stored(own.unionByName(other), "points"), "__u", k)
     return scored.drop("__u"), components
 
 
