@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, text_blocks
+from .common import local_table, map_arrow, pick, text_blocks
 from .subwords import Features, Model, train
 
 QUALITY_FEATURES = Features(bits=16, longest=4)
@@ -35,7 +35,7 @@ def training_sample(labelled: DataFrame, most: int, least: int = 100) -> tuple[l
         place = F.pmod("mark", F.lit(1 << 30))
         cut = lambda rate: int((1 << 30) * min(1.0, rate))
         labelled = labelled.where(place < cut(max(rates.values())))  # by the text alone, so that the filter reaches the scan
-        table = labelled.sparkSession.createDataFrame([(v, cut(rate)) for v, rate in rates.items()], labelled.select("label").schema.add("cut", "long"))
+        table = local_table(labelled.sparkSession, [(v, cut(rate)) for v, rate in rates.items()], labelled.select("label").schema.add("cut", "long"))
         # a row a label, as the model has a column for each: no label's rows meet in one task
         labelled = labelled.join(F.broadcast(table), "label").where(place < F.col("cut"))
     once = labelled.groupBy("mark", "label").agg(F.first("text").alias("text"))

@@ -68,6 +68,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A small table of the driver's rows, handed over by Arrow.
+
+    A list given to ``createDataFrame`` is an RDD, for which each executor starts a
+    second set of Python workers beside those of the Arrow functions.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    target = to_arrow_schema(schema)
+    columns = list(zip(*rows)) or [()] * len(target)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target), schema)
+
+
 def crc_of_id(column: Column) -> Column:
     """crc32 of an id as text; the folds of the learned operators come from it."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pick, written
+from .common import local_table, map_arrow, pick, written
 from .tokens import arrow_blocks, library_encoder
 
 
@@ -162,7 +162,7 @@ def pack_pieces(pieces: DataFrame, length: int = 4096, unit: int = 16) -> DataFr
             places.append((size, taken[size], taken[size] + uses * copies, copies, sequences))
             taken[size] += uses * copies
         sequences += uses
-    table = spark.createDataFrame(places, "size int, low bigint, high bigint, copies bigint, first bigint")
+    table = local_table(spark, places, "size int, low bigint, high bigint, copies bigint, first bigint")
     filled = (
         ranked(sized, "size", ["id", "start", "ids_crc32"])
         .join(F.broadcast(table), "size")
