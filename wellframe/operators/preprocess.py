@@ -168,67 +168,143 @@ def impute(df: DataFrame, features: Sequence[str], method: str = "median", group
     return joined.withColumns({f: F.coalesce(F.col(f).cast("double"), F.col("__m_" + f), fill[f]) for f in features}).select(*df.columns)
 
 
+#: Numbers of a block, and pairs of an asked row and another that are looked at together.
+BLOCK_NUMBERS, PAIRS_AT_ONCE = 1 << 19, 1 << 20
+
+
+def _nearest_of_pattern(q: np.ndarray, b: np.ndarray, bi: np.ndarray, shared: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of b, distance) of the k nearest rows of b to each of q over the features ``shared``, ties to the smaller id.
+
+    Rows are ordered by the widest feature. The nearest of a few rows on either side bound
+    the distance of the k-th, and only rows within that bound along the feature are compared.
+    """
+    factor, along = q.shape[1] / len(shared), shared[b[:, shared].std(0).argmax()]
+    order = np.lexsort((bi, b[:, along]))
+    edge, x, y = b[order, along], q[:, shared], b[np.ix_(order, shared)]
+    far = lambda i, j: np.round(np.sqrt(((x[i] - y[j]) ** 2).sum(-1) * factor), 12)
+    span, step, out = min(len(b), 8 * k), max(1, PAIRS_AT_ONCE // (8 * k * len(shared))), []
+    for low in range(0, len(q), step):
+        asked = np.arange(low, min(low + step, len(q)))
+        value = q[asked, along]
+        start = np.clip(np.searchsorted(edge, value) - span // 2, 0, len(b) - span)
+        bound = np.full(len(asked), np.inf)
+        if span > k:
+            bound = np.partition(far(asked[:, None], start[:, None] + np.arange(span)[None, :]), k - 1, axis=1)[:, k - 1]
+        # rounding must not lose a tie
+        wide = bound / np.sqrt(factor) * (1 + 1e-9) + 1e-9 + np.abs(value) * 1e-14
+        first, last = np.searchsorted(edge, value - wide, "left"), np.searchsorted(edge, value + wide, "right")
+        for at, (i, one, two) in enumerate(_slices(first, last, max(1, PAIRS_AT_ONCE // len(shared)))):
+            j = np.repeat(one - np.concatenate([[0], np.cumsum(two - one)[:-1]]), two - one) + np.arange((two - one).sum())
+            rows = np.repeat(i, two - one)
+            d = far(asked[rows], j)
+            keep = d <= bound[rows]
+            out.append((asked[rows[keep]], order[j[keep]], d[keep]))
+            if at % 16 == 15:
+                out = [_first(bi, k, *map(np.concatenate, zip(*out)))]
+    return _first(bi, k, *map(np.concatenate, zip(*out)))
+
+
+def _slices(first: np.ndarray, last: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows and the ranges that they ask for, some rows at a time or parts of one row's range, of about ``most`` places."""
+    ends = np.cumsum(last - first)
+    at = 0
+    while at < len(first):
+        done = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        if upto == at + 1:
+            for low in range(int(first[at]), int(last[at]), most):
+                yield np.array([at]), np.array([low]), np.array([min(low + most, int(last[at]))])
+        else:
+            yield np.arange(at, upto), first[at:upto], last[at:upto]
+        at = upto
+
+
+def _first(bi: np.ndarray, k: int, row: np.ndarray, other: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least (d, id) of each row."""
+    order = np.lexsort((bi[other], d, row))
+    row, other, d = row[order], other[order], d[order]
+    new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    place = np.arange(len(row)) - np.repeat(new, np.diff(np.r_[new, len(row)]))
+    return row[place < k], other[place < k], d[place < k]
+
+
+def _patterns(known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each pattern of known features and its rows."""
+    kinds, of = np.unique(known, axis=0, return_inverse=True)
+    for i, kind in enumerate(kinds):
+        yield kind, np.flatnonzero(of.ravel() == i)
+
+
 def _nearest_values(neighbours: int):
-    """Of a block of asked rows and one of their group: for each missing value the nearest rows that have it."""
+    """Of a block of asked rows and one of their group: for each missing value the nearest rows that have it.
+
+    Rows with the same known features are compared together, so that each search has a
+    fixed set of features. A row that has the value is never the asked one itself.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(len(f)):
                 r = f.iloc[at]
                 qi, bi = np.asarray(r["q_ids"]), np.asarray(r["b_ids"])
-                by_id = np.argsort(bi, kind="stable")
-                q, b, bi = block_rows(r["q"], len(qi)), block_rows(r["b"], len(bi))[by_id], bi[by_id]
-                width, kq, kb = q.shape[1], ~np.isnan(q), ~np.isnan(b)
-                shared = kq.astype(float) @ kb.T.astype(float)
-                square = np.empty((len(q), len(b)))
-                step = max(1, (1 << 20) // max(1, b.size))
-                for low in range(0, len(q), step):
-                    square[low : low + step] = np.nansum((q[low : low + step, None, :] - b[None, :, :]) ** 2, axis=2)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.round(np.sqrt(square * width / shared), 12)
-                d[(shared == 0) | (qi[:, None] == bi[None, :])] = np.inf
-                for j in np.flatnonzero(~kq.all(0)):
-                    rows, have = np.flatnonzero(~kq[:, j]), np.flatnonzero(kb[:, j])
-                    if not len(have):
-                        continue
-                    near = d[np.ix_(rows, have)]
-                    top = np.argsort(near, axis=1, kind="stable")[:, :neighbours]
-                    x, y = np.nonzero(np.isfinite(np.take_along_axis(near, top, 1)))
-                    other = have[top[x, y]]
-                    yield pd.DataFrame({"q": qi[rows[x]], "f": np.full(len(x), j, np.int32), "d": near[x, top[x, y]], "id": bi[other], "value": b[other, j]})
+                q, b = block_rows(r["q"], len(qi)), block_rows(r["b"], len(bi))
+                theirs = list(_patterns(~np.isnan(b)))
+                for has, asked in _patterns(~np.isnan(q)):
+                    for kind, rows in theirs:
+                        shared, given = np.flatnonzero(has & kind), np.flatnonzero(~has & kind)
+                        if not len(shared) or not len(given):
+                            continue
+                        i, j, d = _nearest_of_pattern(q[asked], b[rows], bi[rows], shared, neighbours)
+                        i, j = asked[i], rows[j]
+                        for c in given:
+                            yield pd.DataFrame({"q": qi[i], "f": np.full(len(i), c, np.int32), "d": d, "id": bi[j], "value": b[j, c]})
 
     return run
 
 
-def impute_knn(df: DataFrame, features: Sequence[str], id_col: str, neighbours: int = 5, groups: Sequence[str] = (), block: int = 512) -> DataFrame:
+def impute_knn(df: DataFrame, features: Sequence[str], id_col: str, neighbours: int = 5, groups: Sequence[str] = (), block: int | None = None) -> DataFrame:
     """Fills each missing value by the mean of the nearest rows that have it (nan-Euclidean), then the median.
 
     Distances take the features that both rows have, scaled up to all of them; equal
-    ones go to the smaller id. Blocks of rows with something missing meet the blocks of
-    their group; a pair of blocks gives ``neighbours`` rows a missing value at most, and
-    the best of these are kept. Rows without an id are filled by the median alone.
+    ones go to the smaller id. Rows of a group that are alike are one asked row, and of
+    those to choose from the ``neighbours`` of least id stay. Blocks of rows with
+    something missing meet the blocks of their group; a pair of blocks gives
+    ``neighbours`` rows a missing value at most, and the best of these are kept. Rows
+    without an id, or with nothing known, are filled by the median alone. The table is
+    stored once.
     """
-    whole = impute(df, features, "median")
+    held = stored(df, "imputed")
+    medians = quantile_facts(held, features, False, value=0.5)
     missing = F.lit(float("nan"))
-    v = F.array(*[F.coalesce(clean(F.col(f), float("inf")), missing) for f in features])
+    v = F.array(*[F.coalesce(clean(F.col(f), float("inf")), missing) + F.lit(0.0) for f in features])
     group = F.to_json(F.struct(*[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)])) if groups else F.lit("")
-    rows = stored(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), group.alias("g"), v.alias("v")), "rows")
+    rows = held.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), group.alias("g"), v.alias("v"))
     id_type = rows.schema["id"].dataType
+    block = block or max(512, min(1 << 17, BLOCK_NUMBERS // max(1, len(features))))
 
-    def dealt(part: DataFrame, name: str) -> DataFrame:
-        sizes = part.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-        placed = part.join(sizes, "g").groupBy("g", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-        return placed.agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(name)).drop("block")
+    def dealt(part: DataFrame, name: str, most: int) -> DataFrame:
+        sizes = part.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks"))
+        placed = part.join(sizes, "g").groupBy("g", F.pmod(F.xxhash64("id"), F.col("blocks")).alias(f"{name}_at"))
+        return placed.agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(name))
 
-    pairs = dealt(rows.where(F.exists("v", F.isnan)), "q").join(dealt(rows, "b"), "g")
+    alike = rows.withColumn("k", F.row_number().over(Window.partitionBy("g", "v").orderBy("id"))).where(F.col("k") <= neighbours)
+    kept = stored(alike, "rows")
+    asked = kept.where((F.col("k") == 1) & F.exists("v", F.isnan) & F.exists("v", lambda x: ~F.isnan(x)))
+    pairs = dealt(asked.drop("k"), "q", min(block, 8192)).join(dealt(kept.drop("k"), "b", block), "g").repartition("g", "q_at", "b_at").select("q_ids", "q", "b_ids", "b")
     schema = T.StructType([T.StructField("q", id_type), *T.StructType.fromDDL("f int, d double"), T.StructField("id", id_type), T.StructField("value", T.DoubleType())])
     near = pairs.mapInPandas(_nearest_values(neighbours), schema)
     best = near.withColumn("k", F.row_number().over(Window.partitionBy("q", "f").orderBy("d", "id"))).where(F.col("k") <= neighbours)
     means = best.groupBy("q", "f").agg(F.avg("value").alias("m")).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("f", "m"))).alias("__found"))
-    original = df.select(F.col(id_col).alias("__id"), *[clean(F.col(f), float("inf")).alias(f"__o{i}") for i, f in enumerate(features)])
-    joined = whole.join(original.where("__id IS NOT NULL").dropDuplicates(["__id"]), F.col(id_col) == F.col("__id"), "left").join(means.withColumnRenamed("q", "__q"), F.col(id_col) == F.col("__q"), "left")
-    filled = {f: F.when(F.col("__id").isNull(), F.col(f)).otherwise(F.coalesce(F.col(f"__o{i}"), F.try_element_at("__found", F.lit(i)), F.col(f))) for i, f in enumerate(features)}
-    return joined.withColumns(filled).select(*df.columns)
+    found = asked.join(means, asked["id"] == means["q"]).select(F.col("g").alias("__g"), F.col("v").alias("__v"), "__found")
+    gaps = F.exists("__w", F.isnan)
+    ready = held.withColumns({"__w": v, "__h": group})
+    joined = ready.join(found, F.col(id_col).isNotNull() & gaps & (F.col("__h") == F.col("__g")) & (F.col("__w") == F.col("__v")), "left")
+
+    def filled(i: int, f: str) -> Column:
+        x, fill = F.col(f).cast("double"), medians[f]["value"]
+        return F.coalesce(F.when(F.col(id_col).isNotNull(), F.coalesce(clean(F.col(f), float("inf")), F.try_element_at("__found", F.lit(i)))), x, F.lit(float(fill) if fill is not None else 0.0))
+
+    return joined.withColumns({f: filled(i, f) for i, f in enumerate(features)}).select(*df.columns)
 
 
 def imputation_summary(before: DataFrame, after: DataFrame, features: Sequence[str]) -> DataFrame:
