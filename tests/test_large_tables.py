@@ -4,8 +4,10 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from wellframe.operators import preprocess
+from wellframe.operators import distance, moa, preprocess
 
 
 def test_values_of_nearest_rows_in_bounded_memory():
@@ -30,3 +32,45 @@ def test_values_of_nearest_rows_in_bounded_memory():
         d = np.round(np.sqrt(((b[:, have] - q[i, have]) ** 2).sum(1) * 4 / have.sum()), 12)
         want = np.lexsort((other, d))[:5]
         assert mine["id"].tolist() == want.tolist() and np.allclose(mine["d"], d[want]) and mine["value"].tolist() == b[want, 3].tolist()
+
+
+def plain_distances(x, metric):
+    x = distance.prepared_rows(x, metric)
+    return np.abs(x[:, None] - x[None]).sum(2) if metric == "cityblock" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if metric == "euclidean" else 1 - x @ x.T
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    x = np.random.default_rng(8).normal(size=(900, 6))
+    x[1::9] = x[::9]
+    df = spark.createDataFrame([(i * 7 % 901, v.tolist(), i % 3 if i % 50 else None) for i, v in enumerate(x)], "id long, v array<double>, label int")
+    return x, np.arange(900) * 7 % 901, df
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "cityblock", "correlation"])
+def test_all_pairs_once_by_blocks(spark, points, metric):
+    x, ids, df = points
+    got = distance.pairwise(df.select("id", "v").union(spark.createDataFrame([(5000, None), (-5, None)], "id long, v array<double>")), "id", "v", metric, digits=6)
+    assert "Join LeftOuter" not in got._jdf.queryExecution().toString() and "MapInArrow" in got._jdf.queryExecution().toString()  # pairs are no join of rows
+    rows = got.toPandas()
+    assert len(rows) == 902 * 901 // 2 and (rows["id_a"] < rows["id_b"]).all() and not rows.duplicated(["id_a", "id_b"]).any()
+    assert rows["distance"].isna().sum() == 2 * 900 + 1
+    known, place = rows.dropna(), np.argsort(ids)
+    at = lambda c: place[np.searchsorted(ids[place], known[c])]
+    assert np.abs(plain_distances(x, metric)[at("id_a"), at("id_b")] - known["distance"]).max() < 6e-7
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("last", [1 << 19, 100])
+def test_medians_within_and_between_labels_without_a_table_of_pairs(spark, points, metric, last, monkeypatch):
+    monkeypatch.setattr(moa, "LAST_DISTANCES", last)
+    x, ids, df = points
+    d, label = plain_distances(x, metric), np.array([i % 3 if i % 50 else -1 for i in range(900)])
+    i, j = np.triu_indices(900, 1)
+    known = (label[i] >= 0) & (label[j] >= 0)
+    i, j = i[known], j[known]
+    same = label[i] == label[j]
+    got = moa.separability_of_vectors(df, "id", "v", "label", metric).first()
+    assert abs(got["median_within"] - np.median(d[i, j][same])) < 1e-12 and abs(got["median_between"] - np.median(d[i, j][~same])) < 1e-12
+    alone = moa.separability_of_vectors(df.where(F.col("label") == 1), "id", "v", "label", metric).first()
+    assert alone["median_between"] is None and alone["separability"] is None
