@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wellframe.operators import distance, moa, preprocess
+from wellframe.operators import diagnostics, distance, moa, preprocess
 
 
 def test_values_of_nearest_rows_in_bounded_memory():
@@ -74,3 +74,22 @@ def test_medians_within_and_between_labels_without_a_table_of_pairs(spark, point
     assert abs(got["median_within"] - np.median(d[i, j][same])) < 1e-12 and abs(got["median_between"] - np.median(d[i, j][~same])) < 1e-12
     alone = moa.separability_of_vectors(df.where(F.col("label") == 1), "id", "v", "label", metric).first()
     assert alone["median_between"] is None and alone["separability"] is None
+
+
+@pytest.mark.parametrize("method", ["spearman", "pearson"])
+def test_replicate_summary_without_a_table_of_pairs(spark, method):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        v = [None if rng.random() < 0.02 else float(x) for x in rng.integers(0, 5, 4)]
+        rows.append((i, None if i % 11 == 0 else ("hot" if i % 4 else f"g{i % 3}"), *([3.0] * 4 if i % 97 == 0 else v)))
+    df = spark.createDataFrame(rows, "id long, g string, a double, b double, c double, d double")
+    counts = diagnostics.replicate_counts(df, "id", ["g"], list("abcd"), method)
+    pairs = diagnostics.replicate_pairs(df, "id", ["g"], list("abcd"), method)
+    got, want = ({r["g"]: r for r in t.collect()} for t in (diagnostics.summary_of_counts(counts, ["g"]), diagnostics.replicate_summary(pairs, ["g"])))
+    assert got.keys() == want.keys() and counts.agg(F.sum("n")).first()[0] == pairs.count()
+    for g in want:
+        assert got[g]["n_pairs"] == want[g]["n_pairs"]
+        assert all(abs(got[g][c] - want[g][c]) < 1e-9 for c in ("median_correlation", "mean_correlation", "sd_correlation"))
+    if method == "spearman":  # kinds of rows: 4 ranks without gaps have 75 orders
+        assert counts.where("g = 'hot'").count() < pairs.where("g = 'hot'").count() / 4

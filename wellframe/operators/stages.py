@@ -19,7 +19,16 @@ def stage_replicates(stages: dict[str, DataFrame], id_col: str, groups: Sequence
     for name, df in stages.items():
         one = diagnostics.replicate_pairs(df, id_col, groups, features).select(F.lit(name).alias("stage"), "*")
         pairs = one if pairs is None else pairs.union(one)
-    return pairs, diagnostics.replicate_summary(pairs, ["stage", *groups])
+    return pairs, diagnostics.summary_of_counts(stage_replicate_counts(stages, id_col, groups, features), ["stage", *groups])
+
+
+def stage_replicate_counts(stages: dict[str, DataFrame], id_col: str, groups: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """stage, the groups, correlation and how many pairs of replicates have it."""
+    counts = None
+    for name, df in stages.items():
+        one = diagnostics.replicate_counts(df, id_col, groups, features).select(F.lit(name).alias("stage"), "*")
+        counts = one if counts is None else counts.union(one)
+    return counts
 
 
 def component_scores(df: DataFrame, features: Sequence[str], keep: Sequence[str], components: int = 2) -> DataFrame:
