@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wellframe.operators import diagnostics, distance, moa, preprocess
+from wellframe.operators import diagnostics, distance, moa, preprocess, repeats
 
 
 def test_values_of_nearest_rows_in_bounded_memory():
@@ -93,3 +93,38 @@ def test_replicate_summary_without_a_table_of_pairs(spark, method):
         assert all(abs(got[g][c] - want[g][c]) < 1e-9 for c in ("median_correlation", "mean_correlation", "sd_correlation"))
     if method == "spearman":  # kinds of rows: 4 ranks without gaps have 75 orders
         assert counts.where("g = 'hot'").count() < pairs.where("g = 'hot'").count() / 4
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "cityblock"])
+@pytest.mark.parametrize("kind", ["spread", "copies", "far", "huge", "names"])
+def test_nearest_through_single_precision(metric, kind):
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(1500, 8))
+    if kind == "copies":
+        y[::3], y[1::3] = y[0], y[1] + rng.normal(size=(500, 8)) * 1e-9
+    y = y + 1e4 if kind == "far" else y * 1e40 if kind == "huge" else y
+    y = distance.prepared_rows(y, metric)
+    ids = rng.permutation(1500)
+    ids = np.array([f"n{i:04d}" for i in ids], object) if kind == "names" else ids
+    best = distance.Best(ids[:300], y[:300], metric, 5)
+    for low in range(0, 1500, 500):
+        best.meet(ids[low : low + 500], y[low : low + 500])
+    for i in range(300):
+        d = np.round(np.abs(y - y[i]).sum(1) if metric == "cityblock" else np.sqrt(((y - y[i]) ** 2).sum(1)) if metric == "euclidean" else 1 - np.einsum("ij,j->i", y, y[i]), 12)
+        d[i] = np.inf
+        want = np.lexsort((np.unique(ids, return_inverse=True)[1], d))[:5]
+        got = best.near[best.row == i]
+        assert np.abs(best.d[best.row == i] - d[want]).max() <= 2e-12 * max(1, d[want].max())
+        if kind != "copies":
+            assert got.tolist() == ids[want].tolist()
+
+
+def test_bootstrap_of_files_whose_parts_hold_no_rows(spark):
+    x = np.random.default_rng(6).normal(size=(2000, 40))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # splits of one row group
+    try:
+        assert repeats.cluster_bootstrap(df, "id", "v", 3, rounds=2).count() == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
