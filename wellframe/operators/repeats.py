@@ -22,6 +22,8 @@ from .moa import dealt, permutation_p
 
 #: Rows that the first centres are chosen from, and numbers that one pass over the rows may gather.
 SEEN_FIRST, GATHERED = 4096, 1 << 22
+#: Rows of a part of a table that each iteration reads.
+ROWS_A_PART = 4096
 #: Chances of at most 0, 1, ... of a Poisson variate of mean 1.
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1)) for i in range(12)])
 
@@ -49,9 +51,10 @@ def share_weight(seed: int, share: float) -> Weight:
 
 
 def marked_rows(df: DataFrame, id_col: str, vector: str, unit: bool) -> DataFrame:
-    """id, mark (a hash of the id) and v of the rows that have a vector, stored."""
+    """id, mark (a hash of the id) and v of the rows that have a vector, stored in parts of some ROWS_A_PART, as they are read many times."""
     v = F.transform(vector, lambda x: x.cast("double"))
     rows = df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.coalesce(rows.count() // ROWS_A_PART + 1)
     return stored(rows.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("mark"), (stats.unit(v) if unit else v).alias("v")), "marked")
 
 
@@ -98,6 +101,8 @@ def many_kmeans(rows: DataFrame, rounds: int, k: int, weight: Weight, seed: int
             def sums(frames: Iterator[pd.DataFrame], here=here, low=low) -> Iterator[pd.DataFrame]:
                 n, s = np.zeros(len(here) * k), np.zeros((len(here) * k, dim))
                 for f in frames:
+                    if f.empty:
+                        continue
                     v, mark = np.stack(f["v"]).astype(float), f["mark"].to_numpy()
                     for i, c in enumerate(here):
                         w = weight(mark, low + i)
@@ -107,14 +112,23 @@ def many_kmeans(rows: DataFrame, rounds: int, k: int, weight: Weight, seed: int
                         n[i * k : (i + 1) * k] += one.sum(1)
                         s[i * k : (i + 1) * k] += one @ v
                 at = np.flatnonzero(n)
-                yield pd.DataFrame({"at": at, "n": n[at], "s": list(s[at])})
+                if len(at):  # a part of a file may hold no rows, and no lists can't be told from numbers
+                    yield pd.DataFrame({"at": at, "n": n[at], "s": list(s[at])})
 
-            def added(f: pd.DataFrame) -> pd.DataFrame:
-                return pd.DataFrame({"at": [f["at"].iat[0]], "n": [f["n"].sum()], "s": [np.stack(f["s"]).sum(0)]})
+            def added(frames: Iterator[pd.DataFrame], size=len(here) * k) -> Iterator[pd.DataFrame]:
+                n, s = np.zeros(size), np.zeros((size, dim))
+                for f in frames:
+                    if len(f):
+                        np.add.at(n, f["at"].to_numpy(), f["n"].to_numpy())
+                        np.add.at(s, f["at"].to_numpy(), np.stack(f["s"]))
+                at = np.flatnonzero(n)
+                if len(at):  # a part of a file may hold no rows, and no lists can't be told from numbers
+                    yield pd.DataFrame({"at": at, "n": n[at], "s": list(s[at])})
 
             schema = "at bigint, n double, s array<double>"
-            for row in rows.select("mark", "v").mapInPandas(sums, schema).groupBy("at").applyInPandas(added, schema).toLocalIterator():  # a row a round and cluster
-                moved[low + row["at"] // k, row["at"] % k] = np.array(row["s"]) / row["n"]
+            table = rows.select("mark", "v").mapInPandas(sums, schema).repartition(2, "at").mapInPandas(added, schema).toArrow()  # a row a round and cluster
+            at = table["at"].to_numpy()
+            moved[low + at // k, at % k] = table["s"].combine_chunks().flatten().to_numpy().reshape(-1, dim) / table["n"].to_numpy()[:, None]
         shift = np.abs(moved - centres).max()
         centres = moved
         if shift <= tolerance:
@@ -138,6 +152,8 @@ def agreement(rows: DataFrame, centres: np.ndarray, weight: Weight) -> list[floa
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((rounds, k * k), np.int64)
         for f in frames:
+            if f.empty:
+                continue
             v, mark = np.stack(f["v"]).astype(float), f["mark"].to_numpy()
             full = nearest_centre(v, centres[0])
             for r in range(1, rounds):
@@ -146,7 +162,7 @@ def agreement(rows: DataFrame, centres: np.ndarray, weight: Weight) -> list[floa
         yield pd.DataFrame({"r": r, "at": at, "n": total[r, at]})
 
     tables = np.zeros((rounds, k * k), np.int64)
-    for row in rows.select("mark", "v").mapInPandas(count, "r bigint, at bigint, n bigint").groupBy("r", "at").agg(F.sum("n").alias("n")).toLocalIterator():  # a row a round and pair of clusters
+    for row in rows.select("mark", "v").mapInPandas(count, "r bigint, at bigint, n bigint").groupBy("r", "at").agg(F.sum("n").alias("n")).collect():  # a row a round and pair of clusters
         tables[row["r"], row["at"]] = row["n"]
     return [rand_of_counts(t.reshape(k, k)) for t in tables[1:]]
 
@@ -174,6 +190,8 @@ def round_labels(rows: DataFrame, centres: np.ndarray, weight: Weight) -> DataFr
 
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            if f.empty:
+                continue
             v, mark = np.stack(f["v"]).astype(float), f["mark"].to_numpy()
             out = np.stack([np.where(weight(mark, r) > 0, nearest_centre(v, centres[r]), -1) for r in range(1, len(centres))], 1)
             yield pd.DataFrame({"id": f["id"], "labels": list(out.astype(np.int32))})
@@ -192,7 +210,7 @@ def consensus_of(labels: DataFrame, block: int = 512) -> DataFrame:
     dealt_rows = labels.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("labels")).alias("labels"))
     held = stored(dealt_rows, "blocks")
     side = lambda s: held.select(*[F.col(c).alias(f"{s}_{c}") for c in held.columns])
-    met = side("a").join(side("b"), F.col("a_block") <= F.col("b_block"))  # blocks, not rows
+    met = side("a").repartition(n, "a_block").join(side("b"), F.col("a_block") <= F.col("b_block"))  # blocks, not rows
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
