@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wellframe.operators import diagnostics, distance, moa, preprocess, repeats
+from wellframe.operators import diagnostics, distance, hierarchy, moa, preprocess, repeats
 
 
 def test_values_of_nearest_rows_in_bounded_memory():
@@ -128,3 +128,16 @@ def test_bootstrap_of_files_whose_parts_hold_no_rows(spark):
         assert repeats.cluster_bootstrap(df, "id", "v", 3, rounds=2).count() == 2
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_rows_of_the_largest_component_are_not_compared(monkeypatch):
+    x = np.random.default_rng(7).normal(size=(200, 4))
+    component = np.where(np.arange(200) % 40 == 0, np.arange(200), 1)
+    side = lambda s, at: {f"{s}_ids": [at], s: [x[at].ravel()], f"{s}_components": [component[at]]}
+    frame = pd.DataFrame(side("a", np.arange(100)) | side("b", np.arange(100, 200)))
+    pairs, plain = [], hierarchy.block_distances
+    monkeypatch.setattr(hierarchy, "block_distances", lambda p, q, metric: pairs.append(len(p) * len(q)) or plain(p, q, metric))
+    skipped = pd.concat(hierarchy._shortest_ways_out("euclidean", 1)([frame])).reset_index(drop=True)
+    assert sum(pairs) <= 3 * 100 + 97 * 2
+    whole = pd.concat(hierarchy._shortest_ways_out("euclidean")([frame])).reset_index(drop=True)
+    assert sum(pairs) > 10_000 and skipped.equals(whole)
